@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import exact_dedup, matroska, mixing, sharding, warc
+from terrace.llm import exact_dedup, matroska, mixing, packing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (sharding.op1_hash_tree_sharding, exact_dedup.op7_digest_index_dedup, mixing.op10_flow_mixing, matroska.op3_matroska_packets, warc.op6_warc_salvage)}
+    return {f.__name__: f for f in (sharding.op1_hash_tree_sharding, exact_dedup.op7_digest_index_dedup, mixing.op10_flow_mixing, matroska.op3_matroska_packets, warc.op6_warc_salvage, packing.op4_mixture_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
