@@ -38,16 +38,16 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def simhash(lines: DataFrame) -> DataFrame:
-    """(k1, k2, simhash): bit i is set where more than half of the line's words have it in their hashes.
+    """(k1, k2, size, simhash): bit i is set where more than half of the line's words have it in their hashes.
 
     Two counters share a long, each of 31 bits, more than a line can have words. ``lines`` must be one row per (k1, k2) and
     partitioned by them, so that the words stay in their task.
     """
-    words = lines.select("k1", "k2", F.explode(F.split("norm", " ")).alias("w")).select("k1", "k2", F.xxhash64("w").alias("h"))
+    words = lines.select("k1", "k2", F.length("norm").alias("size"), F.explode(F.split("norm", " ")).alias("w")).select("k1", "k2", "size", F.xxhash64("w").alias("h"))
     lane = lambda i: F.expr(f"((shiftrightunsigned(h, {2 * i}) & 3L) * {1 + (1 << 30)}L) & {1 | 1 << 31}L")
-    sums = words.groupBy("k1", "k2").agg(F.count("*").alias("n"), *[F.sum(lane(i)).alias(f"c{i}") for i in range(LANES)])
+    sums = words.groupBy("k1", "k2").agg(F.max("size").alias("size"), F.count("*").alias("n"), *[F.sum(lane(i)).alias(f"c{i}") for i in range(LANES)])
     bits = [f"(if(2 * (c{i} & {(1 << 31) - 1}L) > n, {1 << 2 * i}L, 0L) | if(2 * shiftrightunsigned(c{i}, 31) > n, shiftleft(1L, {2 * i + 1}), 0L))" for i in range(LANES)]
-    return sums.select("k1", "k2", F.expr(" | ".join(bits)).alias("simhash"))
+    return sums.select("k1", "k2", "size", F.expr(" | ".join(bits)).alias("simhash"))
 
 
 def block_keys(value: Column) -> Column:
@@ -64,20 +64,20 @@ def block_keys(value: Column) -> Column:
 
 
 class Lines:
-    """The distinct lines of a table, stored bucketed by their hash: ids, hashes, SimHash, length and text."""
+    """The distinct lines of a table: their texts, stored bucketed by hash so that later joins don't move them, and what is
+    known of each: id, hashes, SimHash and length."""
 
     def __init__(self, lines: DataFrame) -> None:
         spark = lines.sparkSession
         self.name = f"lines_{uuid.uuid4().hex}"
-        distinct = lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm"))
-        hashed = simhash(distinct)
-        both = distinct.join(hashed, ["k1", "k2"]).select("k1", "k2", F.monotonically_increasing_id().alias("id"), "simhash", F.length("norm").alias("size"), "norm")
         path = f"{shared_dir(spark)}/terrace-{self.name}"
-        both.write.bucketBy(parts(spark), "k1", "k2").option("path", path).option("compression", "zstd").saveAsTable(self.name)
-        self.all = spark.table(self.name)
+        distinct = lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm"))
+        distinct.write.bucketBy(parts(spark), "k1", "k2").sortBy("k1", "k2").option("path", path).option("compression", "zstd").saveAsTable(self.name)
+        self.texts = spark.table(self.name)
+        self.all = stored(simhash(self.texts).withColumn("id", F.monotonically_increasing_id()), "line-hashes")
 
     def drop(self) -> None:
-        self.all.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.texts.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of ids within the distance whose texts pass the edit check."""
@@ -86,7 +86,7 @@ class Lines:
         most = F.expr(f"cast({EDITS} * greatest(size_a, size_b) as int)")
         near = near.where((F.bit_count(F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))) <= DISTANCE) & (F.abs(F.col("size_a") - F.col("size_b")) <= most))
         for x in "ab":
-            text = self.all.select(F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("norm").alias(f"norm_{x}"))
+            text = self.texts.select(F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("norm").alias(f"norm_{x}"))
             near = near.join(text.hint("merge"), [f"k1_{x}", f"k2_{x}"])
         return near.where(F.expr(f"levenshtein(norm_a, norm_b, cast({EDITS} * greatest(size_a, size_b) as int)) >= 0")).select("a", "b")
 

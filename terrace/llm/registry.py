@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import exact_dedup, fuzzy_lines, matroska, mixing, ngram_join, ordinal, packing, sharding, warc
+from terrace.llm import exact_dedup, fuzzy_lines, matroska, mixing, ngram_join, ordinal, packing, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (sharding.op1_hash_tree_sharding, exact_dedup.op7_digest_index_dedup, mixing.op10_flow_mixing, matroska.op3_matroska_packets, warc.op6_warc_salvage, packing.op4_mixture_packing, ordinal.op9_ordinal_quality, ngram_join.op8_ngram_jaccard_join, fuzzy_lines.op2_fuzzy_line_dedup)}
+    return {f.__name__: f for f in (sharding.op1_hash_tree_sharding, exact_dedup.op7_digest_index_dedup, mixing.op10_flow_mixing, matroska.op3_matroska_packets, warc.op6_warc_salvage, packing.op4_mixture_packing, ordinal.op9_ordinal_quality, ngram_join.op8_ngram_jaccard_join, fuzzy_lines.op2_fuzzy_line_dedup, secrets.op5_forest_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
