@@ -141,5 +141,19 @@ def mix_by_source(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     return out.join(F.broadcast(known), F.col("_source") == F.col("_name")).select(key, *keep, "size", "source_size", "target", "taken")
 
 
+def repeat_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents, each as often as the mix takes it, in the columns they came with; those of size 0 are left out.
+
+    What the mix takes of rows that repeat a key and text is shared among them.
+    """
+    named = docs.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    taken = mix_by_source(named, key, text, source, keep=["_k", "_th"]).where("taken > 0")
+    times = taken.groupBy("_k", "_th").agg(F.sum(F.expr("taken div size")).alias("_times"))
+    rows = Window.partitionBy("_k", "_th")
+    found = named.join(times, ["_k", "_th"]).withColumn("_n", F.row_number().over(rows.orderBy("_th"))).withColumn("_rows", F.count("*").over(rows))
+    own = F.expr("_times div _rows + if(_n <= _times % _rows, 1, 0)")
+    return found.withColumn("_own", own).where("_own > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own"))).alias("_i")).select(*docs.columns)
+
+
 def op10_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_by_source(table(spark, sf_dir, "documents"))

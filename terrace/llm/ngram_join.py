@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.common import components, join_groups, parts, stored, table
@@ -335,5 +335,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(real(F.col("id")).alias(key), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without those that are linked, over any number of links, to one of lesser key.
+
+    Rows that repeat a key are one document, of which one row stays, that of the least hash of its text.
+    """
+    found = near_duplicates(docs, key, text)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k")).distinct()
+    joined = docs.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).join(kept, "_k", "left_semi")
+    first = Window.partitionBy("_k").orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL
+  HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.c = e.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, (SELECT min(r.c) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s
+"""

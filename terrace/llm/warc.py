@@ -211,3 +211,13 @@ def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_archives(archives).where("kind = 'record'")
     number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast("long")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // {0}) % 32 + 1, 1)"
+_FOUR = " || ".join(_DIGIT.format(1 << s) for s in (15, 10, 5, 0))
+ORACLE_OP6 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS vs, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(vs, lambda v: {_FOUR}), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM d
+"""
