@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrace.plans import queries as registered
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Questions to cited context: hybrid candidates, penalties, parents, reranking and staged selection."""
+    return registered.cited_context(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(registered.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registered.ORACLES)
