@@ -16,6 +16,10 @@ WORDS = 5
 #: Similarity of at least NUM / DEN links two documents.
 NUM, DEN = 3, 4
 ORDERS = 3
+#: Rounds of checks before all pairs of different groups are checked: how many pivots tokens are spread over in each.
+ROUNDS = (1, 16, 64)
+#: Longs of a bitmap.
+LANES = 16
 #: Tokens whose low bits are below PART of 8 are counted for the first filter; documents of up to SHORT shingles count all of theirs.
 PART = 3
 SHORT = 48
@@ -216,7 +220,7 @@ def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def prefixes(sets: DataFrame, buckets: int) -> DataFrame:
-    """Postings (ord, token, sig, n) of the prefixes under each global order, without tokens that one set alone has.
+    """Postings (ord, token, sig, n, pos) of the prefixes under each global order, without tokens that one set alone has.
 
     The orders sort tokens by the number of sets that have them and then by a hash of their own, so rare tokens come first
     and common passages last. Two similar sets share a token of their prefixes under every order.
@@ -251,10 +255,11 @@ def prefixes(sets: DataFrame, buckets: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         order = np.lexsort((mixed(tokens + _PLACES[o]), df, owner))
                     rank = np.arange(tokens.size) - starts[owner]
-                    pick = order[(rank < keep[owner]) & (df[order] >= 2)]
-                    yield pd.DataFrame({"ord": o, "token": tokens[pick].view(np.int64), "sig": sigs[owner[pick]], "n": sizes[owner[pick]]})
+                    chosen = (rank < keep[owner]) & (df[order] >= 2)
+                    pick = order[chosen]
+                    yield pd.DataFrame({"ord": o, "token": tokens[pick].view(np.int64), "sig": sigs[owner[pick]], "n": sizes[owner[pick]], "pos": rank[chosen]})
 
-    return sets.join(back, "batch").mapInPandas(choose, "ord int, token long, sig long, n long")
+    return sets.join(back, "batch").mapInPandas(choose, "ord int, token long, sig long, n long, pos long")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -284,28 +289,66 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(check("x", "y")).select("a", "b")
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(sig, size, m0 ... m15): each set's tokens as a bitmap of 1024 bits."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                sigs, sizes, tokens = _unpack(row)
+                bits = np.zeros((sigs.size, LANES), U)
+                lane, bit = ((tokens >> U(26)) & U(LANES - 1)).astype(np.int64), U(1) << ((tokens >> U(20)) & U(63))
+                np.bitwise_or.at(bits, (np.repeat(np.arange(sizes.size), sizes), lane), bit)
+                yield pd.DataFrame({"sig": sigs, "size": sizes, **{f"m{i}": bits[:, i].view(np.int64) for i in range(LANES)}})
+
+    return sets.mapInPandas(make, "sig long, size long, " + ", ".join(f"m{i} long" for i in range(LANES)))
+
+
+def may_be_similar(a: str, b: str) -> str:
+    """Condition on the bitmaps and sizes of two sets, with these prefixes of their columns, that similar ones always meet.
+
+    Each bit that one set alone has stands for a token, at least, that it alone has.
+    """
+    least = f"(({NUM} * ({a}size + {b}size) + {NUM + DEN - 1}) div {NUM + DEN})"
+    alone = lambda x, y: " + ".join(f"bit_count({x}m{i} & ~{y}m{i})" for i in range(LANES))
+    return f"{a}size >= {least} and {b}size >= {least} and {alone(a, b)} <= {a}size - {least} and {alone(b, a)} <= {b}size - {least}"
+
+
 def links(sets: DataFrame, buckets: int) -> DataFrame:
     """(node, root) of the sets that are linked to another, root the least sig of the connected group.
 
-    First each set is checked against one partner: of the sets of least sig among those that share a prefix token with it, the
-    one that shares most. That joins large groups of near copies at a cost in proportion to their sizes. Then all pairs of
-    different groups that share prefix tokens under every order are checked, so no link between groups is lost.
+    Each round picks a pivot for every prefix token, and checks each set against pivots of other groups, those that it shares
+    most tokens with. That joins large groups of near copies at a cost in proportion to their sizes. Then all pairs of
+    different groups are checked that share prefix tokens under every order, at places that leave enough tokens after them,
+    and whose bitmaps agree. So no link between groups is lost.
     """
     post = stored(prefixes(sets, buckets), "postings")
+    info = stored(bitmaps(sets), "bitmaps")
+    one, two = (info.select(*[F.col(c).alias(f"{x}_{c}") for c in info.columns]) for x in "ab")
     first = post.where("ord = 0")
-    pivots = first.groupBy("token").agg(F.min("sig").alias("pivot"), F.count("*").alias("df")).where("df > 1")
-    stars = first.join(pivots, "token").where("sig != pivot").groupBy("sig", "pivot").agg(F.count("*").alias("common"))
-    best = stars.groupBy("sig").agg(F.max(F.struct("common", (-F.col("pivot")).alias("p"), "pivot")).alias("m")).select(F.col("sig").alias("a"), F.col("m.pivot").alias("b"))
-    near = stored(similar(best, sets), "near")
-    groups = stored(components(near, "a", "b", "stars"), "groups")
-    placed = post.join(groups, F.col("sig") == F.col("node"), "left").select("ord", "token", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    near, roots = None, None
+    for r, pivots_each in enumerate(ROUNDS):
+        here = first if roots is None else first.join(roots, F.col("sig") == F.col("node"), "left")
+        here = here.select("token", "sig", (F.col("sig") if roots is None else F.coalesce("root", "sig")).alias("root"))
+        spread = F.xxhash64("sig", F.lit(r), F.pmod("token", F.lit(pivots_each)))
+        pivots = here.groupBy("token").agg(F.min(F.struct(spread.alias("h"), "sig", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+        stars = here.join(pivots.select("token", F.col("p.sig").alias("pivot"), F.col("p.root").alias("other")), "token").where("root != other")
+        pairs = stars.groupBy(F.col("sig").alias("a_sig"), F.col("pivot").alias("b_sig")).agg(F.count("*").alias("common"))
+        fit = pairs.join(one, "a_sig").join(two, "b_sig").where(may_be_similar("a_", "b_"))
+        rank = F.row_number().over(Window.partitionBy("a_sig").orderBy(F.desc("common"), "b_sig"))  # a_sig: a pair for each of its prefix tokens at most
+        best = fit.withColumn("rank", rank).where(F.col("rank") <= pivots_each).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
+        found = stored(similar(best, sets), "near")
+        near = found if near is None else near.union(found)
+        roots = stored(components(near, "a", "b", "stars"), "groups")
+    placed = post.join(roots, F.col("sig") == F.col("node"), "left").select("ord", "token", "sig", "pos", F.coalesce("root", "sig").alias("root"))
     open_ = placed.groupBy("ord", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("ord", "token")
-    placed = stored(placed.join(open_, ["ord", "token"]), "open")
-    other = placed.select("ord", "token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.col("root") < F.col("rb")) & (F.col("n") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("n") * NUM)
-    pairs = placed.join(other, ["ord", "token"]).where(fits).groupBy(F.col("sig").alias("a"), "b").agg(F.countDistinct("ord").alias("orders")).where(F.col("orders") == ORDERS)
-    more = similar(pairs.select("a", "b"), sets)
-    return components(near.union(more), "a", "b", "links")
+    placed = placed.join(open_, ["ord", "token"]).withColumnRenamed("sig", "a_sig").join(one, "a_sig")
+    placed = stored(placed.select(*[c if c.startswith("a_") or c in ("ord", "token") else F.col(c).alias(f"a_{c}") for c in placed.columns]), "open")
+    other = placed.select("ord", "token", *[F.col(c).alias(f"b{c[1:]}") for c in placed.columns if c.startswith("a_")])
+    after = f"least(a_size - a_pos, b_size - b_pos) >= ({NUM} * (a_size + b_size) + {NUM + DEN - 1}) div {NUM + DEN}"
+    pairs = placed.join(other, ["ord", "token"]).where(f"a_root < b_root and {after} and {may_be_similar('a_', 'b_')}")
+    pairs = pairs.groupBy(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).agg(F.countDistinct("ord").alias("orders")).where(F.col("orders") == ORDERS)
+    return components(near.union(similar(pairs.select("a", "b"), sets)), "a", "b", "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

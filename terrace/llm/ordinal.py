@@ -79,7 +79,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - scores[:, None], -40, 40)))
 
 
-def fit(rows: list[list[int]], shapes: np.ndarray, grades: np.ndarray, levels: int, rounds: int = ROUNDS, smooth: float = SMOOTH) -> OrdinalModel:
+def fit(rows: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, levels: int, rounds: int = ROUNDS, smooth: float = SMOOTH) -> OrdinalModel:
     """Weights and ordered cuts of least regularised log loss, by full-batch adaptive gradient steps from 0.
 
     Cuts are kept in order by fitting the logarithms of the steps between them. Without rows all weights are 0.
@@ -88,14 +88,17 @@ def fit(rows: list[list[int]], shapes: np.ndarray, grades: np.ndarray, levels: i
     cuts = np.arange(levels - 1) - (levels - 2) / 2.0
     if not n:
         return OrdinalModel(np.zeros(SLOTS), np.zeros(SHAPES), cuts)
-    flat = np.fromiter((s for r in rows for s in r), np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    seen = np.bincount(np.unique(owner * SLOTS + flat) % SLOTS, minlength=SLOTS) if flat.size else np.zeros(SLOTS, int)
+    flat = np.concatenate([np.zeros(0, np.int32), *rows])
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    first = np.ones(flat.size, bool)
+    first[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])  # slots come sorted
+    seen = np.bincount(flat[first], minlength=SLOTS)
     used = np.flatnonzero(seen >= LEAST_DOCS)
-    place = np.full(SLOTS, -1)
+    place = np.full(SLOTS, -1, np.int32)
     place[used] = np.arange(used.size)
-    col = place[flat] if flat.size else flat
+    col = place[flat]
     owner, col = owner[col >= 0], col[col >= 0]
+    del flat, first
     share = np.bincount(grades, minlength=levels) / n
     mass = np.sqrt(1 / np.maximum(share, 1 / n))[grades]
     mass /= mass.sum()
@@ -151,7 +154,7 @@ def train(docs: DataFrame, grades: DataFrame, levels: int = 3, key: str = "doc_i
     got = rated.mapInPandas(features, "doc_id long, grade int, slots binary, shapes binary").limit(4 * sample).toPandas()
     got = got.sort_values(["doc_id", "grade", "slots"], kind="stable")
     shapes = np.array([np.frombuffer(x) for x in got["shapes"]]).reshape(len(got), SHAPES)
-    return fit([np.frombuffer(x, "<i4").tolist() for x in got["slots"]], shapes, got["grade"].to_numpy(np.int64), levels)
+    return fit([np.frombuffer(x, "<i4") for x in got["slots"]], shapes, got["grade"].to_numpy(np.int64), levels)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:

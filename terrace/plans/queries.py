@@ -243,7 +243,7 @@ def dense_cosine_topk(spark, d):
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Dense hits of the vectors and keyword hits of the documents that share their ids, as one table of candidates."""
     labels = X.vectors(spark, d).select("chunk_id", "label", "embedding")
-    kind = F.element_at(F.array(*map(F.lit, X.SOURCE_TYPES)), F.col("label") % 4 + 1)
+    kind = F.when(F.col("label").isNotNull(), F.get(F.array(*map(F.lit, X.SOURCE_TYPES)), F.col("label") % 4))
     text = X.chunks(spark, d).select("chunk_id", F.left("text", F.lit(60)).alias("child_text"), F.left("text", F.lit(200)).alias("parent_text"))
     near = retrieval.dense(X.vectors(spark, d), X.vector_queries(spark, d), 15)
     words = X.vector_queries(spark, d).select("query_id").join(X.chunks(spark, d), F.col("query_id") == F.col("chunk_id")).select("query_id", F.slice(F.array_distinct(F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]{5,}$"))), 1, 5).alias("keywords"))
