@@ -101,6 +101,8 @@ def join_pages(pages: DataFrame, key: str = "doc_id", least: int = 2, most: int
     scored = pages.withColumn("_may", F.coalesce(may, F.lit(False)))
     scored = scored.withColumn("_any", F.max("_may").over(Window.partitionBy(key)))
 
+    names = pages.columns
+
     def move(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("page_number").reset_index(drop=True)
         text = [t or "" for t in group["text"]]
@@ -111,7 +113,7 @@ def join_pages(pages: DataFrame, key: str = "doc_id", least: int = 2, most: int
             cut = next((j + 1 for j, ch in enumerate(rest[:most]) if ch in TERMINALS), len(rest) if len(rest) <= most else 0)
             if cut:
                 text[i], text[i + 1] = text[i].rstrip() + rest[:cut], rest[cut:].lstrip()
-        return group.assign(text=text)[pages.columns]
+        return group.assign(text=text)[names]
 
     moved = scored.where("_any").groupBy(key).applyInPandas(move, pages.schema)
     return scored.where("not _any").select(*pages.columns).unionByName(moved)
