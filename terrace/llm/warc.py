@@ -73,7 +73,9 @@ def _parse(data: bytes) -> tuple[Entry | None, int, str]:
         return None, 0, "unended header"
     head: dict[str, str] = {}
     for line in data[:end].split(b"\r\n")[1:]:
-        k, _, v = line.partition(b":")
+        k, colon, v = line.partition(b":")
+        if not colon or re.search(rb"[\x00-\x08\x0B-\x1F\x7F]", line):
+            return None, 0, "bad header line"
         head[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
     if not re.fullmatch("[0-9]{1,18}", head.get("content-length", "")):
         return None, 0, "no length"
