@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key counts as heavy from this fraction of all rows on, so at most 1 / HEAVY keys are heavy; that bounds what is broadcast.
 HEAVY = 0.001
+#: So many edges, some megabytes, are few enough for one task.
+FEW = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,24 +76,28 @@ def running_start(df: DataFrame, group: list[str], chunk: str, order: list[Colum
 def components(edges: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
     """Connected groups of undirected edges as (node, root), root the least node of the group.
 
-    Alternates large-star and small-star steps until nothing changes. Each step is a shuffle of the edges, and its result is
-    stored, so no links or labels are held by the driver.
+    Alternates large-star and small-star steps until nothing changes. Each step's result is stored, so no links or labels are
+    held by the driver. Up to ``FEW`` edges are put in one partition, where the steps need no shuffle; more are dealt by node.
     """
     cur = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), name)
-    while True:
+    count = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    had = count(cur)
+    few = had[0] <= FEW
+    while had[0]:
+        cur = cur.coalesce(1) if few else cur
         # large star: each node's larger neighbours point to the least of its neighbourhood
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both.coalesce(1) if few else both
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: a node and its smaller neighbours point to the least of them
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        nxt = stored(small, name)
-        got = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        had = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        cur = nxt
-        if tuple(got) == tuple(had):
+        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v")
+        cur = stored((small.coalesce(1) if few else small).distinct(), name)
+        now = count(cur)
+        if now == had:
             break
+        had = now
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
