@@ -17,7 +17,7 @@ WORDS = 5
 NUM, DEN = 3, 4
 ORDERS = 3
 #: Rounds of checks before all pairs of different groups are checked: how many pivots tokens are spread over in each.
-ROUNDS = (1, 16, 64)
+ROUNDS = (1, 32)
 #: Longs of a bitmap.
 LANES = 16
 #: Tokens whose low bits are below PART of 8 are counted for the first filter; documents of up to SHORT shingles count all of theirs.
