@@ -38,12 +38,12 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def simhash(lines: DataFrame) -> DataFrame:
-    """(k1, k2, size, simhash): bit i is set where more than half of the line's words have it in their hashes.
+    """(k1, k2, size, simhash): bit i is set where more than half of the line's distinct words have it in their hashes.
 
     Two counters share a long, each of 31 bits, more than a line can have words. ``lines`` must be one row per (k1, k2) and
     partitioned by them, so that the words stay in their task.
     """
-    words = lines.select("k1", "k2", F.length("norm").alias("size"), F.explode(F.split("norm", " ")).alias("w")).select("k1", "k2", "size", F.xxhash64("w").alias("h"))
+    words = lines.select("k1", "k2", F.length("norm").alias("size"), F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("k1", "k2", "size", F.xxhash64("w").alias("h"))
     lane = lambda i: F.expr(f"((shiftrightunsigned(h, {2 * i}) & 3L) * {1 + (1 << 30)}L) & {1 | 1 << 31}L")
     sums = words.groupBy("k1", "k2").agg(F.max("size").alias("size"), F.count("*").alias("n"), *[F.sum(lane(i)).alias(f"c{i}") for i in range(LANES)])
     bits = [f"(if(2 * (c{i} & {(1 << 31) - 1}L) > n, {1 << 2 * i}L, 0L) | if(2 * shiftrightunsigned(c{i}, 31) > n, shiftleft(1L, {2 * i + 1}), 0L))" for i in range(LANES)]
@@ -105,9 +105,11 @@ class Lines:
         roots = stored(components(near, "a", "b", "line-stars"), "line-groups")
         placed = shared.where("members > 2").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        placed = stored(placed.join(open_, "key"), "open-blocks")
-        other = placed.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-        pairs = placed.join(other, "key").where("root < rb").select(F.col("id").alias("a"), "b").distinct()
+        known = self.all.select("id", "simhash", "size")
+        placed = stored(placed.join(open_, "key").join(known, "id"), "open-blocks")
+        other = placed.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "root", "simhash", "size")])
+        near_by = f"bit_count(simhash ^ b_simhash) <= {DISTANCE} and abs(size - b_size) <= {EDITS} * greatest(size, b_size)"
+        pairs = placed.join(other, "key").where(f"root < b_root and {near_by}").select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
         return components(near.union(self.linked(pairs)), "a", "b", "line-links")
 
 
