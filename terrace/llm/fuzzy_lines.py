@@ -63,6 +63,17 @@ def block_keys(value: Column) -> Column:
     return F.array(*keys)
 
 
+def without_common(x: str, y: str, steps: int = 6) -> str:
+    """Struct (x, y) of two texts, backwards, without what they begin with in common, all but a 64th part of it.
+
+    A half, a quarter and so on of the shorter text goes where it is equal in both. Twice over, that leaves the edit distance
+    as it is and little else.
+    """
+    n = f"cast(least(length({x}), length({y})) / shiftleft(1, i) as int)"
+    cut = f"if(left(acc.x, {n}) = left(acc.y, {n}), named_struct('x', substring(acc.x, {n} + 1), 'y', substring(acc.y, {n} + 1)), acc)"
+    return f"aggregate(sequence(1, {steps}), named_struct('x', {x}, 'y', {y}), (acc, i) -> {cut}, acc -> named_struct('x', reverse(acc.x), 'y', reverse(acc.y)))"
+
+
 class Lines:
     """The distinct lines of a table: their texts, stored bucketed by hash so that later joins don't move them, and what is
     known of each: id, hashes, SimHash and length."""
@@ -88,20 +99,27 @@ class Lines:
         for x in "ab":
             text = self.texts.select(F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("norm").alias(f"norm_{x}"))
             near = near.join(text.hint("merge"), [f"k1_{x}", f"k2_{x}"])
-        return near.where(F.expr(f"levenshtein(norm_a, norm_b, cast({EDITS} * greatest(size_a, size_b) as int)) >= 0")).select("a", "b")
+        for x, y in (("norm_a", "norm_b"), ("t.x", "t.y")):
+            near = near.withColumn("t", F.expr(without_common(x, y)))
+        return near.where(F.expr(f"levenshtein(t.x, t.y, cast({EDITS} * greatest(size_a, size_b) as int)) >= 0")).select("a", "b")
 
     def groups(self) -> DataFrame:
         """(node, root) of the lines that have a link.
 
-        First every line is checked against the line of least id that shares a block key; that joins groups of near copies at
-        a cost in proportion to their sizes. Keys with three lines or more that then still hold several groups give all pairs
+        First every line is checked against the lines of least id that share a block key, the least of them first and others
+        only if they are in another group by then; that joins groups of near copies at a cost in proportion to their sizes. Keys with three lines or more that then still hold several groups give all pairs
         of different groups, so no link between groups is lost.
         """
         keyed = self.all.select("id", F.explode(block_keys(F.col("simhash"))).alias("key")).repartition(parts(self.all.sparkSession), "key")
         least = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
         shared = stored(keyed.join(least, "key"), "blocks")
-        stars = shared.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-        near = stored(self.linked(stars), "near-lines")
+        stars = stored(shared.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "line-stars")
+        near = stored(self.linked(stars.groupBy("a").agg(F.min("b").alias("b"))), "near-lines")
+        roots = stored(components(near, "a", "b", "line-stars"), "line-groups")
+        for x in "ab":
+            stars = stars.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+        apart = stars.where("not coalesce(root_a, a) <=> coalesce(root_b, b)").select("a", "b")
+        near = near.union(stored(self.linked(apart), "near-lines"))
         roots = stored(components(near, "a", "b", "line-stars"), "line-groups")
         placed = shared.where("members > 2").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
@@ -152,7 +170,7 @@ def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     drops = repeated_lines(docs).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("drop").alias("dropped"))
     whole = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(whole).alias("_here"), (F.length(whole) - F.length(F.translate(whole, "\n", "")) + 1).cast("long").alias("n_lines"))
+    rows = docs.select("doc_id", F.xxhash64(whole).alias("_here"), F.size(F.split(whole, "\n")).cast("long").alias("n_lines"))
     found = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col("_here") == F.col("_th")), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return found.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
