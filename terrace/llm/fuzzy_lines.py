@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,35 +19,38 @@ DISTANCE = 3
 #: ... and in at most this share of the longer line's characters, by edit distance.
 EDITS = 0.15
 #: Bits of the blocks; lines within the distance agree in all but DISTANCE of them.
-BLOCKS = (13, 13, 13, 13, 12)
-LANES = 32
+BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Words whose bits are summed in bytes at first; below 128, so that the sum of a long stays positive.
+CHUNK = 127
+ONES = 0x0101010101010101
 
 
-def normal(line: Column) -> Column:
-    """Lower case, runs of blanks as one space, none at the ends."""
-    lower = F.lower(line)
-    odd = lower.rlike(r"[\t\x0B\f\r]|  ")
+def normal(lower: Column) -> Column:
+    """Of a lower-cased line, runs of blanks as one space, none at the ends."""
+    odd = reduce(lambda a, b: a | b, [lower.contains(x) for x in ("  ", "\t", "\x0b", "\f", "\r")])
     return F.trim(F.when(odd, F.regexp_replace(lower, r"[\t\x0B\f\r ]+", " ")).otherwise(lower))
 
 
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, th, pos, norm, k1, k2) of each line that isn't blank; th is the hash of the text, k1 and k2 are 128 bits of the line's."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(F.col(key).alias("key"), F.xxhash64(whole).alias("th"), F.posexplode(F.split(whole, "\n")).alias("pos", "line"))
-    lines = lines.select("key", "th", "pos", normal(F.col("line")).alias("norm")).where("norm != ''")
+    lines = docs.select(F.col(key).alias("key"), F.xxhash64(whole).alias("th"), F.posexplode(F.split(F.lower(whole), "\n")).alias("pos", "line"))
+    lines = lines.where(F.btrim("line", F.lit(" \t\x0b\f\r")) != "").select("key", "th", "pos", normal(F.col("line")).alias("norm"))
     return lines.select("key", "th", "pos", "norm", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), F.col("norm")).alias("k2"))
 
 
 def simhash(lines: DataFrame) -> DataFrame:
     """(k1, k2, size, simhash): bit i is set where more than half of the line's distinct words have it in their hashes.
 
-    Two counters share a long, each of 31 bits, more than a line can have words. ``lines`` must be one row per (k1, k2) and
-    partitioned by them, so that the words stay in their task.
+    Eight counters share a long for up to CHUNK words, then two, each of 31 bits, more than a line can have words. ``lines`` must
+    be one row per (k1, k2) and partitioned by them, so that the words stay in their task.
     """
-    words = lines.select("k1", "k2", F.length("norm").alias("size"), F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("k1", "k2", "size", F.xxhash64("w").alias("h"))
-    lane = lambda i: F.expr(f"((shiftrightunsigned(h, {2 * i}) & 3L) * {1 + (1 << 30)}L) & {1 | 1 << 31}L")
-    sums = words.groupBy("k1", "k2").agg(F.max("size").alias("size"), F.count("*").alias("n"), *[F.sum(lane(i)).alias(f"c{i}") for i in range(LANES)])
-    bits = [f"(if(2 * (c{i} & {(1 << 31) - 1}L) > n, {1 << 2 * i}L, 0L) | if(2 * shiftrightunsigned(c{i}, 31) > n, shiftleft(1L, {2 * i + 1}), 0L))" for i in range(LANES)]
+    words = lines.select("k1", "k2", F.length("norm").alias("size"), F.posexplode(F.array_distinct(F.split("norm", " "))).alias("at", "w"))
+    words = words.select("k1", "k2", "size", F.expr(f"cast(at div {CHUNK} as int)").alias("chunk"), F.xxhash64("w").alias("h"))
+    some = words.groupBy("k1", "k2", "chunk").agg(F.max("size").alias("size"), F.count("*").alias("n"), *[F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {ONES}L")).alias(f"s{i}") for i in range(8)])
+    pair = lambda i: F.expr(f"(shiftrightunsigned(s{i % 8}, {i - i % 8}) & 255L) + shiftleft(shiftrightunsigned(s{i % 8}, {i - i % 8 + 32}) & 255L, 31)")
+    sums = some.groupBy("k1", "k2").agg(F.max("size").alias("size"), F.sum("n").alias("n"), *[F.sum(pair(i)).alias(f"c{i}") for i in range(32)])
+    bits = [f"(if(2 * (c{i} & {(1 << 31) - 1}L) > n, {1 << i}L, 0L) | if(2 * shiftrightunsigned(c{i}, 31) > n, shiftleft(1L, {i + 32}), 0L))" for i in range(32)]
     return sums.select("k1", "k2", "size", F.expr(" | ".join(bits)).alias("simhash"))
 
 
@@ -63,15 +67,9 @@ def block_keys(value: Column) -> Column:
     return F.array(*keys)
 
 
-def without_common(x: str, y: str, steps: int = 6) -> str:
-    """Struct (x, y) of two texts, backwards, without what they begin with in common, all but a 64th part of it.
-
-    A half, a quarter and so on of the shorter text goes where it is equal in both. Twice over, that leaves the edit distance
-    as it is and little else.
-    """
-    n = f"cast(least(length({x}), length({y})) / shiftleft(1, i) as int)"
-    cut = f"if(left(acc.x, {n}) = left(acc.y, {n}), named_struct('x', substring(acc.x, {n} + 1), 'y', substring(acc.y, {n} + 1)), acc)"
-    return f"aggregate(sequence(1, {steps}), named_struct('x', {x}, 'y', {y}), (acc, i) -> {cut}, acc -> named_struct('x', reverse(acc.x), 'y', reverse(acc.y)))"
+def within_edits(x: str, y: str, most: str) -> str:
+    """Condition that two texts are at most so many edits apart; a narrow band comes first, as it is enough for most near copies."""
+    return f"levenshtein({x}, {y}, ({most}) div 8) >= 0 or levenshtein({x}, {y}, {most}) >= 0"
 
 
 class Lines:
@@ -94,14 +92,16 @@ class Lines:
         """The pairs (a, b) of ids within the distance whose texts pass the edit check."""
         one, two = (self.all.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("k1", "k2", "simhash", "size")]) for x in "ab")
         near = pairs.join(one, "a").join(two, "b")
-        most = F.expr(f"cast({EDITS} * greatest(size_a, size_b) as int)")
-        near = near.where((F.bit_count(F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))) <= DISTANCE) & (F.abs(F.col("size_a") - F.col("size_b")) <= most))
+        near = near.withColumn("most", F.expr(f"cast({EDITS} * greatest(size_a, size_b) as int)"))
+        near = near.where((F.bit_count(F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))) <= DISTANCE) & (F.abs(F.col("size_a") - F.col("size_b")) <= F.col("most")))
+        names = [f"{c}_{x}" for x in "ab" for c in ("k1", "k2")]
+        near = stored(near.select("a", "b", "most", *names), "close-lines")
+        # the texts are read once, where they lie, and only those of close lines go on
+        needed = near.select(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")).union(near.select("k1_b", "k2_b")).distinct()
+        texts = stored(self.texts.join(needed.hint("shuffle_hash"), ["k1", "k2"], "left_semi"), "close-texts")
         for x in "ab":
-            text = self.texts.select(F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("norm").alias(f"norm_{x}"))
-            near = near.join(text.hint("merge"), [f"k1_{x}", f"k2_{x}"])
-        for x, y in (("norm_a", "norm_b"), ("t.x", "t.y")):
-            near = near.withColumn("t", F.expr(without_common(x, y)))
-        return near.where(F.expr(f"levenshtein(t.x, t.y, cast({EDITS} * greatest(size_a, size_b) as int)) >= 0")).select("a", "b")
+            near = near.join(texts.select(F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("norm").alias(f"norm_{x}")), [f"k1_{x}", f"k2_{x}"])
+        return near.where(F.expr(within_edits("norm_a", "norm_b", "most"))).select("a", "b")
 
     def groups(self) -> DataFrame:
         """(node, root) of the lines that have a link.
