@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.common import components, join_groups, parts, stored, table
@@ -134,7 +134,8 @@ def split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def describe(docs: DataFrame, buckets: int) -> DataFrame:
-    """A row per document (id, text): id, n (shingles), sig (a name of its set), and live: it may have a partner.
+    """A row per document (row, id, text): row, id, th (hash of the text), n (shingles), sig (a name of its set), and live: it
+    may have a partner.
 
     A document whose partner shares at least 3/4 of its tokens shares all but a quarter of them in any part of the token
     space. Tokens of a fixed part of it are sent to hash buckets, packed, and those that another document has are counted
@@ -150,7 +151,7 @@ def describe(docs: DataFrame, buckets: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(batch), dtype=np.uint16), sizes)
                 part = (tokens & U(7)) < PART
                 mine = np.where(sizes <= SHORT, sizes, np.bincount(owner[part], minlength=len(batch)))
-                facts = [batch["id"].to_numpy("<i8"), sizes.astype("<i8"), mine.astype("<i8"), signatures(tokens, sizes).astype("<i8")]
+                facts = [*[batch[c].to_numpy("<i8") for c in ("row", "id", "th")], sizes.astype("<i8"), mine.astype("<i8"), signatures(tokens, sizes).astype("<i8")]
                 rows = [(-1 - number % buckets, number, np.concatenate(facts).tobytes(), b"")]
                 sent = part | (sizes <= SHORT * DEN // NUM)[owner]
                 tokens, owner = tokens[sent], owner[sent]
@@ -163,8 +164,8 @@ def describe(docs: DataFrame, buckets: int) -> DataFrame:
         out = []
         if group["bucket"].iloc[0] < 0:
             for batch, a in zip(group["batch"], group["a"]):
-                ids, n, mine, sig = np.frombuffer(a, "<i8").reshape(4, -1)
-                out.append(pd.DataFrame({"batch": batch, "at": np.arange(ids.size), "shared": 0, "in_part": 0, "id": ids, "n": n, "mine": mine, "sig": sig}))
+                known = np.frombuffer(a, "<i8").reshape(len(names), -1)
+                out.append(pd.DataFrame({"batch": batch, "at": np.arange(known.shape[1]), "shared": 0, "in_part": 0, **dict(zip(names, known))}))
         else:
             tokens = np.frombuffer(b"".join(group["a"]), np.uint32)
             _, which, times = np.unique(tokens, return_inverse=True, return_counts=True)
@@ -175,31 +176,30 @@ def describe(docs: DataFrame, buckets: int) -> DataFrame:
                 every = np.bincount(owner[shared[here]])
                 at = np.flatnonzero(every)
                 inside = np.bincount(owner[shared[here] & part[here]], minlength=every.size)
-                out.append(pd.DataFrame({"batch": batch, "at": at, "shared": every[at], "in_part": inside[at], "id": None, "n": None, "mine": None, "sig": None}))
-        return pd.concat(out).astype({c: "Int64" for c in ("id", "n", "mine", "sig")})
-
-    sent = docs.select("id", "text").mapInPandas(emit, "bucket int, batch long, a binary, b binary")
-    counted = sent.groupBy("bucket").applyInPandas(count, "batch long, at int, shared long, in_part long, id long, n long, mine long, sig long")
-    facts = counted.groupBy("batch", "at").agg(F.sum("shared").alias("shared"), F.sum("in_part").alias("in_part"), *[F.max(c).alias(c) for c in ("id", "n", "mine", "sig")])
+                out.append(pd.DataFrame({"batch": batch, "at": at, "shared": every[at], "in_part": inside[at], **dict.fromkeys(names)}))
+        return pd.concat(out).astype(dict.fromkeys(names, "Int64"))
+
+    names = ["row", "id", "th", "n", "mine", "sig"]
+    hashed = docs.select("row", "id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    sent = hashed.mapInPandas(emit, "bucket int, batch long, a binary, b binary")
+    counted = sent.groupBy("bucket").applyInPandas(count, "batch long, at int, shared long, in_part long, " + ", ".join(f"{c} long" for c in names))
+    facts = counted.groupBy("batch", "at").agg(F.sum("shared").alias("shared"), F.sum("in_part").alias("in_part"), *[F.max(c).alias(c) for c in names])
     got = F.when(F.col("n") <= SHORT, F.col("shared")).otherwise(F.col("in_part"))
     spare = F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN}")
-    return facts.select("id", "n", "sig", ((F.col("n") > 0) & (got >= F.col("mine") - spare)).alias("live"))
+    return facts.select("row", "id", "th", "n", "sig", ((F.col("n") > 0) & (got >= F.col("mine") - spare)).alias("live"))
 
 
 def live_sets(docs: DataFrame, facts: DataFrame, per_batch: int = 1 << 19) -> DataFrame:
     """The distinct sets that may have a partner, in batches: sigs, sizes and tokens, packed."""
-    wanted = facts.where("live").groupBy("sig").agg(F.min("id").alias("id")).select("id", F.col("sig").alias("want"))
-    texts = docs.select("id", "text").join(wanted, "id")
+    wanted = facts.where("live").groupBy("sig").agg(F.min("row").alias("row")).select("row", F.col("sig").alias("want"))
+    texts = docs.select("row", "text").join(wanted, "row")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, number, held, size = Shingler(), TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             tokens, sizes = shingler.sets(batch["text"].tolist())
-            sigs, ends, done = signatures(tokens, sizes), np.cumsum(sizes), set()
+            ends = np.cumsum(sizes)
             for i, want in enumerate(batch["want"].tolist()):
-                if sigs[i] != want or (want, batch["id"].iloc[i]) in done:  # ids may repeat
-                    continue
-                done.add((want, batch["id"].iloc[i]))
                 held.append((want, sizes[i], tokens[ends[i] - sizes[i] : ends[i]]))
                 size += int(sizes[i])
                 if size >= per_batch:
@@ -351,43 +351,56 @@ def links(sets: DataFrame, buckets: int) -> DataFrame:
     return components(near.union(similar(pairs.select("a", "b"), sets)), "a", "b", "links")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: key, n_shingles, component_id (the least key reachable by links, its own included).
+def groups(rows: DataFrame) -> DataFrame:
+    """A row per stored row (row, id, text): row, id, n (shingles), and head, the (id, th, row) of its group that comes first.
 
-    Documents link at a Jaccard similarity of their sets of 5-word shingles of at least 0.75, without a cap on partners. Texts
-    are lower-cased in A-Z and split at blanks; fewer than five words are one shingle; null and blank texts have none and link
-    with nothing. Equal sets are one node, so copies cost no pairs. Null keys are linked like others and come last in
-    ``component_id``; repeated rows stay. Other columns are ignored. Tokens and sets are compared by hashes of 64 bits.
+    ``row`` is unique; rows without shingles have no head.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text).alias("text"))
+    spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parts(spark), size // BUCKET_BYTES + 1)
     facts = stored(describe(rows, buckets), "facts")
     sets = stored(live_sets(rows, facts), "sets")
     roots = stored(links(sets, buckets), "roots")
-    least = facts.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
-    classes = least.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
-    tops = classes.groupBy("root").agg(F.min("id").alias("component_id"))
-    classes = classes.join(tops, "root").select("sig", "component_id")
+    least = facts.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "th", "row")).alias("first"))
+    classes = least.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
+    tops = classes.groupBy("root").agg(F.min("first").alias("head"))
+    classes = classes.join(tops, "root").select("sig", "head")
     # a set's rows may be a third of the table: spread what large sets need over tasks
     counts = facts.groupBy("sig").agg(F.count("*").alias("size")).join(classes, "sig")
-    keyed = facts.select("id", "n", F.when(F.col("n") > 0, F.col("sig").cast("string")).alias("sig"))
-    out = join_groups(keyed, counts.withColumn("sig", F.col("sig").cast("string")), "sig", "size", facts.count())
+    keyed = facts.select("row", "id", "n", F.when(F.col("n") > 0, F.col("sig").cast("string")).alias("sig"))
+    return join_groups(keyed, counts.withColumn("sig", F.col("sig").cast("string")), "sig", "size", facts.count())
+
+
+def sortable(key: str) -> Column:
+    """The key with nulls last."""
+    return F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document: key, n_shingles, component_id (the least key reachable by links, its own included).
+
+    Documents link at a Jaccard similarity of their sets of 5-word shingles of at least 0.75, without a cap on partners. Texts
+    are lower-cased in A-Z and split at blanks; fewer than five words are one shingle; null and blank texts have none and link
+    with nothing. Equal sets are one node, so copies cost no pairs. Null keys are linked like others and come last in
+    ``component_id``; repeated rows stay. Other columns are ignored. Tokens and sets are compared by hashes of 64 bits.
+    """
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), sortable(key).alias("id"), F.col(text).alias("text")), "rows")
+    out = groups(rows)
     real = lambda c: F.when(c != (1 << 63) - 1, c)
-    return out.select(real(F.col("id")).alias(key), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "id")).alias("component_id"))
+    return out.select(real(F.col("id")).alias(key), F.col("n").alias("n_shingles"), real(F.coalesce("head.id", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are linked, over any number of links, to one of lesser key.
 
-    Rows that repeat a key are one document, of which one row stays, that of the least hash of its text.
+    Of linked rows with one key that of the least hash of its text stays. Rows are told apart by a stored number, so keys may
+    be null or repeat: rows without a link stay, whatever their keys.
     """
-    found = near_duplicates(docs, key, text)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k")).distinct()
-    joined = docs.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).join(kept, "_k", "left_semi")
-    first = Window.partitionBy("_k").orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    rows = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = groups(rows.select("row", sortable(f"doc.{key}").alias("id"), F.col(f"doc.{text}").alias("text")))
+    kept = found.where("head is null or row = head.row").select("row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

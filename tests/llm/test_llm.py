@@ -280,6 +280,17 @@ def test_near_duplicates_agree_with_brute_force(odd, none):
     assert kept.columns == odd.columns
 
 
+def test_keep_one_drops_linked_rows_only(spark):
+    rng = random.Random(9)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    own, twin = [prose() for _ in range(12)], prose()
+    rows = [(None, t, "a") for t in own[:6]] + [(7, t, "a") for t in own[6:]] + [(None, twin, "a"), (7, twin, "b"), (7, twin.upper(), "b"), (9, twin, "b"), (None, None, "a"), (None, " ", "a")]
+    docs = frame(spark, rows)
+    got = Counter((i, (t or "").lower()) for i, t in texts(ngram_join.keep_one(docs)))
+    assert got == Counter([*[(None, t) for t in own[:6]], *[(7, t) for t in own[6:]], (7, twin), (None, ""), (None, " ")])
+    assert sum(r.component_id == 7 for r in ngram_join.near_duplicates(docs).collect()) == 10
+
+
 def test_quality_model_learns_and_scores_odd_texts(spark, odd, none):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
