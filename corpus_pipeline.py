@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier one has in the same or nearly the same form."""
-    return fuzzy_lines.dedup_lines(docs)
+    return fuzzy_lines.dedup_lines(docs, kind=fuzzy_lines.NearLines)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

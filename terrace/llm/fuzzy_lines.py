@@ -1,4 +1,6 @@
-"""Fuzzy line dedup: SimHash of normalised lines, joins on blocks of its bits, edit similarity, one occurrence per group.
+"""Fuzzy line dedup: sampled word and character n-grams of normalised lines, joins on them, edit similarity, one occurrence per group.
+
+``Lines`` links by edits and a narrow SimHash, which misses most pairs that are near by edits alone; ``NearLines`` links by edits.
 
 Everything on the path is a DataFrame expression.
 """
@@ -23,6 +25,10 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Words whose bits are summed in bytes at first; below 128, so that the sum of a long stays positive.
 CHUNK = 127
 ONES = 0x0101010101010101
+#: Bins of the word n-grams and of the character n-grams of a line; each gives a key.
+WORD_BINS, CHAR_BINS = 20, 24
+#: Letters that are counted before texts are compared; an edit changes the counts by two at most.
+LETTERS = "etaoinrshldu"
 
 
 def normal(lower: Column) -> Column:
@@ -88,12 +94,24 @@ class Lines:
     def drop(self) -> None:
         self.texts.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
 
+    #: What of a line is known before its text.
+    known = ("simhash", "size")
+
+    def keyed(self) -> DataFrame:
+        """(id, key): lines that may be linked share a key."""
+        return self.all.select("id", F.explode(block_keys(F.col("simhash"))).alias("key"))
+
+    def may_link(self, a: str, b: str) -> str:
+        """Condition on what is known of two lines, as SQL with these patterns of their columns."""
+        x, y = ({c: p.format(c) for c in self.known} for p in (a, b))
+        return f"bit_count({x['simhash']} ^ {y['simhash']}) <= {DISTANCE} and abs({x['size']} - {y['size']}) <= {EDITS} * greatest({x['size']}, {y['size']})"
+
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of ids within the distance whose texts pass the edit check."""
-        one, two = (self.all.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("k1", "k2", "simhash", "size")]) for x in "ab")
+        """The pairs (a, b) of ids that may be linked whose texts pass the edit check."""
+        one, two = (self.all.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("k1", "k2", *self.known)]) for x in "ab")
         near = pairs.join(one, "a").join(two, "b")
         near = near.withColumn("most", F.expr(f"cast({EDITS} * greatest(size_a, size_b) as int)"))
-        near = near.where((F.bit_count(F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))) <= DISTANCE) & (F.abs(F.col("size_a") - F.col("size_b")) <= F.col("most")))
+        near = near.where(self.may_link("{}_a", "{}_b"))
         names = [f"{c}_{x}" for x in "ab" for c in ("k1", "k2")]
         near = stored(near.select("a", "b", "most", *names), "close-lines")
         # the texts are read once, where they lie, and only those of close lines go on
@@ -110,7 +128,7 @@ class Lines:
         only if they are in another group by then; that joins groups of near copies at a cost in proportion to their sizes. Keys with three lines or more that then still hold several groups give all pairs
         of different groups, so no link between groups is lost.
         """
-        keyed = self.all.select("id", F.explode(block_keys(F.col("simhash"))).alias("key")).repartition(parts(self.all.sparkSession), "key")
+        keyed = self.keyed().repartition(parts(self.all.sparkSession), "key")
         least = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
         shared = stored(keyed.join(least, "key"), "blocks")
         stars = stored(shared.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "line-stars")
@@ -123,15 +141,62 @@ class Lines:
         roots = stored(components(near, "a", "b", "line-stars"), "line-groups")
         placed = shared.where("members > 2").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        known = self.all.select("id", "simhash", "size")
+        known = self.all.select("id", *self.known)
         placed = stored(placed.join(open_, "key").join(known, "id"), "open-blocks")
-        other = placed.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "root", "simhash", "size")])
-        near_by = f"bit_count(simhash ^ b_simhash) <= {DISTANCE} and abs(size - b_size) <= {EDITS} * greatest(size, b_size)"
+        other = placed.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "root", *self.known)])
+        near_by = self.may_link("{}", "b_{}")
         pairs = placed.join(other, "key").where(f"root < b_root and {near_by}").select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
         return components(near.union(self.linked(pairs)), "a", "b", "line-links")
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+class NearLines(Lines):
+    """Lines that link by edits alone.
+
+    A line's n-grams fall in bins by hash, and each bin gives one as a key: of word n-grams the longest, which few unrelated
+    lines have, and of character n-grams, which only short lines need, that of least hash. Lines that share a share J of their
+    n-grams miss each other with probability (1 - J) ** bins at most. Widths overlap, so lines at their bounds meet too.
+    """
+
+    known = ("size", *[f"n_{c}" for c in LETTERS])
+
+    def __init__(self, lines: DataFrame) -> None:
+        spark = lines.sparkSession
+        self.name = f"lines_{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/terrace-{self.name}"
+        distinct = lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm")).withColumn("id", F.monotonically_increasing_id())
+        distinct.write.bucketBy(parts(spark), "k1", "k2").sortBy("k1", "k2").option("path", path).option("compression", "zstd").saveAsTable(self.name)
+        self.texts = spark.table(self.name)
+        counts = [F.expr(f"length(norm) - length(replace(norm, '{c}', ''))").alias(f"n_{c}") for c in LETTERS]
+        self.all = stored(self.texts.select("id", "k1", "k2", F.length("norm").alias("size"), *counts), "line-letters")
+
+    def keyed(self) -> DataFrame:
+        line = self.texts.select("k1", "k2", "id", "norm", F.length("norm").alias("size"), F.split("norm", " ").alias("ws")).withColumn("n", F.size("ws"))
+        words = line.where("n >= 20").select("k1", "k2", "id", "n", "ws", F.posexplode("ws").alias("at", "w"))
+        shingles = []
+        for kind, width, low, high in ((3, 3, 20, 48), (4, 4, 36, None)):
+            run = F.concat_ws(" ", "w", *[F.get("ws", F.col("at") + i) for i in range(1, width)])
+            here = words.where(f"n >= {low} and at <= n - {width}" + (f" and n < {high}" if high else ""))
+            shingles.append(here.select("k1", "k2", "id", F.lit(kind).alias("kind"), run.alias("gram"), F.lit(WORD_BINS).alias("bins")))
+        short = line.where("size >= 7")  # below, no edit is allowed
+        for kind, width, where in ((0, 3, "size < 24"), (1, 5, "size >= 17 and n < 9"), (2, 12, "size >= 17 and n >= 7 and n < 24")):
+            at = short.where(where).select("k1", "k2", "id", "norm", F.explode(F.expr(f"sequence(1, greatest(1, size - {width - 1}))")).alias("at"))
+            shingles.append(at.select("k1", "k2", "id", F.lit(kind).alias("kind"), F.substring("norm", F.col("at"), F.lit(width)).alias("gram"), F.lit(CHAR_BINS).alias("bins")))
+        out = []
+        for rows in shingles:
+            hashed = rows.select("k1", "k2", "id", "kind", "bins", F.length("gram").alias("long"), F.xxhash64("gram").alias("h"))
+            rank = F.expr(f"shiftleft(cast({0x3FFF} - least(long, {0x3FFF}) as long), 48) | (h & {(1 << 48) - 1}L)")  # the longest, then that of least hash
+            best = hashed.select("k1", "k2", "id", "kind", F.expr("pmod(shiftrightunsigned(h, 48), bins)").alias("bin"), rank.alias("rank")).groupBy("k1", "k2", "id", "kind", "bin").agg(F.min("rank").alias("rank"))
+            out.append(best.select("id", F.xxhash64("kind", "bin", "rank").alias("key")))
+        return reduce(DataFrame.union, out)
+
+    def may_link(self, a: str, b: str) -> str:
+        x, y = a.format, b.format
+        longer = f"greatest({x('size')}, {y('size')})"
+        apart = " + ".join(f"abs({x(c)} - {y(c)})" for c in self.known[1:])
+        return f"abs({x('size')} - {y('size')}) <= {EDITS} * {longer} and {apart} <= 2 * cast({EDITS} * {longer} as int)"
+
+
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: type[Lines] = Lines) -> DataFrame:
     """(key, th, drop): the positions of the lines to remove from each document, named by key and hash of text, that has some.
 
     Of each group of equal or linked lines the first occurrence stays, by key (null first), hash and position. Blank lines
@@ -139,7 +204,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     lines = line_table(docs, key, text)
     seen = stored(lines.select("key", "th", "pos", "k1", "k2"), "occurrences")
-    distinct = Lines(lines)
+    distinct = kind(lines)
     roots = stored(distinct.groups(), "line-roots")
     firsts = seen.groupBy("k1", "k2").agg(F.min(F.struct("key", "th", "pos")).alias("first"), F.count("*").alias("n"))
     ids = distinct.all.select("k1", "k2", "id").join(roots, F.col("id") == F.col("node")).select("k1", "k2", "root")
@@ -153,12 +218,12 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return again.groupBy("key", "th").agg(F.array_sort(F.collect_set("pos")).alias("drop"))  # the lines of one document
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: type[Lines] = Lines) -> DataFrame:
     """The documents with repeated lines removed from their texts, in the columns they came with.
 
     A document whose lines are all removed keeps an empty text; null texts stay null.
     """
-    drops = repeated_lines(docs, key, text).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
+    drops = repeated_lines(docs, key, text, kind).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
     here = docs.withColumn("_here", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     found = here.join(drops, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_here") == F.col("_th")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
@@ -168,7 +233,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: its lines, how many of them are removed, and their positions."""
     docs = table(spark, sf_dir, "documents")
-    drops = repeated_lines(docs).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("drop").alias("dropped"))
+    drops = repeated_lines(docs, kind=NearLines).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("drop").alias("dropped"))
     whole = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(whole).alias("_here"), F.size(F.split(whole, "\n")).cast("long").alias("n_lines"))
     found = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col("_here") == F.col("_th")), "left")

@@ -351,6 +351,29 @@ def test_lines_agree_with_brute_force(spark, odd, none):
     assert odd_out.columns == odd.columns and odd_out.count() == odd.count() and fuzzy_lines.dedup_lines(none).count() == 0
 
 
+def test_near_lines_find_what_edits_alone_link(spark):
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    rows = []
+    for n in (2, 4, 8, 15, 22, 30, 45, 60, 150):
+        for _ in range(60):
+            line = [rng.choice(words) for _ in range(n)]
+            other, left = list(line), int(0.13 * len(" ".join(line)))
+            while left > 0:  # replaces words, the last one in part, at most so many characters in all
+                i = rng.randrange(n)
+                k = min(left, len(other[i]))
+                other[i] = "".join(rng.choice("qrstuvwxyz") for _ in range(k)) + other[i][k:]
+                left -= k
+            rows += [(n, " ".join(line), " ".join(other))]
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(x for r in rows for x in r[1:])])
+    pairs = spark.createDataFrame(rows, "n int, x string, y string").where("x != y and levenshtein(x, y) <= 0.15 * greatest(length(x), length(y))").collect()
+    lines = fuzzy_lines.NearLines(fuzzy_lines.line_table(docs, "doc_id", "text"))
+    root = {r.norm: r.root for r in lines.groups().join(lines.texts, F.col("node") == F.col("id")).collect()}
+    found = Counter(r.n for r in pairs if r.x in root and root[r.x] == root.get(r.y))
+    each = Counter(r.n for r in pairs)
+    assert len(each) >= 8 and all(found[n] >= 0.95 * each[n] for n in each) and found.total() >= 0.99 * each.total(), (found, each)
+
+
 def test_secret_scan(spark, odd, none):
     rng = random.Random(6)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
