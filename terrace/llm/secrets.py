@@ -102,13 +102,17 @@ def judge(found: DataFrame, model: RandomForestClassificationModel | None, cutof
     return out.withColumn("probability", chance).withColumn("is_secret", F.col("probability") >= cutoff).drop("inputs", "rawPrediction", "prediction")
 
 
-def known_formats(value: Column, before: Column, before2: Column) -> Column:
-    """Labels for findings where a table has none: 1 for documented key formats, 0 for the rest.
+def known_formats(value: Column, before: Column, before2: Column, whole: Column) -> Column:
+    """Labels for findings where a table has none: 1 for documented key formats, 0 for known look-alikes, else null.
 
-    An access key id of 20 characters; a quoted hexadecimal value of 40 that is assigned to a name; prefixed tokens.
+    Formats, in any case: an access key id of 20 characters; a hexadecimal value of 40 that is assigned to a name; prefixed
+    tokens. Look-alikes: numbers, plain words, rulers, and parts of paths and addresses. What is neither may be a secret of
+    another kind, so the forest does not learn from it.
     """
-    hexed = value.rlike("^[0-9a-f]{40}$") & before.rlike("[=:]$") & before2.rlike("(?i)token|key|secret")
-    return (value.rlike("^AKIA[A-Z0-9]{16}$") | value.rlike("^gh[pousr]_[A-Za-z0-9]{36}$") | hexed).cast("int")
+    hexed = value.rlike("(?i)^[0-9a-f]{40}$") & before.rlike("[=:]$") & before2.rlike("(?i)token|key|secret")
+    secret = value.rlike("(?i)^AKIA[A-Z0-9]{16}$") | value.rlike("(?i)^gh[pousr]_[A-Z0-9]{36}$") | hexed
+    other = value.rlike(r"^(?:[0-9]+|[+/_=\-]+|(?:[A-Z]?[a-z]*[+/_=\-]+)*[A-Z]?[a-z]*)$") | whole.rlike(r"[/\\].*[/\\]|://") | whole.contains("@")
+    return F.when(secret, 1).when(other, 0)
 
 
 def scan(docs: DataFrame, labelled_docs: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,7 +122,7 @@ def scan(docs: DataFrame, labelled_docs: DataFrame | None = None, key: str = "do
     that don't state the format. Repeated rows give repeated findings; null keys are kept; other columns are ignored.
     """
     found = stored(features(candidates(docs, key, text), dictionary(docs, text)), "candidates")
-    labelled = found.withColumn("label", known_formats(F.col("value"), F.col("before"), F.col("before2")))
+    labelled = found.withColumn("label", known_formats(*map(F.col, ("value", "before", "before2", "whole"))))
     if labelled_docs is not None:
         labelled = labelled.join(labelled_docs.select(key).distinct(), key, "left_semi")
     return judge(found, train(labelled)).select(key, "word", "nth", "value", "before", "after", "covered", "switches", "probability", "is_secret")

@@ -385,6 +385,19 @@ def test_secret_scan(spark, odd, none):
     assert Counter((r.doc_id, r.value) for r in every) == Counter((i, v) for i, t in texts(odd) for v in re.findall(r"[A-Za-z0-9+/_=\-]{16,}", t or ""))
 
 
+def test_secrets_of_a_format_without_labels_are_found(spark):
+    rng = random.Random(16)
+    some = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    digits = "0123456789abcdef"
+    rows = [(i, f'the thing token = "{some(40, digits)}" and then over', "a") for i in range(150)]
+    rows += [(1000 + i, f"the thing andtheorder{'over' * (1 + i % 4)} and then", "a") for i in range(150)]
+    rows += [(2000 + i, f'the thing token = "{some(32, digits)}" and then over', "a") for i in range(100)]  # no known format
+    rows += [(3000 + i, f'THE THING TOKEN = "{some(40, digits.upper())}" AND THEN OVER', "a") for i in range(100)]
+    rows += [(4000 + i, f"see http://thing.over/a/{some(18, digits)}/b and then", "a") for i in range(50)]
+    got = Counter(r.doc_id // 1000 for r in secrets.scan(frame(spark, rows)).collect() if r.is_secret)
+    assert got[0] >= 147 and got[2] >= 95 and got[3] >= 95 and got[1] == got[4] == 0, got
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
