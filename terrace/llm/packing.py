@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from array import array
@@ -26,7 +28,10 @@ CACHE = 400_000
 
 
 class Pieces(dict):
-    """Ids, as bytes, of a space and the characters up to the next space; filled as they come, emptied when too many."""
+    """Ids, as bytes, of a space and the characters up to the next space; filled as they come, emptied when too many.
+
+    Tokens that the tokenizer file beside the vocabulary adds to it are cut out of texts first.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         import public_tokenizers
@@ -37,13 +42,23 @@ class Pieces(dict):
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = added_tokens(vocabulary)
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or "(?!)")
 
     def __missing__(self, piece: str) -> bytes:
         found = self[piece] = array("H", self.encoding.encode_ordinary(f" {piece}")).tobytes()
         return found
 
-    def encode(self, text: str, odd=re.compile(r"\s\s|[^\S \t\n\r]").search) -> bytes:
-        """Ids of 16 bits each. Where every blank stands alone, no token crosses a space but as its first character."""
+    def encode(self, text: str) -> bytes:
+        """Ids of 16 bits each."""
+        out, start = [], 0
+        for found in self.cut.finditer(text):
+            out += [self.plain(text[start : found.start()]), array("H", [self.added[found[0]]]).tobytes()]
+            start = found.end()
+        return b"".join([*out, self.plain(text[start:])]) if out else self.plain(text)
+
+    def plain(self, text: str, odd=re.compile(r"\s\s|[^\S \t\n\r]").search) -> bytes:
+        """Ids of a text without added tokens. Where every blank stands alone, no token crosses a space but as its first character."""
         if odd(text):
             return array("H", self.encoding.encode_ordinary(text)).tobytes()
         if len(self) > CACHE:
@@ -52,6 +67,15 @@ class Pieces(dict):
         return array("H", self.encoding.encode_ordinary(first)).tobytes() + b"".join(map(self.__getitem__, rest))
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Ids of the tokens that the tokenizer file of the same name adds; none without such a file."""
+    path = f"{os.path.splitext(vocabulary)[0]}.json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def default_vocabulary() -> str:
     """The ranks of the vocabulary of byte_bpe_50k.json, in the form that the fast encoder reads."""
     import public_tokenizers

@@ -205,6 +205,13 @@ def test_encoder_agrees_with_the_tokenizer():
         assert np.frombuffer(pieces.encode(t), np.uint16).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_have_their_ids():
+    tokenizer, pieces = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Pieces(packing.default_vocabulary())
+    mark = "<|endoftext|>"
+    for t in (f"one {mark} two", mark, f"{mark}{mark}", f" {mark}\n\n{mark} a  b", f"x{mark}y <|endoftext| >", f"one two{mark}"):
+        assert np.frombuffer(pieces.encode(t), np.uint16).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_windows_hold_their_proportions(spark):
     rows = [(i, i, "abc"[i % 3], 50 + 37 * i % 400) for i in range(3000)]
     meta = spark.createDataFrame(rows, "row long, key long, source string, n long")
