@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,20 +78,36 @@ def hard_split(text: Column, size: int) -> Column:
 
 def refine(pieces: Column, limit: int, rules: SplitRules) -> Column:
     """Cut pieces above ``limit`` characters at ever weaker boundaries, then by size; others stay."""
+
+    def cut(boundary: str) -> Callable[[Column], Column]:
+        return lambda p: F.when(F.length(p) > limit, filled(F.split(p, boundary))).otherwise(F.array(p))
+
     for boundary in rules.weaker:
-        pieces = F.flatten(F.transform(pieces, lambda p, b=boundary: F.when(F.length(p) > limit, filled(F.split(p, b))).otherwise(F.array(p))))
-    return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > limit, hard_split(p, limit)).otherwise(F.array(p))))
+        pieces = F.flatten(F.transform(pieces, cut(boundary)))
+    return filled(F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > limit, hard_split(p, limit)).otherwise(F.array(p)))))
 
 
-def pack(pieces: Column, limit: int) -> Column:
-    """Join neighbouring pieces greedily while the sum of lengths is at most ``limit``."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+def pack(rows: DataFrame, pieces: str, limit: int) -> DataFrame:
+    """Replace the array ``pieces`` of each row: neighbouring pieces joined greedily while the sum of lengths is at most ``limit``.
+
+    Linear in the pieces, by Arrow batches.
+    """
 
-    def step(acc: Column, p: Column) -> Column:
-        fits = (acc["open"] == "") | (F.length(acc["open"]) + F.length(p) <= limit)
-        return F.when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["open"], p).alias("open"))).otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), p.alias("open")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = []
+            for row in batch[pieces]:
+                done, open_, size = [], [], 0
+                for p in row if row is not None else ():
+                    if open_ and size + len(p) > limit:
+                        done.append("".join(open_))
+                        open_, size = [], 0
+                    open_.append(p)
+                    size += len(p)
+                packed.append([*done, "".join(open_)] if open_ else done)
+            yield batch.assign(**{pieces: packed})
 
-    return F.aggregate(pieces, empty, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    return rows.mapInPandas(run, rows.schema)
 
 
 def chunks(docs: DataFrame, rules: SplitRules, parent_limit: int = 260, child_limit: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,12 +118,12 @@ def chunks(docs: DataFrame, rules: SplitRules, parent_limit: int = 260, child_li
     no chunks.
     """
     cut = docs.select(key, F.posexplode(sections(text_or_empty(text), rules)).alias("section", "body"))
-    packed = cut.select(key, "section", pack(refine(sentences(F.col("body"), rules), parent_limit, rules), parent_limit).alias("parents"))
+    packed = pack(cut.select(key, "section", refine(sentences(F.col("body"), rules), parent_limit, rules).alias("parents")), "parents", parent_limit)
     prefix = F.concat(F.lit("rule_doc_"), F.col("section"))
     rows = packed.select(key, prefix.alias("prefix"), F.size("parents").alias("many"), F.posexplode("parents").alias("i", "parent_text"))
     rows = rows.withColumn("parent_id", F.when(F.col("many") == 1, F.col("prefix")).otherwise(F.concat_ws("_", "prefix", "i")))
-    small = pack(refine(sentences(F.col("parent_text"), rules), child_limit, rules), child_limit)
-    out = rows.select(key, "parent_id", "parent_text", F.posexplode(small).alias("child_index", "child_text"))
+    small = rows.select(key, "parent_id", "parent_text", refine(sentences(F.col("parent_text"), rules), child_limit, rules).alias("children"))
+    out = pack(small, "children", child_limit).select(key, "parent_id", "parent_text", F.posexplode("children").alias("child_index", "child_text"))
     return out.withColumn("chunk_id", chunk_id(F.col("child_text"), F.col("parent_id")))
 
 
