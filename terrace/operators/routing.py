@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.text import clauses, contains_any, normalise, stem, strip, terms, text_or_empty
 from terrace.functions.vectors import cosine, dot, softmax
+from terrace.operators.retrieval import contained
 
 # Points of the routing rules.
 KEYWORD, TERM_LEAST, TERM_MOST, PREFERRED, ALIAS, PRIORITY, EXCLUDE = 8, 2, 6, 2, 12, 6, 12
@@ -16,7 +17,8 @@ KEYWORD, TERM_LEAST, TERM_MOST, PREFERRED, ALIAS, PRIORITY, EXCLUDE = 8, 2, 6, 2
 
 def expand_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """(query_id, aliases): the aliases (term, pos, alias) of all terms that a query contains, distinct, in order of the table."""
-    found = queries.select("query_id", "query").join(aliases, F.contains(F.col("query"), F.col("term")))
+    met = contained(queries, aliases, "query_id", "query", "term").select("query_id", F.col("word").alias("term"))
+    found = met.join(aliases, "term")
     first = found.groupBy("query_id", "alias").agg(F.min("pos").alias("pos"))
     return first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "alias"))), lambda x: x["alias"]).alias("aliases"))  # as many as the table has
 
@@ -67,8 +69,8 @@ def profile_scores(queries: DataFrame, profiles_: DataFrame, categories: DataFra
 def rule_scores(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, rule, score) of rule terms (rule, kind, term): 12 for an alias in the query, 6 for a priority term, minus 12 for an excluded one."""
     q = queries.select("query_id", normalise("query").alias("q"))
-    t = rules.select("rule", "kind", normalise("term").alias("term")).where("term != ''")
-    met = q.join(t, F.contains(F.col("q"), F.col("term")))
+    t = rules.select("rule", "kind", normalise("term").alias("word")).where("word != ''")
+    met = contained(q, t, "query_id", "q").select("query_id", "word").join(t, "word")
     points = F.when(F.col("kind") == "alias", ALIAS).when(F.col("kind") == "priority", PRIORITY).when(F.col("kind") == "exclude", -EXCLUDE).otherwise(0)
     return met.groupBy("query_id", "rule").agg(F.sum(points).cast("long").alias("score"))
 
@@ -84,7 +86,8 @@ def boolean_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
 
 def detect(texts: DataFrame, keywords: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
     """(key, category, hits): the category (category, pos, keyword) of most keywords in the text, the first one of ties; texts without a hit are left out."""
-    met = texts.select(key, normalise(text).alias("q")).join(keywords.select("category", "pos", normalise("keyword").alias("k")).where("k != ''"), F.contains(F.col("q"), F.col("k")))
+    words = keywords.select("category", "pos", normalise("keyword").alias("word")).where("word != ''")
+    met = contained(texts.select(key, normalise(text).alias("q")), words, key, "q").select(key, "word").join(words, "word")
     counts = met.groupBy(key, "category").agg(F.count("*").alias("hits"), F.min("pos").alias("pos"))
     best = counts.groupBy(key).agg(F.min_by(F.struct("category", "hits"), F.struct(-F.col("hits"), "pos", "category")).alias("b"))
     return best.select(key, "b.category", "b.hits")
