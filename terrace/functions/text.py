@@ -40,6 +40,31 @@ def normalise(c: Column | str) -> Column:
     return F.translate(squeeze(F.lower(text_or_empty(c))), PUNCTUATION, "")
 
 
+# Punctuation that evaluation ignores, and marks of answer templates.
+EVAL_PUNCTUATION = "!！?？,，.。~～、:：;；'\"“”‘’（）()-[]{}"
+TEMPLATE_MARKS = (
+    (r"【直接依据】|【推理/判断】|【结论】", "\n"),
+    (r"(?im)^(结论|依据|补充说明)\s*[:：]\s*", ""),
+    (r"《[^》]+》", ""),
+    (r"(?im)^\s*(相关条款|最终结论|直接适用或参照理解|必要时简要说明判断过程)\s*$", ""),
+    (r"(?im)^\s*[-*•]\s*", ""),
+    (r"(?im)^\s*[0-9]+\.\s*", ""),
+)
+
+
+def normalise_for_eval(c: Column | str) -> Column:
+    """Lower case without blanks and the wider set of punctuation."""
+    return F.translate(squeeze(F.lower(text_or_empty(c))), EVAL_PUNCTUATION, "")
+
+
+def answer_for_compare(c: Column | str) -> Column:
+    """An answer without template marks, titles and bullets, normalised."""
+    out = text_or_empty(c)
+    for pattern, to in TEMPLATE_MARKS:
+        out = F.regexp_replace(out, pattern, to)
+    return normalise_for_eval(out)
+
+
 def clean_lines(c: Column | str) -> Column:
     """The lines, stripped, without empty ones."""
     return F.filter(F.transform(F.split(text_or_empty(c), "\n"), strip), lambda x: x != "")

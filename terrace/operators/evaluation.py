@@ -7,25 +7,64 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.text import normalise, text_or_empty
+from terrace.functions.text import normalise, normalise_for_eval, text_or_empty
 
 
 def missing_groups(text: Column, groups: Column) -> Column:
-    """First keywords of the groups (array<array<string>>) of which no member is in the normalised text."""
-    said = normalise(text)
-    met = lambda g: F.exists(g, lambda k: (normalise(k) != "") & F.contains(said, normalise(k)))
+    """First keywords of the groups (array<array<string>>) of which no member is in the normalised text; empty groups are met."""
+    said = normalise_for_eval(text)
+    met = lambda g: (F.size(g) == 0) | F.exists(g, lambda k: F.contains(said, normalise_for_eval(k)))
     return F.transform(F.filter(F.coalesce(groups, F.array().cast("array<array<string>>")), lambda g: ~met(g)), lambda g: F.get(g, F.lit(0)))
 
 
-def answer_hit(text: Column, groups: Column, no_answer: Column, is_no_answer: Column) -> Column:
-    """Every group is met; for questions without an answer, whether none was given."""
-    return F.when(no_answer, is_no_answer).otherwise(F.size(missing_groups(text, groups)) == 0)
+def keyword_hit(text: Column, groups: Column) -> Column:
+    """Whether every group has a member in the text."""
+    return F.size(missing_groups(text, groups)) == 0
 
 
-def hit_ratio(text: Column, groups: Column) -> Column:
-    """Share of groups met; 1 for no groups."""
+def hit_ratio(text: Column, groups: Column, mode: Column | None = None) -> Column:
+    """Share of groups met, 0 for no groups; of questions without an answer 1 or 0."""
     n = F.size(F.coalesce(groups, F.array().cast("array<array<string>>")))
-    return F.when(n > 0, 1 - F.size(missing_groups(text, groups)) / n).otherwise(1.0)
+    part = F.when(n > 0, 1 - F.size(missing_groups(text, groups)) / n).otherwise(0.0)
+    return part if mode is None else F.when(mode == "no_answer", keyword_hit(text, groups).cast("double")).otherwise(part)
+
+
+def debug_text(chunks: Column) -> Column:
+    """The parent and child texts of an array of retrieved chunks, a line each."""
+    return F.array_join(F.flatten(F.transform(chunks, lambda c: F.array(c["parent_text"], c["child_text"]))), "\n")
+
+
+def error_type(mode: Column, retrieval: Column, context: Column, answer: Column, citation: Column) -> Column:
+    """ok, or the first stage that failed; questions without an answer are ok or a fallback error."""
+    return (
+        F.when(mode == "no_answer", F.when(answer, "ok").otherwise("fallback_error")).when(~retrieval, "retrieval_error").when(~context, "rerank_or_filter_error")
+        .when(~answer, "generation_error").when(~citation, "citation_error").otherwise("ok")
+    )
+
+
+def shadow_summary(cases: DataFrame, rates: Sequence[str], fields: str = "mismatch_fields", drift: Sequence[str] = ()) -> DataFrame:
+    """(metric, value) of compared runs: cases, the rate of each flag, mean latencies, and counts by status, field and drift field.
+
+    ``cases``: id, status, mismatch_fields (array), legacy_ms, graph_ms and the flags. Fields in ``drift`` make a case a drift.
+    """
+    drifted = F.array_intersect(F.col(fields), F.array(*map(F.lit, drift)))
+    rows = cases.withColumn("drifted", drifted)
+    one = rows.agg(
+        F.count("*").cast("double").alias("case_count"), *[F.round(F.avg(F.col(r).cast("int")), 4).alias(f"{r}_rate") for r in rates],
+        F.count_if(F.size("drifted") > 0).cast("double").alias("retrieval_drift_case_count"), F.round(F.avg((F.size("drifted") > 0).cast("int")), 4).alias("retrieval_drift_rate"),
+        *[F.round(F.avg((F.col("status") == x).cast("int")), 4).alias(f"core_{x}_rate") for x in ("match", "error")],
+        *[F.round(F.avg(f"{x}_ms"), 2).alias(f"avg_{x}_latency_ms") for x in ("legacy", "graph")],
+    )
+    wide = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns])).alias("m")).select("m.*")
+    count = lambda prefix, c: rows.select(F.explode(c).alias("x")).groupBy(F.concat(F.lit(prefix), "x").alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    return wide.unionAll(count("status:", F.array("status"))).unionAll(count("mismatch:", F.col(fields))).unionAll(count("drift:", F.col("drifted")))
+
+
+def benchmark_diff(baseline: DataFrame, contender: DataFrame, stats: Sequence[str] = ("avg", "p50", "p95", "max")) -> DataFrame:
+    """(metric, stat, baseline, contender, delta, improved) of two tables of :func:`blocks`; lower is better, missing sides are null."""
+    long = lambda df, side: df.select("metric", F.explode(F.array(*[F.struct(F.lit(x).alias("stat"), F.col(x).alias(side)) for x in stats])).alias("s")).select("metric", "s.*")
+    both = long(baseline, "baseline").join(long(contender, "contender"), ["metric", "stat"], "full_outer")
+    return both.withColumn("delta", F.round(F.col("contender") - F.col("baseline"), 2)).withColumn("improved", F.col("contender") < F.col("baseline"))
 
 
 def cause(retrieval: Column, context: Column, answer: Column, citation: Column) -> Column:

@@ -158,3 +158,56 @@ def delete_with_children(parents: DataFrame, gone: DataFrame, key: str, children
 def retry_payload(events: DataFrame, path: str, alias: str) -> DataFrame:
     """Events with a field of their JSON payload."""
     return events.withColumn(alias, F.get_json_object("payload", path))
+
+
+def recent(tasks: DataFrame, n: int) -> DataFrame:
+    """The ``n`` tasks updated last, then created last, lower ids first."""
+    return tasks.orderBy(F.desc("updated_at"), F.desc("created_at"), "id").limit(n)
+
+
+def timeline(events: DataFrame, n: int, task: str = "task_id", order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
+    """The first ``n`` events of each task in order, with their place."""
+    return events.withColumn("place", F.row_number().over(Window.partitionBy(task).orderBy(*order))).where(F.col("place") <= n)
+
+
+def failed(tasks: DataFrame) -> DataFrame:
+    """Failed tasks with their place among those of their knowledge base, the one updated last first."""
+    w = Window.partitionBy("knowledge_base_id").orderBy(F.desc("updated_at"), "id")
+    return tasks.where("status = 'failed'").withColumn("place", F.row_number().over(w))
+
+
+def event_summary(events: DataFrame, by: str, top: int = 4) -> DataFrame:
+    """Per group (``by``) the number of events and distinct users, the worker of the latest event, and the most frequent types.
+
+    ``events``: by, event_type, user_id, worker, at, id.
+    """
+    types = events.groupBy(by, "event_type").agg(F.count("*").alias("n"))
+    types = types.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "event_type"))).where(F.col("place") <= top)
+    named = types.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", "event_type", "n").alias("t")))), lambda x: x["t"]), ",").alias("top_types"))  # ``top`` at most
+    one = events.groupBy(by).agg(F.count("*").alias("total"), F.count_distinct("user_id").alias("users"), F.max_by("worker", F.struct("at", "id")).alias("latest_worker"))
+    return one.join(named, by)
+
+
+def enqueue(documents: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
+    """A pending task for each knowledge base with documents that no pending or running task of it covers: ids and documents.
+
+    ``documents``: knowledge_base_id, document_id; ``tasks``: knowledge_base_id, status, document_ids.
+    """
+    busy = tasks.where("status in ('pending', 'running')").select("knowledge_base_id", F.explode("document_ids").alias("document_id"))
+    rows = documents.join(busy, ["knowledge_base_id", "document_id"], "left_anti")
+    made = rows.groupBy("knowledge_base_id").agg(F.count("*").alias("documents"), F.min("document_id").alias("first_document"))  # the list itself stays a table
+    return made.select("knowledge_base_id", F.lit("pending").alias("status"), F.lit(0).alias("attempt_count"), now.alias("created_at"), "documents", "first_document")
+
+
+def stage_events(tasks: DataFrame) -> DataFrame:
+    """(task_id, stage, at) of what has happened to each task: queued, claimed, retried and ended, in whole seconds apart."""
+    stages = [("queued", F.lit(True), F.col("created_at")), ("claimed", F.col("locked_at").isNotNull(), F.col("locked_at")), ("retrying", F.col("attempt_count") > 1, F.col("updated_at")), ("completed", F.col("status") == "completed", F.col("updated_at")), ("failed", F.col("status") == "failed", F.col("updated_at"))]
+    made = F.array(*[F.when(when, F.struct(F.lit(i).alias("step"), F.lit(name).alias("stage"), at.alias("at"))) for i, (name, when, at) in enumerate(stages)])
+    return tasks.select(F.col("id").alias("task_id"), F.explode(F.filter(made, lambda x: x.isNotNull())).alias("e")).select("task_id", "e.*")
+
+
+def fill_domains(bases: DataFrame, detected: DataFrame) -> DataFrame:
+    """Knowledge bases with an empty domain given the one that most of their documents were found to have, by name of ties."""
+    n = detected.groupBy("knowledge_base_id", "domain").agg(F.count("*").alias("n"))
+    best = n.groupBy("knowledge_base_id").agg(F.min_by("domain", F.struct((-F.col("n")).alias("n"), "domain")).alias("_found"))
+    return bases.join(best, "knowledge_base_id", "left").withColumn("domain", F.coalesce(F.nullif(F.trim("domain"), F.lit("")), "_found")).drop("_found")

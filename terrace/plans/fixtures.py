@@ -47,7 +47,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.array_distinct(F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]{4,}$"))), 1, 8)
+    words = F.array_distinct(F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]{4,}$")))
     return read(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), words.alias("keywords"))
 
 
@@ -68,7 +68,7 @@ SQL = {
     "bases": "SELECT DISTINCT 'kb' || regexp_replace(source, '^src', '') AS knowledge_base_id, source AS knowledge_base_name FROM documents",
     "messages": "SELECT conv_id AS conversation_id, turn AS sequence, role, text AS content FROM conversations",
     "chunks": "SELECT doc_id AS chunk_id, text FROM documents",
-    "kq": """SELECT item_id AS query_id, list_transform(list_sort(list_transform(list_distinct(ws), lambda w: {'p': list_position(ws, w), 'w': w})), lambda x: x.w)[1:8] AS keywords
+    "kq": """SELECT item_id AS query_id, list_transform(list_sort(list_transform(list_distinct(ws), lambda w: {'p': list_position(ws, w), 'w': w})), lambda x: x.w) AS keywords
   FROM (SELECT item_id, list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[a-z]{4,}')) AS ws FROM benchmark WHERE item_id % 50 = 0)""",
     "vectors": "SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings",
     "vq": "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector FROM embeddings WHERE vec_id % 50 = 0",
@@ -77,4 +77,5 @@ SQL = {
 
 def with_views(body: str, *names: str) -> str:
     """SQL with the named views before it."""
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + ("," if body.lstrip().startswith(",") else "\n") + body.lstrip().removeprefix(",")
+    recursive, body = ("RECURSIVE ", body[10:]) if body.startswith("RECURSIVE ") else ("", body)
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + ("," if body.lstrip().startswith(",") else "\n") + body.lstrip().removeprefix(",")

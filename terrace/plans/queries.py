@@ -12,6 +12,7 @@ from terrace.functions import vectors as V
 from terrace.operators import chunking, cleaning, context, evaluation, messages, retrieval, routing, tasks
 from terrace.plans import fixtures as X
 from terrace.plans.fixtures import HOURS, LEASE, LONG, NOW, now, with_views
+from terrace.steps import written
 from terrace.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,27 +241,36 @@ def dense_cosine_topk(spark, d):
     return retrieval.dense(X.vectors(spark, d), X.vector_queries(spark, d), 15, "cosine")
 
 
+LONG_WORD = "^[a-z]{8,}$"
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, query_vector, query, keywords, is_policy, is_overview): vectors with ids divisible by 50 and the documents of the
+    same ids, their long plain words as keywords; flags by words that the text has."""
+    asked = X.vector_queries(spark, d).join(X.chunks(spark, d).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query")), "query_id", "left")
+    words = F.array_distinct(F.filter(F.split(T.text_or_empty("query"), " "), lambda w: w.rlike(LONG_WORD)))
+    flags = {"is_policy": F.contains(T.text_or_empty("query"), F.lit("the")), "is_overview": F.contains(T.text_or_empty("query"), F.lit("and"))}
+    return asked.withColumn("keywords", words).withColumns(flags)
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Dense hits of the vectors and keyword hits of the documents that share their ids, as one table of candidates."""
+    """Dense hits of the vectors and keyword hits of the documents that share their ids, as one table of candidates; whole texts."""
     labels = X.vectors(spark, d).select("chunk_id", "label", "embedding")
     kind = F.when(F.col("label").isNotNull(), F.get(F.array(*map(F.lit, X.SOURCE_TYPES)), F.col("label") % 4))
-    text = X.chunks(spark, d).select("chunk_id", F.left("text", F.lit(60)).alias("child_text"), F.left("text", F.lit(200)).alias("parent_text"))
-    near = retrieval.dense(X.vectors(spark, d), X.vector_queries(spark, d), 15)
-    words = X.vector_queries(spark, d).select("query_id").join(X.chunks(spark, d), F.col("query_id") == F.col("chunk_id")).select("query_id", F.slice(F.array_distinct(F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]{5,}$"))), 1, 5).alias("keywords"))
-    scan = retrieval.keyword_scan(X.chunks(spark, d), words, 15)
-    merged = retrieval.merge({"dense": near, "sparse": scan}).withColumn("page_number", (F.col("chunk_id") % 50).cast("int"))
-    full = merged.join(text, "chunk_id").join(labels, "chunk_id", "left").withColumn("source_type", F.coalesce(kind, F.lit("text")))
-    return full.withColumn("ocr_quality", F.when(F.col("chunk_id") % 3 == 0, "low")).withColumn("parent_id", F.concat_ws("_", F.lit("p"), F.expr("chunk_id div 4"), F.col("chunk_id") % 4)).withColumn("document_id", F.expr("chunk_id div 4"))
+    chunks = X.chunks(spark, d).select("chunk_id", "text")
+    found = retrieval.hybrid(chunks, labels, questions(spark, d), retrieval.RetrievalPolicy(15))
+    full = found.withColumnRenamed("text", "child_text").withColumn("parent_text", F.col("child_text")).join(labels, "chunk_id", "left").withColumn("source_type", F.coalesce(kind, F.lit("text")))
+    full = full.withColumn("page_number", (F.col("chunk_id") % 50).cast("int")).withColumn("ocr_quality", F.when(F.col("chunk_id") % 3 == 0, "low"))
+    return full.withColumn("parent_id", F.concat_ws("_", F.lit("p"), F.expr("chunk_id div 4"), F.col("chunk_id") % 4)).withColumn("document_id", F.expr("chunk_id div 4"))
 
 
 CANDIDATES = r""", dn AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, round(list_sum(list_transform(list_zip(embedding, query_vector), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM vq, vectors) QUALIFY rank <= 15),
-wq AS (SELECT query_id, list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[a-z]{5,}')) AS ws FROM vq JOIN chunks ON query_id = chunk_id),
-k5 AS (SELECT query_id, list_transform(list_sort(list_transform(list_distinct(ws), lambda w: {'p': list_position(ws, w), 'w': w})), lambda x: x.w)[1:5] AS keywords FROM wq),
+k5 AS (SELECT query_id, list_distinct(list_filter(string_split(coalesce(text, ''), ' '), lambda w: regexp_full_match(w, '[a-z]{8,}'))) AS keywords FROM vq LEFT JOIN chunks ON query_id = chunk_id),
 sp AS (SELECT query_id, chunk_id, CAST(h AS BIGINT) AS keyword_hit_count, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, z, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, len(list_filter(keywords, lambda k: contains(text, k))) AS h, length(text) AS z FROM k5, chunks) WHERE h >= 2 QUALIFY rank <= 15),
-mg AS (SELECT query_id, chunk_id, distance, NULL AS keyword_hit_count, rank, 0 AS origin FROM dn UNION ALL SELECT query_id, chunk_id, NULL, keyword_hit_count, rank, 1 FROM sp),
-cd AS (SELECT m.*, CAST(chunk_id % 50 AS INT) AS page_number, left(c.text, 60) AS child_text, left(c.text, 200) AS parent_text,
+mg AS (SELECT query_id, chunk_id, distance, CAST(NULL AS BIGINT) AS keyword_hit_count, rank, 0 AS origin FROM dn UNION ALL SELECT query_id, chunk_id, NULL, keyword_hit_count, rank, 1 FROM sp),
+cd AS (SELECT m.*, CAST(chunk_id % 50 AS INT) AS page_number, c.text AS child_text, c.text AS parent_text,
   coalesce(['table', 'text', 'image_ocr_table', 'image_ocr'][label % 4 + 1], 'text') AS source_type, CASE WHEN chunk_id % 3 = 0 THEN 'low' END AS ocr_quality,
   'p_' || (chunk_id // 4) || '_' || (chunk_id % 4) AS parent_id, chunk_id // 4 AS document_id FROM mg m JOIN chunks c USING (chunk_id) LEFT JOIN vectors v USING (chunk_id)),
 dd AS (SELECT * FROM cd QUALIFY row_number() OVER (PARTITION BY query_id, child_text || parent_text ORDER BY origin, rank, chunk_id) = 1),
@@ -283,15 +293,15 @@ def penalised_sort(spark, d):
 
 
 def selected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    placed = retrieval.penalise(retrieval.dedupe(candidates(spark, d)))
+    placed = written(retrieval.penalise(retrieval.dedupe(candidates(spark, d))), "placed")
     return placed.where("place <= 5 and embedding is not null").withColumn("sel_rank", F.col("place")), placed
 
 
 SELECTED = """, s1 AS (SELECT *, place AS sel_rank FROM pl WHERE place <= 5 AND chunk_id IN (SELECT chunk_id FROM vectors)),
 s2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword_hit_count DESC, coalesce(distance, 0), priority, chunk_id) AS n FROM pl WHERE keyword_hit_count >= 2
   AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM s1) QUALIFY n <= 2),
-sl AS (SELECT query_id, chunk_id, sel_rank, parent_id, parent_text, child_text, source_type, page_number FROM s1 UNION ALL
-  SELECT query_id, chunk_id, coalesce((SELECT max(sel_rank) FROM s1 WHERE s1.query_id = s2.query_id), 0) + n, parent_id, parent_text, child_text, source_type, page_number FROM s2)
+sl AS (SELECT query_id, chunk_id, sel_rank, parent_id, parent_text, child_text, source_type, page_number, ocr_quality, document_id FROM s1 UNION ALL
+  SELECT query_id, chunk_id, coalesce((SELECT max(sel_rank) FROM s1 WHERE s1.query_id = s2.query_id), 0) + n, parent_id, parent_text, child_text, source_type, page_number, ocr_quality, document_id FROM s2)
 """
 
 
@@ -314,44 +324,82 @@ def parent_aggregate(spark, d):
 
 def parent_rows(spark: SparkSession, d: str) -> DataFrame:
     found = retrieval.parents(retrieval.preserve_keyword_docs(*selected(spark, d)))
-    asked = X.chunks(spark, d).select(F.col("chunk_id").alias("query_id"), F.left("text", F.lit(200)).alias("query"))
-    return found.join(asked, "query_id")
+    return found.join(questions(spark, d).drop("query_vector"), "query_id")
+
 
+MMR = """, mq AS (SELECT pl.query_id, pl.chunk_id, pl.place, v.embedding AS e, vq.query_vector AS q FROM pl JOIN vectors v USING (chunk_id) JOIN vq USING (query_id)),
+mn AS (SELECT query_id, place, chunk_id, list_transform(e, lambda x: x / n) AS e, list_sum(list_transform(list_zip(e, q), lambda p: p[1] * p[2])) / n / m AS near FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n, sqrt(list_sum(list_transform(q, lambda x: x * x))) AS m FROM mq)),
+sm AS (SELECT a.query_id, a.place AS a, b.place AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS s FROM mn a JOIN mn b ON a.query_id = b.query_id),
+md AS (SELECT query_id, list(struct_pack(place := place, near := near) ORDER BY place) AS all_ FROM mn GROUP BY 1),
+ml AS (SELECT query_id, map_from_entries(list((a * 1000 + b, s))) AS sims FROM sm GROUP BY 1)"""
 
-@query()
+
+@query(
+    with_views(
+        "RECURSIVE " + CANDIDATES + MMR + """, rc AS (SELECT query_id, 1 AS turn, [list_sort(list_transform(all_, lambda x: struct_pack(v := -round(x.near, 9), p := x.place)))[1].p] AS taken, all_, sims FROM md JOIN ml USING (query_id)
+UNION ALL SELECT query_id, turn + 1, list_append(taken, list_sort(list_transform(list_filter(all_, lambda x: NOT list_contains(taken, x.place)), lambda x: struct_pack(v := -round(0.6 * x.near - 0.4 * list_max(list_transform(taken, lambda t: sims[t * 1000 + x.place])), 9), p := x.place)))[1].p), all_, sims
+  FROM rc WHERE turn < 8 AND turn < len(all_))
+SELECT mn.query_id, mn.chunk_id, CAST(list_position(taken, mn.place) AS INT) AS turn FROM (SELECT * FROM rc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY turn DESC) = 1) l JOIN mn ON mn.query_id = l.query_id AND list_contains(taken, mn.place)""",
+        "vq", "vectors", "chunks",
+    )
+)
 def mmr_select(spark, d):
-    """Rows only: the choice is sequential; tests hold it against a plain model."""
     placed = selected(spark, d)[1].where("embedding is not null").join(X.vector_queries(spark, d), "query_id")
     return retrieval.mmr(placed.select("query_id", "chunk_id", "place", "embedding", "query_vector"), 8)
 
 
-@query()
-def cited_context(spark, d):
-    """The whole way from candidates to citations; its steps have SQL of their own."""
-    rows = parent_rows(spark, d).withColumn("keywords", F.slice(F.filter(F.split("query", " "), lambda w: w.rlike("^[a-z]{5,}$")), 1, 5))
-    rows = rows.withColumn("is_policy", F.lit(False)).withColumn("is_overview", F.lit(False))
-    ranked = retrieval.reranked(rows, retrieval.overlap_score(F.col("query"), F.col("text")), 3)
-    staged = context.staged_context(rows, ranked.select("query_id", "parent_id", "rank", "rerank_score"), (), (), (), 3)
-    return context.citations(staged)
+CONTEXT_WORDS = {"policy": ("ing",), "low_value": ("les.",), "signals": ("tion",), "behaviour": ("ent",)}
+RERANKED = r""", pr AS (SELECT query_id, parent_id, arg_min(parent_text, (sel_rank, chunk_id)) AS text, arg_min(source_type, (sel_rank, chunk_id)) AS source_type, arg_min(page_number, (sel_rank, chunk_id)) AS page_number,
+  arg_min({'q': ocr_quality}, (sel_rank, chunk_id)).q AS ocr_quality, arg_min(document_id, (sel_rank, chunk_id)) AS document_id, min(sel_rank) AS pos FROM sl GROUP BY ALL),
+ov AS (SELECT pr.*, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(c.text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS qw,
+  list_distinct(list_filter(regexp_split_to_array(lower(pr.text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS tw FROM pr LEFT JOIN chunks c ON c.chunk_id = query_id),
+sc AS (SELECT *, round(coalesce(len(list_intersect(qw, tw)) / nullif(len(qw), 0), 0), 6) AS rerank_score, CASE source_type WHEN 'table' THEN 0.0 WHEN 'text' THEN 0.03 WHEN 'image_ocr_table' THEN 0.18 ELSE 0.28 END
+  + CASE WHEN source_type = 'image_ocr_table' AND max(CASE WHEN source_type = 'table' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, page_number) = 1 THEN 0.12 ELSE 0 END + CASE WHEN ocr_quality = 'low' AND source_type LIKE 'image%' THEN 0.18 ELSE 0 END AS penalty FROM ov),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score - penalty, 6) DESC,
+  CASE source_type WHEN 'table' THEN 0 WHEN 'text' THEN 1 WHEN 'image_ocr_table' THEN 2 ELSE 3 END, pos, parent_id) AS rank FROM sc)"""
 
 
 @query(
     with_views(
-        CANDIDATES + SELECTED + r""", pr AS (SELECT query_id, parent_id, arg_min(parent_text, (sel_rank, chunk_id)) AS text, arg_min(source_type, (sel_rank, chunk_id)) AS source_type,
-  arg_min(page_number, (sel_rank, chunk_id)) AS page_number, min(sel_rank) AS pos FROM sl GROUP BY ALL),
-ov AS (SELECT pr.*, list_distinct(list_filter(regexp_split_to_array(lower(left(c.text, 200)), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS qw,
-  list_distinct(list_filter(regexp_split_to_array(lower(pr.text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS tw FROM pr JOIN chunks c ON c.chunk_id = query_id),
-sc AS (SELECT *, round(coalesce(len(list_intersect(qw, tw)) / nullif(len(qw), 0), 0), 6) AS rerank_score, CASE source_type WHEN 'table' THEN 0.0 WHEN 'text' THEN 0.03 WHEN 'image_ocr_table' THEN 0.18 ELSE 0.28 END
-  + CASE WHEN source_type = 'image_ocr_table' AND max(CASE WHEN source_type = 'table' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, page_number) = 1 THEN 0.12 ELSE 0 END AS penalty FROM ov)
-SELECT query_id, parent_id, rerank_score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score - penalty, 6) DESC,
-  CASE source_type WHEN 'table' THEN 0 WHEN 'text' THEN 1 WHEN 'image_ocr_table' THEN 2 ELSE 3 END, pos, parent_id) AS rank FROM sc) WHERE rank <= 3""",
+        CANDIDATES + SELECTED + RERANKED + r""", al AS (SELECT rk.query_id, parent_id, pos, rk.text, document_id, source_type, rank, rerank_score, contains(coalesce(c.text, ''), 'the') AS is_policy, contains(coalesce(c.text, ''), 'and') AS is_overview, regexp_extract(parent_id, '^(.+)_[0-9]+$', 1) AS base, CAST(regexp_extract(parent_id, '_([0-9]+)$', 1) AS INT) AS part,
+  list_distinct(list_filter(string_split(coalesce(c.text, ''), ' '), lambda w: regexp_full_match(w, '[a-z]{8,}'))) AS keywords, NOT (contains(rk.text, 'les.') AND NOT contains(rk.text, 'tion')) AS usable FROM rk LEFT JOIN chunks c ON c.chunk_id = query_id),
+u1 AS (SELECT *, 1 AS stage, pos AS spot FROM al WHERE usable AND is_policy AND contains(text, 'ing') UNION ALL SELECT *, 2, pos FROM al WHERE usable AND len(list_filter(keywords, lambda k: contains(text, k))) >= 2),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, spot, parent_id) AS sel FROM (SELECT * FROM u1 QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY stage, spot, parent_id) = 1)),
+gs AS (SELECT *, min(part) OVER w AS low, count(*) OVER w AS many FROM al WINDOW w AS (PARTITION BY query_id, document_id, source_type, base)),
+nb AS (SELECT g.*, c.sel AS from_sel, right(regexp_replace(CASE WHEN g.part > c.part THEN c.text ELSE g.text END, '^\s+|\s+$', '', 'g'), 80) AS tail, left(regexp_replace(CASE WHEN g.part > c.part THEN g.text ELSE c.text END, '^\s+|\s+$', '', 'g'), 80) AS head FROM gs g JOIN c1 c ON c.query_id = g.query_id AND c.document_id = g.document_id AND c.source_type = g.source_type AND c.base = g.base AND abs(c.part - g.part) = 1 WHERE g.low = 0 AND g.many >= 2 AND g.text <> ''),
+ne AS (SELECT *, tail <> '' AND head <> '' AND (regexp_matches(tail, '[：:；;，,、（(“《]$') OR regexp_matches(tail, '(如下|包括|分为|分成|下列|以下|按照|依照|根据|参照|符合|属于)[^。！？]{0,30}[：:]?$') OR regexp_matches(head, '^\s*(的|者|时|后|前|以及|并且|或者|但|但是|同时|其中|其|该)')
+  OR (regexp_matches(head, '^\s*([（(][一二三四五六七八九十0-9]+[）)]|[一二三四五六七八九十]+、|[0-9]+[.．、])') AND regexp_matches(tail, '(下列|以下|包括|如下|情形|条件|标准|事项)'))) AS follows FROM nb),
+n1 AS (SELECT * FROM ne n WHERE (len(list_filter(keywords, lambda k: contains(text, k))) >= 1 OR follows) AND NOT EXISTS (SELECT 1 FROM c1 c WHERE c.query_id = n.query_id AND (c.text = n.text OR c.parent_id = n.parent_id)) QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY from_sel, part) = 1),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY from_sel, part) AS place FROM n1 QUALIFY place <= 2),
+u2 AS (SELECT * FROM u1 UNION ALL SELECT * EXCLUDE (low, many, from_sel, tail, head, follows, place), 6, place FROM n2 WHERE usable),
+c2 AS (SELECT * FROM u2 QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY stage, spot, parent_id) = 1),
+o1 AS (SELECT * FROM al a WHERE is_overview AND text <> '' AND NOT EXISTS (SELECT 1 FROM c2 c WHERE c.query_id = a.query_id AND c.text = a.text) QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY pos) = 1),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place FROM o1 QUALIFY place <= 3),
+u3 AS (SELECT * FROM u2 UNION ALL SELECT * EXCLUDE (place), 7, place FROM o2 WHERE usable UNION ALL SELECT *, 8, rank FROM al WHERE usable AND rank <= 3),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, spot, parent_id) AS sel FROM (SELECT * FROM u3 QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY stage, spot, parent_id) = 1)),
+fb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS sel FROM al WHERE is_overview AND usable AND query_id NOT IN (SELECT query_id FROM c3)),
+fs AS (SELECT query_id, parent_id, text, CASE WHEN rank <= 3 THEN rerank_score END AS score, sel, is_overview FROM c3 UNION ALL SELECT query_id, parent_id, text, CASE WHEN rank <= 3 THEN rerank_score END, sel, is_overview FROM fb WHERE sel <= 5)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sel) AS INT) AS index, parent_id || '-' || row_number() OVER (PARTITION BY query_id ORDER BY sel) AS chunk_id, text AS content, coalesce(score, 0.0) AS score FROM fs WHERE sel <= 3 + CASE WHEN is_overview THEN 4 ELSE 2 END""",
         "vq", "vectors", "chunks",
     )
 )
+def cited_context(spark, d):
+    """The whole way from candidates to citations. The given texts name no articles, so the article stages select nothing here."""
+    rows = written(parent_rows(spark, d), "rows")
+    ranked = retrieval.reranked(rows, retrieval.overlap_score(F.col("query"), F.col("text")), 3)
+    return context.citations(context.staged_context(rows, ranked, 3, **CONTEXT_WORDS))
+
+
+@query(with_views(CANDIDATES + SELECTED + RERANKED + "SELECT query_id, parent_id, rerank_score, CAST(rank AS INT) AS rank FROM rk WHERE rank <= 3", "vq", "vectors", "chunks"))
 def rerank_sort(spark, d):
     return retrieval.reranked(parent_rows(spark, d), retrieval.overlap_score(F.col("query"), F.col("text")), 3).select("query_id", "parent_id", "rerank_score", "rank")
 
 
+@query(with_views(CANDIDATES + SELECTED + RERANKED + "SELECT query_id, parent_id, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, parent_id) AS n FROM pr) WHERE n <= 3", "vq", "vectors", "chunks"))
+def unranked_parents(spark, d):
+    return retrieval.unranked(parent_rows(spark, d), 3).select("query_id", "parent_id", "rank")
+
+
 # Chunks
 
 
@@ -378,12 +426,49 @@ SELECT doc_id, CAST(chunk AS INT) AS chunk, string_agg(t, '' ORDER BY i) AS text
 
 @query(PACKED)
 def greedy_pack(spark, d):
-    return X.read(spark, d, "documents").select("doc_id", F.posexplode(chunking.pack(chunking.sentences(F.col("text"), chunking.LATIN), 260)).alias("chunk", "text"))
+    pieces = X.read(spark, d, "documents").select("doc_id", chunking.sentences(F.col("text"), chunking.LATIN).alias("pieces"))
+    return chunking.pack(pieces, "pieces", 260).select("doc_id", F.posexplode("pieces").alias("chunk", "text"))
+
+
+BLANK = r"[\s\x{A0}\x{3000}]"
+
+
+def filled(pieces: str) -> str:
+    return f"list_filter(list_transform({pieces}, lambda y: regexp_replace(y, '^{BLANK}+|{BLANK}+$', '', 'g')), lambda y: y <> '')"
+
+
+def refined(pieces: str, limit: int) -> str:
+    """SQL of a list of pieces cut at commas and colons, at blanks, and by size, where they are above the limit."""
+    for ends in ("[^,:]*[,:]|[^,:]+$", "[^ ]* |[^ ]+$"):
+        cut = filled(f"regexp_extract_all(p, '{ends}')")
+        pieces = f"flatten(list_transform({pieces}, lambda p: CASE WHEN length(p) > {limit} THEN {cut} ELSE [p] END))"
+    cut = f"list_transform(range(0, CAST(ceil(length(p) / {limit}.0) AS BIGINT)), lambda i: substr(p, CAST(i * {limit} + 1 AS BIGINT), {limit}))"
+    return filled(f"flatten(list_transform({pieces}, lambda p: CASE WHEN length(p) > {limit} THEN {cut} ELSE [p] END))")
+
 
+def packing(name: str, source: str, keys: str, limit: int) -> str:
+    """SQL of views that pack the pieces (keys, s) of ``source`` greedily into (keys, chunk, text) of ``name``."""
+    on = " AND ".join(f"p.{k} = r.{k}" for k in keys.split(", "))
+    return f"""{name}_p AS (SELECT {keys}, i, s[i] AS t, length(s[i]) AS z FROM {source}, unnest(range(1, len(s) + 1)) AS u(i)),
+{name}_r AS (SELECT {keys}, i, z AS open, 0 AS chunk FROM {name}_p WHERE i = 1
+  UNION ALL SELECT {', '.join(f'p.{k}' for k in keys.split(', '))}, p.i, CASE WHEN r.open + p.z <= {limit} THEN r.open + p.z ELSE p.z END, CASE WHEN r.open + p.z <= {limit} THEN r.chunk ELSE r.chunk + 1 END FROM {name}_r r JOIN {name}_p p ON {on} AND p.i = r.i + 1),
+{name} AS (SELECT {keys}, chunk, string_agg(t, '' ORDER BY i) AS text FROM {name}_r JOIN {name}_p USING ({keys}, i) GROUP BY ALL)"""
 
-@query()
+
+def sentences_sql(c: str) -> str:
+    return filled(f"regexp_extract_all({c}, '[^.!?;\\n]*[.!?;\\n]|[^.!?;\\n]+$')")
+
+
+CHUNKS = f"""WITH RECURSIVE sn AS (SELECT doc_id, i - 1 AS section, l[i] AS body FROM (SELECT doc_id, {filled('string_split(text, chr(10))')} AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)),
+ps AS (SELECT doc_id, section, {refined(sentences_sql('body'), 260)} AS s FROM sn), {packing('pt', 'ps', 'doc_id, section', 260)},
+cs AS (SELECT doc_id, section, chunk AS part, {refined(sentences_sql('text'), 50)} AS s FROM pt), {packing('ct', 'cs', 'doc_id, section, part', 50)},
+ids AS (SELECT *, 'rule_doc_' || section || CASE WHEN count(*) OVER (PARTITION BY doc_id, section) = 1 THEN '' ELSE '_' || chunk END AS parent_id FROM pt)
+SELECT c.doc_id, parent_id, i.text AS parent_text, CAST(c.chunk AS INT) AS child_index, c.text AS child_text, md5(c.text || parent_id) AS chunk_id FROM ct c JOIN ids i ON i.doc_id = c.doc_id AND i.section = c.section AND i.chunk = c.part"""
+
+
+@query(CHUNKS)
 def chunk_table(spark, d):
-    """Parents and children of all documents; the steps have SQL of their own."""
+    """Parents and children of all documents."""
     return chunking.chunks(X.read(spark, d, "documents"), chunking.LATIN)
 
 
@@ -414,13 +499,13 @@ def keyword_extraction(spark, d):
 
 
 def word_rules(spark: SparkSession, d: str) -> DataFrame:
-    """A rule table from the data: the first plain words of each benchmark item, by category."""
-    words = F.slice(F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]{4,}$")), 1, 4)
-    rows = X.read(spark, d, "benchmark").where("item_id % 50 < 5").select((F.col("item_id") % 50).alias("pos"), F.explode(F.array_distinct(words)).alias("keyword"))
-    return rows.groupBy("pos", "keyword").count().select(F.concat(F.lit("cat"), "pos").alias("category"), F.col("pos").cast("long").alias("pos"), "keyword")
+    """A rule table from the data: the longer plain words of all benchmark items, by category."""
+    words = F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]{6,}$"))
+    rows = X.read(spark, d, "benchmark").select((F.col("item_id") % 5).alias("pos"), F.explode(words).alias("keyword")).distinct()
+    return rows.select(F.concat(F.lit("cat"), "pos").alias("category"), F.col("pos").cast("long").alias("pos"), "keyword")
 
 
-RULES = "rl AS (SELECT DISTINCT 'cat' || (item_id % 50) AS category, item_id % 50 AS pos, unnest(list_distinct(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[a-z]{4,}'))[1:4])) AS keyword FROM benchmark WHERE item_id % 50 < 5)"
+RULES = "rl AS (SELECT DISTINCT 'cat' || (item_id % 5) AS category, item_id % 5 AS pos, unnest(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[a-z]{6,}'))) AS keyword FROM benchmark)"
 NORMAL = r"translate(regexp_replace(lower({0}), '[\s\x{{A0}}\x{{3000}}]+', '', 'g'), '，。！？；：、,.!?;:~～…—-（）()【】[]《》<>“”\"‘’''`', '')"
 
 
@@ -474,12 +559,12 @@ def prototype_classifier(spark, d):
 
 # Evaluation
 
-RESULTS = "rs AS (SELECT doc_id, lang, quality = 1 AS retrieval_hit, toxic = 0 AS answer_hit, n_chars % 7 <> 0 AS context_hit, n_chars % 5 <> 0 AS citation_hit, CAST(n_chars AS DOUBLE) AS latency FROM labels JOIN documents USING (doc_id))"
+RESULTS = "rs AS (SELECT doc_id, lang, quality = 1 AS retrieval_hit, toxic = 0 AS answer_hit, contains(text, 'the') AS context_hit, contains(text, 'and') AS citation_hit, CAST(n_chars AS DOUBLE) AS latency FROM labels JOIN documents USING (doc_id))"
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    both = X.read(spark, d, "labels").join(X.read(spark, d, "documents").drop("text"), "doc_id")
-    flag = {"retrieval_hit": F.col("quality") == 1, "answer_hit": F.col("toxic") == 0, "context_hit": F.col("n_chars") % 7 != 0, "citation_hit": F.col("n_chars") % 5 != 0}
+    both = X.read(spark, d, "labels").join(X.read(spark, d, "documents"), "doc_id")
+    flag = {"retrieval_hit": F.col("quality") == 1, "answer_hit": F.col("toxic") == 0, "context_hit": F.contains("text", F.lit("the")), "citation_hit": F.contains("text", F.lit("and"))}
     return both.select("doc_id", "lang", *[c.alias(n) for n, c in flag.items()], F.col("n_chars").cast("double").alias("latency"))
 
 
@@ -518,14 +603,14 @@ def macro_scores(spark, d):
     return evaluation.macro(evaluation.confusion(labelled(spark, d), "t", "g"))
 
 
-SIDES = f"{RESULTS}, b AS (SELECT * FROM rs WHERE doc_id % 3 <> 0), c AS (SELECT doc_id, context_hit AS retrieval_hit, latency + doc_id % 2 AS latency FROM rs WHERE doc_id % 5 <> 0)"
+SIDES = f"{RESULTS}, b AS (SELECT * FROM rs WHERE answer_hit), c AS (SELECT doc_id, context_hit AS retrieval_hit, latency + doc_id % 2 AS latency FROM rs WHERE lang <> 'fr')"
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two runs of overlapping cases: what one run lacks is what the comparison is about."""
+    """Two runs of overlapping cases, of harmless texts and of those that aren't French: what one run lacks is what the comparison is about."""
     rs = results(spark, d)
-    other = rs.where("doc_id % 5 != 0").select("doc_id", F.col("context_hit").alias("retrieval_hit"), (F.col("latency") + F.col("doc_id") % 2).alias("latency"))
-    return rs.where("doc_id % 3 != 0"), other
+    other = rs.where("lang != 'fr'").select("doc_id", F.col("context_hit").alias("retrieval_hit"), (F.col("latency") + F.col("doc_id") % 2).alias("latency"))
+    return rs.where("answer_hit"), other
 
 
 @query(
@@ -582,7 +667,14 @@ def repeated_noise(spark, d):
     return cleaning.repeated_noise(line_blocks(spark, d), y_spread=1.0)
 
 
-@query(f"WITH {BLOCKS}, p AS (SELECT doc_id, page_number, count(*) AS lines, count(*) FILTER (regexp_matches(text, '(\\.{{3,}}|…{{2,}}|\\s{{3,}})\\s*[0-9]+\\s*$')) AS items FROM bl GROUP BY ALL) SELECT doc_id, CAST(page_number AS INT) AS page_number, items >= 3 AND items >= 0.45 * lines AS is_toc_page FROM p")
+_ITEM = r"length(z) BETWEEN 4 AND 120 AND regexp_matches(z, '[0-9]+\s*$') AND (regexp_matches(z, '[.．·•…]{2,}\s*[0-9]+\s*$') OR regexp_matches(text, '\s{2,}[0-9]+\s*$') OR regexp_matches(z, '^(第[一二两三四五六七八九十百千0-9]+[章节]|[一二两三四五六七八九十]+、|[0-9]+[.．、]|[（(][一二两三四五六七八九十0-9]+[）)]).+[0-9]+\s*$'))"
+
+
+@query(
+    f"""WITH {BLOCKS}, z AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS z, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0) AS k FROM bl),
+p AS (SELECT doc_id, page_number, count(*) AS lines, count(*) FILTER ({_ITEM}) AS items, count(*) FILTER (k <= 3 AND regexp_full_match(text, '目\\s*录')) AS titles FROM z GROUP BY ALL)
+SELECT doc_id, CAST(page_number AS INT) AS page_number, (titles > 0 AND items >= 2) OR (items >= 3 AND items >= 0.45 * lines) AS is_toc_page FROM p"""
+)
 def toc_pages(spark, d):
     pages = line_blocks(spark, d).groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return cleaning.contents_pages(pages).select("doc_id", F.col("page_number").cast("int").alias("page_number"), "is_toc_page")
@@ -593,7 +685,7 @@ def table_texts(spark, d):
     cells = F.filter(F.transform(F.split("text", r"\|"), F.trim), lambda c: c != "")
     rows = line_blocks(spark, d).where(F.contains("text", F.lit("|"))).select("doc_id", "page_number", "y0", cells.alias("cells")).where(F.size("cells") > 0)
     tables = rows.groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("y0", "cells"))), lambda x: x["cells"]).alias("rows"))
-    return tables.select("doc_id", F.col("page_number").cast("int").alias("page_number"), cleaning.table_text(cleaning.table_rows(F.col("rows"))).alias("text"))
+    return tables.select("doc_id", F.col("page_number").cast("int").alias("page_number"), cleaning.row_lines(cleaning.table_rows(F.col("rows"))).alias("text"))
 
 
 # Relational load

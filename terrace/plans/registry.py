@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrace.plans import more_queries  # noqa: F401  registers its queries
 from terrace.plans import queries as registered
 
 Query = Callable[[SparkSession, str], DataFrame]

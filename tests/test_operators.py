@@ -25,6 +25,102 @@ def test_long_piece_splits_at_weaker_boundary_then_by_size(spark):
     assert max(map(len, got)) <= 50 and "".join(got) == docs.first().text
 
 
+def test_weaker_boundaries_keep_digits(spark):
+    rows = spark.createDataFrame([(1, ["a0b0c, dddddddd 10 x", "short", "0123456789012345"])], "i int, p array<string>")
+    got = rows.select(chunking.refine(F.col("p"), 10, chunking.LATIN).alias("p")).first().p
+    assert got == ["a0b0c,", "dddddddd", "10", "x", "short", "0123456789", "012345"]
+    packed = chunking.pack(spark.createDataFrame([(1, ["ab", "cd", "efghij", "k"]), (2, []), (3, None)], "i int, p array<string>"), "p", 5)
+    assert {r.i: list(r.p) for r in packed.collect()} == {1: ["abcd", "efghij", "k"], 2: [], 3: []}
+
+
+def test_a_trailing_colon_leaves_a_page_open(spark):
+    pairs = spark.createDataFrame([("包括：", "学生迟到"), ("完。", "新的"), ("应当", "扣2分"), ("abc", "def")], "a string, b string")
+    assert [r[0] for r in pairs.select(cleaning.continuation_score(F.col("a"), F.col("b"))).collect()] == [4, -1, 7, 1]
+
+
+def test_contents_items(spark):
+    lines = spark.createDataFrame([("第一章 总则 ··5",), ("三、附则 9",), ("总则 .... 3",), ("1. 9",), ("正文 2024",), ("x 1",)], "t string")
+    assert [r[0] for r in lines.select(cleaning.is_contents_item(F.col("t"))).collect()] == [True, True, True, True, False, False]
+
+
+def test_paragraphs_join_broken_lines(spark):
+    rows = spark.createDataFrame([("学生 应当\n按 规定。\n第二 行\nabc  def",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(cleaning.paragraph("t")).collect()] == ["学生应当按规定。第二行\nabc def", "", ""]
+
+
+def test_ocr_table(spark):
+    lines = ["课堂纪律", "1迟到", "扣l分/次", "2", "早退的学生", "扣2分/次", "通报批评", "3旷课", "补充说明文字很长很长很长"]
+    rows = spark.createDataFrame([(1, lines)], "i int, l array<string>").withColumn("l", F.transform("l", cleaning.ocr_line))
+    got = rows.select(cleaning.ocr_is_table(F.col("l")).alias("t"), cleaning.ocr_records(F.col("l")).alias("r")).first()
+    assert got.t and got.r.sections == ["课堂纪律"]
+    assert [tuple(x) for x in got.r.records] == [("1", "迟到", "扣1分/次"), ("2", "早退的学生", "扣2分/次 通报批评"), ("3", "旷课 补充说明文字很长很长很长", "")]
+    text = cleaning.ocr_table_texts(rows, "l").first().text
+    assert text.startswith("[图片OCR表格标题]\n课堂纪律\n[条目 1]\n内容: 迟到\n结果: 扣1分/次\n[条目 2]")
+    numbers = spark.createDataFrame([("l0页 I条 Oil 2O分",)], "t string")
+    assert numbers.select(cleaning.ocr_numbers(F.col("t"))).first()[0] == "10页 1条 Oil 20分"
+
+
+@pytest.mark.parametrize(("text", "scores", "want"), [("", [], "low"), ("正常文字", [], "unknown"), ("正常文字", [0.9, 0.95], "normal"), ("正常文字", [0.9, 0.5, 0.5], "low"), ("@@##正常文字字字", [0.9], "low")])
+def test_ocr_quality(spark, text, scores, want):
+    row = spark.createDataFrame([(text, scores)], "t string, s array<double>")
+    assert row.select(cleaning.ocr_quality(F.col("t"), F.col("s"))).first()[0] == want
+
+
+def test_header_rows(spark):
+    rows = spark.createDataFrame([([["项目", "分值"], ["迟到的学生按规定处理。", "扣2分"]],), ([["2", "3"], ["4", "5"]],), ([["只有一格"]],)], "r array<array<string>>")
+    got = rows.select(cleaning.header_score(F.col("r")).alias("s"), cleaning.is_header(F.get("r", F.lit(0)), F.get("r", F.lit(1))).alias("h")).collect()
+    assert [(r.s, r.h) for r in got] == [(16, True), (4, False), (0, False)]
+
+
+def test_legal_breaks_and_contexts(spark):
+    text = "中华人民共和国劳动法第一章总则第一条下列：（一）甲；（二）乙"
+    row = spark.createDataFrame([(text,)], "text string").select(context.prettify("text").alias("t")).first()
+    assert row.t == "中华人民共和国劳动法\n第一章总则\n第一条下列：\n（一）甲；\n（二）乙"
+    chosen = spark.createDataFrame([(1, 1, "甲", "来"), (1, 2, "乙", None)], "query_id int, sel int, text string, source_name string")
+    assert context.context_text(chosen).first().context == "[来源：来]\n甲\n\n乙"
+
+
+def test_context_stages(spark):
+    texts = ["第四十条 关键内容。", "第四十二条 限制。", "背景的文字。", "好的 别的文字。", "低价值", "普通的。"]
+    rows = [(1, f"p{i}", i, t, "问题 概览", ["关键"], False, True, "d", "text") for i, t in enumerate(texts)]
+    rows += [(2, f"q{i}", i, t, "问题", ["没有"], False, False, "d", "text") for i, t in enumerate(texts)]
+    parents = spark.createDataFrame(rows, "query_id int, parent_id string, pos int, text string, query string, keywords array<string>, is_policy boolean, is_overview boolean, document_id string, source_type string")
+    ranked = spark.createDataFrame([(1, "p2", 1, -0.5), (1, "p3", 2, 0.4), (2, "q3", 1, 0.2), (2, "q2", 2, -0.1)], "query_id int, parent_id string, rank int, rerank_score double")
+    got = context.staged_context(parents, ranked, 3, low_value=("低价值",)).orderBy("query_id", "sel").collect()
+    # article 40, then the restriction article 42, then the first parents that are left (one of them negative), then the reranked rest
+    assert [(r.query_id, r.parent_id, r.stage) for r in got] == [(1, "p0", 3), (1, "p1", 4), (1, "p3", 7), (2, "q3", 8)]
+    none = context.staged_context(parents.where("pos = 5"), ranked.limit(0), 3).collect()
+    assert [(r.query_id, r.stage) for r in none] == [(1, 7)]
+
+
+def test_shadow_summary_and_benchmark_diff(spark):
+    cases = spark.createDataFrame([("a", "match", [], 10, 20, True), ("b", "error", ["ids", "text"], 30, 40, False)], "id string, status string, mismatch_fields array<string>, legacy_ms int, graph_ms int, same boolean")
+    got = {r.metric: r.value for r in evaluation.shadow_summary(cases, ["same"], drift=("ids",)).collect()}
+    assert got["case_count"] == 2 and got["same_rate"] == 0.5 and got["retrieval_drift_rate"] == 0.5 and got["drift:ids"] == 1 and got["mismatch:text"] == 1 and got["avg_graph_latency_ms"] == 30
+
+
+def test_many_words_are_matched_alike(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "aaaa bab"), (2, None), (3, "")], "chunk_id int, text string")
+    words = spark.createDataFrame([("aa",), ("ab",), ("",), ("zz",)], "word string")
+    found = lambda: sorted(map(tuple, retrieval.contained(texts, words, "chunk_id").collect()))
+    want = [(1, "aa", 8, 2), (1, "ab", 8, 1)]
+    assert found() == want
+    monkeypatch.setattr(retrieval, "MOST_WORDS", 1)
+    assert found() == want
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(40, 5)), rng.normal(size=(7, 5))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, [1.0])], "chunk_id int, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, query_vector array<double>")
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    for metric, value in (("l2", lambda x: ((v - x) ** 2).sum(1)), ("cosine", lambda x: -(v @ x) / np.linalg.norm(v, axis=1) / np.linalg.norm(x))):
+        got = {(r.query_id, r.rank): r.chunk_id for r in retrieval.dense(vectors, queries, 4, metric).collect()}
+        assert got == {(i, k + 1): int(c) for i, x in enumerate(q) for k, c in enumerate(np.argsort(np.round(value(x), 6), kind="stable")[:4])}
+    assert retrieval.dense(vectors, queries.limit(0), 4).count() == 0
+
+
 def test_markdown_headings(spark):
     docs = spark.createDataFrame([(1, "# A\nx\n## B\n- y\n# C\nz")], "doc_id int, text string")
     assert [(r.heading, r.body) for r in chunking.markdown_sections(docs).orderBy("section").collect()] == [("A", "x"), ("A > B", "y"), ("C", "z")]
@@ -64,9 +160,9 @@ def test_mmr_agrees_with_a_plain_model(spark):
 def test_article_runs_references_and_neighbours(spark):
     rows = [(1, f"p_{i}", i, t, ["关键"], False, True, "d", "text") for i, t in enumerate(["第一条 关键。", "第二条 无。", "第五条 无。", "第九条 依照第五条办理。"])]
     parents = spark.createDataFrame(rows, "query_id int, parent_id string, pos int, text string, keywords array<string>, is_policy boolean, is_overview boolean, document_id string, source_type string")
-    assert [r.article for r in context.article_cluster(parents).orderBy("place").collect()] == [1, 2]
+    assert [r.pos for r in context.article_cluster(parents).orderBy("place").collect()] == [0, 1]
     chosen = parents.where("pos = 3").withColumn("sel", F.lit(1))
-    assert [r.article for r in context.referenced_parents(parents, chosen).collect()] == [5]
+    assert [r.pos for r in context.referenced_parents(parents, chosen).collect()] == [2]
     pair = parents.withColumn("text", F.when(F.col("pos") == 0, "包括下列情形：").when(F.col("pos") == 1, "（一）甲").otherwise("别的。"))
     assert [r.parent_id for r in context.adjacent_parents(pair, pair.where("pos = 0").withColumn("sel", F.lit(1))).collect()] == ["p_1"]
 
