@@ -15,6 +15,7 @@ def now() -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # Spark 4.1 joins the parts of a union wrongly, or not at all
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
