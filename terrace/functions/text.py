@@ -146,16 +146,18 @@ def own_article(c: Column | str) -> Column:
     return F.coalesce(leading_article(c), first)
 
 
-#: Words that announce a reference to another article, and where the announcement ends.
-REFERENCE_WORDS = ("详见", "参见", "依照", "按照", "依据", "根据", "适用", "违反")
+# Words that announce a reference to another article, and where the announcement ends.
+REFERENCE_WORDS = ("详见", "参见", "另见", "见第", "按照", "依照", "依据", "根据", "适用", "参照", "遵照", "按第")
+REFERENCE_ENDS, REFERENCE_SIZE = "。；;\\n", 90
 
 
 def referenced_articles(c: Column | str) -> Column:
-    """Distinct numbers of the articles named within 90 characters after a word of reference, up to the end of its clause.
+    """Distinct numbers of the articles named within 90 characters from a word of reference on, up to the end of its clause.
 
-    Announcements are looked for from the end of the one before.
+    Every announcement has a window of its own, so windows may overlap; a word that begins inside another counts with it.
     """
-    windows = F.regexp_extract_all(text_or_empty(c), F.lit(f"(?:{'|'.join(REFERENCE_WORDS)})[^。；;\\n]{{0,88}}"), F.lit(0))
+    words = "|".join(f"(?<![详参另]){w}" if w == "见第" else w for w in REFERENCE_WORDS)
+    windows = F.regexp_extract_all(text_or_empty(c), F.lit(f"(?=((?:{words})[^{REFERENCE_ENDS}]{{0,{REFERENCE_SIZE - 2}}}))"), F.lit(1))
     named = F.flatten(F.transform(windows, lambda w: F.regexp_extract_all(w, F.lit(f"第([{NUMERAL}]+)条"), F.lit(1))))
     return F.array_distinct(F.filter(F.transform(named, numeral), lambda x: x.isNotNull()))
 

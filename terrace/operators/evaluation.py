@@ -181,3 +181,59 @@ def test_log(text: Column, labels: Sequence[str] = ("passed", "failed", "errors"
     """Counts by label and seconds of a test run's last line."""
     found = {n: F.coalesce(F.nullif(F.regexp_extract(text_or_empty(text), rf"([0-9]+) {n.rstrip('s') if n == 'errors' else n}", 1), F.lit("")).cast("int"), F.lit(0)) for n in labels}
     return found | {"seconds": F.nullif(F.regexp_extract(text_or_empty(text), r"in ([0-9.]+)s", 1), F.lit("")).cast("double")}
+
+
+#: What a contender must not lose against the baseline, and what its shadow runs must show: (gate, condition).
+ROLLOUT = (
+    ("retrieval_drift_free", "coalesce(case_drift_count, 0) = 0"),
+    *[(f"{gate}_parity_ok", f"{metric}_delta >= 0") for gate, metric in (("retrieval_hit", "retrieval_hit_rate"), ("final_context", "final_context_hit_rate"), ("citation", "citation_hit_rate"))],
+    ("live_eval_available", "live_available"),
+    *[(f"live_eval_{gate}_parity_ok", f"live_available and live_{metric}_delta >= 0") for gate, metric in (("retrieval", "retrieval_hit"), ("final_context", "final_context_hit"), ("citation", "citation_hit"), ("answer", "answer_hit"))],
+    ("shadow_graph_error_free", "coalesce(graph_error_count, 0) = 0"),
+    ("shadow_retrieval_drift_free", "coalesce(retrieval_drift_case_count, 0) = 0"),
+    ("shadow_citation_alignment_ok", "final_citation_ids_match_rate >= 0.95"),
+    ("shadow_context_alignment_ok", "final_context_ids_match_rate >= 0.95"),
+    ("shadow_answer_hit_parity_ok", "final_answer_hit_parity_rate >= 1.0"),
+)
+
+
+def rollout_gates(one: DataFrame) -> DataFrame:
+    """(gate, passed) of the fourteen conditions over a row of deltas and shadow rates; what is missing fails, but for counts."""
+    return gates(one, [(name, F.expr(condition)) for name, condition in ROLLOUT])
+
+
+def retrieval_summary(cases: DataFrame, times: Sequence[str]) -> DataFrame:
+    """One row: cases by mode, hit rates, and means of the times."""
+    return cases.agg(
+        F.count("*").alias("case_count"), *[F.count_if(F.col("mode") == m).alias(f"{m}_case_count") for m in ("grounded", "no_answer")],
+        *[F.round(F.avg(F.col(f"{h}_hit").cast("int")), 4).alias(f"{h}_hit_rate") for h in ("retrieval", "context", "citation")], *[F.round(F.avg(t), 2).alias(f"avg_{t}") for t in times],
+    )
+
+
+def case_blocks(runs: DataFrame, metrics: Sequence[str], case: str) -> DataFrame:
+    """:func:`blocks` of each case and, with a null case, of all runs together: the stages' times of a report."""
+    both = runs.withColumn("_scope", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(case, F.when(F.col("_scope") == 0, F.col(case)))
+    return blocks(both, metrics, ["_scope", case]).drop("_scope")
+
+
+def intent_summary(examples: DataFrame) -> DataFrame:
+    """(kind, name, n): examples in all, by label, by split, and follow-ups with history."""
+    entry = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    follows = (F.col("label") == "follow_up_query") & (F.size(F.coalesce("history_messages", F.array())) > 0)
+    made = F.array(entry("count", F.lit("all")), entry("label", F.col("label")), entry("split", F.col("split")), F.when(follows, entry("follow_up", F.lit("with_history"))))
+    rows = examples.select(F.explode(made).alias("x"))
+    return rows.where("x is not null").select("x.*").groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def select_cases(cases: DataFrame, ids: Sequence[str] = (), limit: int | None = None, key: str = "id") -> DataFrame:
+    """The wanted cases, or all, in order of their ids and at most ``limit``; unknown ids and an empty choice are errors."""
+    chosen = cases.where(F.col(key).isin(*ids)) if ids else cases
+    if ids and (missing := set(map(str, ids)) - {str(r[0]) for r in chosen.select(key).distinct().collect()}):  # as many as are asked for
+        raise ValueError(f"Unknown case ids: {', '.join(sorted(missing))}")
+    if limit is not None:
+        if limit <= 0:
+            raise ValueError("limit must be greater than 0")
+        chosen = chosen.orderBy(key).limit(limit)
+    if not chosen.limit(1).count():
+        raise ValueError("No evaluation cases selected")
+    return chosen

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.functions.text import clauses, contains_any, normalise, stem, strip, terms, text_or_empty
+from terrace.functions.text import clauses, contains_any, keywords, normalise, stem, strip, terms, text_or_empty
 from terrace.functions.vectors import cosine, dot, softmax
 from terrace.operators.retrieval import contained
 
@@ -84,9 +85,9 @@ def boolean_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.where(size > 0).join(q, met).select("query_id", "rule", "boost")
 
 
-def detect(texts: DataFrame, keywords: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
+def detect(texts: DataFrame, rules: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
     """(key, category, hits): the category (category, pos, keyword) of most keywords in the text, the first one of ties; texts without a hit are left out."""
-    words = keywords.select("category", "pos", normalise("keyword").alias("word")).where("word != ''")
+    words = rules.select("category", "pos", normalise("keyword").alias("word")).where("word != ''")
     met = contained(texts.select(key, normalise(text).alias("q")), words, key, "q").select(key, "word").join(words, "word")
     counts = met.groupBy(key, "category").agg(F.count("*").alias("hits"), F.min("pos").alias("pos"))
     best = counts.groupBy(key).agg(F.min_by(F.struct("category", "hits"), F.struct(-F.col("hits"), "pos", "category")).alias("b"))
@@ -196,3 +197,39 @@ def source_name(filename: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
+# Words that point back to what was said before.
+WEAK_REFERENCES = ("这个", "这个情况", "这种", "那种", "这样", "那样", "上述", "前面", "刚才", "上面")
+
+
+def needs_second_classifier(query: Column, has_history: Column, policy: Sequence[str], weak: Sequence[str] = WEAK_REFERENCES) -> Column:
+    """Whether rules alone are too little: a weak reference in a short question or one with history, or a very short question that
+    isn't about policy."""
+    n = normalise(query)
+    pointing = contains_any(n, weak) & (has_history | (F.length(n) <= 12))
+    brief = ~contains_any(text_or_empty(query), policy) & ((F.length(n) <= 6) | (has_history & (F.length(n) <= 12)))
+    return (n != "") & (pointing | brief)
+
+
+def render(template: Column, values: dict[str, Column]) -> Column:
+    """A template with its {name} marks replaced; null values are empty."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), text_or_empty(value))
+    return template
+
+
+def assembled_query(query: Column, rewritten: Column, aliases: Column, overview: Column) -> tuple[Column, Column]:
+    """(keywords, search query): keywords of aliases and overview words, or if there are none of the rewrite and overview words; the
+    search query has all four parts."""
+    own = keywords(aliases, overview)
+    return F.when(F.size(own) > 0, own).otherwise(keywords(rewritten, overview)), F.trim(F.concat_ws(" ", *[text_or_empty(c) for c in (query, rewritten, aliases, overview)]))
+
+
+def profile_rules(spark: SparkSession, root: str, filename: str, schema: str, profile: str | None = None) -> DataFrame:
+    """Rules from a JSON file of a profile (root/profiles/profile/filename), or the default one (root/filename) where it has none."""
+    if profile is not None and not re.fullmatch("[A-Za-z0-9_-]+", profile):
+        raise ValueError(f"Invalid config profile: {profile}")
+    for folder in ([f"{root}/profiles/{profile}"] if profile else []) + [root]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{filename}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.schema(schema).json(f"{folder}/{filename}", multiLine=True)
+    raise FileNotFoundError(filename)

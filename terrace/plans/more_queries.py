@@ -203,7 +203,8 @@ def article_numbers(spark, d):
 
 
 @query(
-    f"""WITH {ZH}, w AS (SELECT doc_id, regexp_extract_all(text, '(?:详见|参见|依照|按照|依据|根据|适用|违反)[^。；;\n]{{0,88}}') AS w FROM zh),
+    f"""WITH {ZH}, c AS (SELECT doc_id, string_split(text, '') AS c FROM zh),
+w AS (SELECT doc_id, list_transform(list_filter(range(1, len(c)), lambda i: list_contains({list(T.REFERENCE_WORDS)}, c[i] || c[i + 1]) AND NOT (c[i] = '见' AND i > 1 AND list_contains(['详', '参', '另'], c[i - 1]))), lambda i: regexp_extract(array_to_string(c[i:i + 89], ''), '^[^。；;\n]*')) AS w FROM c),
 m AS (SELECT doc_id, flatten(list_transform(w, lambda x: regexp_extract_all(x, '{_ART}', 1))) AS m FROM w),
 v AS (SELECT doc_id, list_filter(list_transform(m, lambda x: {_NUMERAL.format('x')}), lambda x: x IS NOT NULL) AS v FROM m)
 SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(v), lambda x: {{'p': list_position(v, x), 'x': x}})), lambda s: s.x), ',') AS articles FROM v"""
@@ -596,3 +597,109 @@ def attached_names(spark, d):
     docs = X.read(spark, d, "documents")
     names = docs.where("lang = 'en'").select(F.col("source").alias("document_id"), F.concat(F.lit("name of "), "source").alias("source_name")).distinct()
     return retrieval.source_names(docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id")), names).select("chunk_id", "source_name")
+
+
+# Assembly, gates and summaries
+
+_KEYWORDS = lambda c: rf"list_filter(regexp_split_to_array({c}, '[\s,，。！？；：、（）()\"“”''‘’]+'), lambda x: length(x) >= 2)"
+_ORDERED = lambda c: f"list_transform(list_sort(list_transform(list_distinct({c}), lambda w: {{'p': list_position({c}, w), 'w': w}})), lambda x: x.w)"
+
+
+@query(
+    f"""WITH q AS (SELECT conv_id AS conversation_id, turn AS sequence, text AS q, CASE WHEN turn % 2 = 0 THEN left(text, 30) ELSE '' END AS r, CASE WHEN turn % 3 = 0 THEN right(text, 25) ELSE '' END AS a, CASE WHEN turn % 5 = 0 THEN 'all of it' ELSE '' END AS o FROM conversations),
+k AS (SELECT *, {_KEYWORDS("a || ' ' || o")} AS k1, {_KEYWORDS("r || ' ' || o")} AS k2 FROM q)
+SELECT conversation_id, sequence, array_to_string(CASE WHEN len(k1) > 0 THEN {_ORDERED('k1')} ELSE {_ORDERED('k2')} END, '|') AS keywords, trim(q || ' ' || r || ' ' || a || ' ' || o, ' ') AS search_query FROM k"""
+)
+def assembled_queries(spark, d):
+    q, turn = F.col("content"), F.col("sequence")
+    part = lambda n, c: F.when(turn % n == 0, c).otherwise("")
+    words, search = routing.assembled_query(q, part(2, F.left(q, F.lit(30))), part(3, F.right(q, F.lit(25))), part(5, F.lit("all of it")))
+    return X.messages(spark, d).select("conversation_id", "sequence", F.array_join(words, "|").alias("keywords"), search.alias("search_query"))
+
+
+@query(
+    f"""WITH q AS (SELECT conv_id AS conversation_id, turn AS sequence, left(text, 4 + turn * 3) AS q, turn > 1 AS h FROM conversations), n AS (SELECT *, {NORMAL.format('q')} AS n FROM q)
+SELECT conversation_id, sequence, n <> '' AND (({ANY('n', ('th', 'er'))} AND (h OR length(n) <= 12)) OR (NOT {ANY('q', ('on', 'in'))} AND (length(n) <= 6 OR (h AND length(n) <= 12)))) AS second, 'Re: ' || q || ' (' || sequence || ')' AS reply FROM n"""
+)
+def second_classifier_gate(spark, d):
+    rows = X.messages(spark, d).withColumn("q", F.expr("left(content, 4 + sequence * 3)"))
+    reply = routing.render(F.lit("Re: {question} ({turn})"), {"question": F.col("q"), "turn": F.col("sequence")})
+    return rows.select("conversation_id", "sequence", routing.needs_second_classifier(F.col("q"), F.col("sequence") > 1, ("on", "in"), ("th", "er")).alias("second"), reply.alias("reply"))
+
+
+@query(
+    f"""WITH {CASES}, {_HITS}, b AS (SELECT lang = 'de' AS contender, round(avg(if(retrieval_hit, 1, 0)), 4) AS r, round(avg(if(context_hit, 1, 0)), 4) AS c, round(avg(if(citation_hit, 1, 0)), 4) AS t, round(avg(if(answer_hit, 1, 0)), 4) AS a FROM er WHERE lang IN ('en', 'de') GROUP BY 1),
+d AS (SELECT y.r - x.r AS r, y.c - x.c AS c, y.t - x.t AS t, y.a - x.a AS a FROM b x, b y WHERE NOT x.contender AND y.contender), {RUNS},
+s AS (SELECT count(*) FILTER (status = 'error') AS errors, count(*) FILTER ({_DRIFTED}) AS drifts, avg(if(final_answer_match, 1, 0)) AS m, avg(if(final_context_match, 1, 0)) AS k FROM rn)
+SELECT unnest({[g for g, _ in evaluation.ROLLOUT]}) AS gate, unnest([drifts = 0, r >= 0, c >= 0, t >= 0, true, r >= 0, c >= 0, t >= 0, a >= 0, errors = 0, drifts = 0, m >= 0.95, k >= 0.95, m >= 1.0]) AS passed FROM d, s"""
+)
+def rollout_readiness(spark, d):
+    """English cases as the baseline, German ones as the contender; runs of neighbouring documents as shadow runs."""
+    hits = {"retrieval_hit": "retrieval_hit", "final_context_hit": "context_hit", "citation_hit": "citation_hit", "answer_hit": "answer_hit"}
+    rate = lambda lang, c: F.round(F.avg(F.when(F.col("lang") == lang, F.col(c).cast("int"))), 4)
+    one = cases(spark, d).agg(*[(rate("de", c) - rate("en", c)).alias(f"{n}_rate_delta") for n, c in hits.items()])
+    one = one.select("*", F.lit(True).alias("live_available"), *[F.col(f"{n}_rate_delta").alias(f"live_{n}_delta") for n in hits])
+    drifted = F.size(F.array_intersect("mismatch_fields", F.array(F.lit("lang"), F.lit("source")))) > 0
+    match = F.avg(F.col("final_answer_match").cast("int"))
+    shadow = compared_runs(spark, d).agg(F.count_if(F.col("status") == "error").alias("graph_error_count"), F.count_if(drifted).alias("retrieval_drift_case_count"), F.count_if(drifted).alias("case_drift_count"), match.alias("final_citation_ids_match_rate"), F.avg(F.col("final_context_match").cast("int")).alias("final_context_ids_match_rate"), match.alias("final_answer_hit_parity_rate"))
+    return evaluation.rollout_gates(one.crossJoin(shadow))  # a row each
+
+
+@query(f"WITH {CASES}, {_HITS} SELECT count(*) AS case_count, count(*) FILTER (mode = 'grounded') AS grounded_case_count, count(*) FILTER (mode = 'no_answer') AS no_answer_case_count, round(avg(if(retrieval_hit, 1, 0)), 4) AS retrieval_hit_rate, round(avg(if(context_hit, 1, 0)), 4) AS context_hit_rate, round(avg(if(citation_hit, 1, 0)), 4) AS citation_hit_rate, round(avg(ms), 2) AS avg_ms FROM er")
+def retrieval_summary(spark, d):
+    return evaluation.retrieval_summary(cases(spark, d), ["ms"])
+
+
+@query(
+    """WITH v AS (SELECT event_type, 'value' AS metric, value AS v FROM events UNION ALL SELECT event_type, 'k', CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM events)
+SELECT event_type, metric, count(*) AS n, round(avg(v), 2) AS avg, round(min(v), 2) AS min, round(max(v), 2) AS max, round(quantile_cont(v, 0.5), 2) AS p50, round(quantile_cont(v, 0.95), 2) AS p95 FROM v WHERE v IS NOT NULL GROUP BY GROUPING SETS ((event_type, metric), (metric))"""
+)
+def stage_report(spark, d):
+    e = X.read(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    return evaluation.case_blocks(e, ["value", "k"], "event_type")
+
+
+@query(
+    """WITH e AS (SELECT CASE WHEN lang = 'de' THEN 'follow_up_query' ELSE 'business_query' END AS label, CASE WHEN doc_id % 7 = 0 THEN 'test' ELSE 'train' END AS split, doc_id % 2 = 0 AS h FROM documents)
+SELECT 'count' AS kind, 'all' AS name, count(*) AS n FROM e UNION ALL SELECT 'label', label, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'split', split, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'follow_up', 'with_history', count(*) FROM e WHERE label = 'follow_up_query' AND h HAVING count(*) > 0"""
+)
+def intent_dataset_summary(spark, d):
+    label = F.when(F.col("lang") == "de", "follow_up_query").otherwise("business_query")
+    history = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content"))))
+    rows = X.read(spark, d, "documents").select(label.alias("label"), F.when(F.col("doc_id") % 7 == 0, "test").otherwise("train").alias("split"), history.alias("history_messages"))
+    return evaluation.intent_summary(rows)
+
+
+@query(
+    with_views(
+        r""", ws AS (SELECT chunk_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM chunks),
+ix AS (SELECT chunk_id, size, token, count(*) AS tf FROM (SELECT chunk_id, len(w) AS size, unnest(w) AS token FROM ws) GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM ws), q AS (SELECT DISTINCT query_id, lower(unnest(keywords)) AS token FROM kq), df AS (SELECT token, count(*) AS df FROM ix GROUP BY 1),
+s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean)))), 6) AS score FROM q JOIN ix USING (token) JOIN df USING (token), st GROUP BY ALL),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 300),
+h AS (SELECT f.query_id, f.chunk_id, score, len(list_filter(keywords, lambda k: contains(text, k))) AS h, length(text) AS z FROM f JOIN kq USING (query_id) JOIN chunks USING (chunk_id))
+SELECT query_id, chunk_id, CAST(h AS BIGINT) AS keyword_hit_count, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY h DESC, score DESC, z DESC, chunk_id) AS INT) AS rank FROM h WHERE h >= 2 QUALIFY rank <= 15""",
+        "kq", "chunks",
+    )
+)
+def phrase_topk(spark, d):
+    chunks = X.chunks(spark, d)
+    size = F.size(F.filter(F.split(F.lower(T.text_or_empty("text")), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
+    n, mean = chunks.agg(F.count("*"), F.avg(size)).first()
+    return retrieval.phrase_search(chunks, retrieval.postings(chunks), X.keyword_queries(spark, d), n, F.lit(mean), 15)
+
+
+@query("SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) WHEN lang <> 'fr' THEN lang ELSE 'unknown' END AS chunk_id, CASE WHEN lang <> 'fr' THEN lang END AS parent_id, text AS child_text, CASE WHEN doc_id % 3 = 0 OR text = '' THEN source ELSE text END AS parent_text, CASE WHEN doc_id % 5 = 0 THEN 0.5 END AS distance, CAST(NULL AS DOUBLE) AS rerank_score, source AS source_name, CASE WHEN lang = 'de' THEN 'table' ELSE 'text' END AS source_type, CAST(doc_id AS INT) AS page_number FROM documents")
+def debug_chunk_rows(spark, d):
+    docs = X.read(spark, d, "documents")
+    rows = docs.select(
+        F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("id"), F.when(F.col("lang") != "fr", F.col("lang")).otherwise("").alias("parent_id"), F.col("text").alias("child_text"),
+        F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("parent_text"), F.col("source").alias("text"), F.when(F.col("doc_id") % 5 == 0, 0.5).alias("distance"), F.lit(None).cast("double").alias("rerank_score"),
+        F.col("source").alias("source_name"), F.when(F.col("lang") == "de", "table").alias("source_type"), F.col("doc_id").alias("page_number"),
+    )
+    return retrieval.debug_chunks(rows)
+
+
+@query("SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 100")
+def selected_cases(spark, d):
+    return evaluation.select_cases(X.read(spark, d, "documents").select(F.col("doc_id").alias("id")), limit=100)

@@ -186,7 +186,7 @@ def conversation_titles(spark, d):
 # Retrieval
 
 SCAN = """, s AS (SELECT query_id, chunk_id, len(list_filter(keywords, lambda k: contains(text, k))) AS h, length(text) AS z FROM kq, chunks)
-SELECT query_id, chunk_id, CAST(h AS BIGINT) AS keyword_hit_count, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, z, chunk_id) AS rank FROM s WHERE h >= 2) WHERE rank <= 15"""
+SELECT query_id, chunk_id, CAST(h AS BIGINT) AS keyword_hit_count, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, z DESC, chunk_id) AS rank FROM s WHERE h >= 2) WHERE rank <= 15"""
 
 
 @query(with_views(SCAN, "kq", "chunks"))
@@ -201,7 +201,7 @@ tf AS (SELECT chunk_id, word, length(text) AS z, CAST((length(text) - length(rep
 df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT query_id, chunk_id, any_value(z) AS z, count(*) AS h, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * z / mean)))), 6) AS score
   FROM w JOIN tf USING (word) JOIN df USING (word), st GROUP BY ALL)
-SELECT query_id, chunk_id, h AS keyword_hit_count, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, score DESC, z, chunk_id) AS rank FROM s) WHERE rank <= 15""",
+SELECT query_id, chunk_id, h AS keyword_hit_count, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, score DESC, z DESC, chunk_id) AS rank FROM s) WHERE rank <= 15""",
         "kq", "chunks",
     )
 )
@@ -267,7 +267,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 CANDIDATES = r""", dn AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, round(list_sum(list_transform(list_zip(embedding, query_vector), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM vq, vectors) QUALIFY rank <= 15),
 k5 AS (SELECT query_id, list_distinct(list_filter(string_split(coalesce(text, ''), ' '), lambda w: regexp_full_match(w, '[a-z]{8,}'))) AS keywords FROM vq LEFT JOIN chunks ON query_id = chunk_id),
-sp AS (SELECT query_id, chunk_id, CAST(h AS BIGINT) AS keyword_hit_count, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, z, chunk_id) AS rank FROM (
+sp AS (SELECT query_id, chunk_id, CAST(h AS BIGINT) AS keyword_hit_count, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, z DESC, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, len(list_filter(keywords, lambda k: contains(text, k))) AS h, length(text) AS z FROM k5, chunks) WHERE h >= 2 QUALIFY rank <= 15),
 mg AS (SELECT query_id, chunk_id, distance, CAST(NULL AS BIGINT) AS keyword_hit_count, rank, 0 AS origin FROM dn UNION ALL SELECT query_id, chunk_id, NULL, keyword_hit_count, rank, 1 FROM sp),
 cd AS (SELECT m.*, CAST(chunk_id % 50 AS INT) AS page_number, c.text AS child_text, c.text AS parent_text,

@@ -121,6 +121,30 @@ def test_dense_in_blocks(spark, monkeypatch):
     assert retrieval.dense(vectors, queries.limit(0), 4).count() == 0
 
 
+def test_references_have_windows_of_their_own(spark):
+    rows = spark.createDataFrame([("依照第三条，" + "甲" * 80 + "详见第五条和第三条；第七条。参见第九条",), ("第一条 无。",)], "t string")
+    from terrace.functions.text import referenced_articles
+
+    assert [r[0] for r in rows.select(referenced_articles("t")).collect()] == [[3, 5, 9], []]
+
+
+def test_case_choice_and_second_classifier(spark, tmp_path):
+    cases = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert evaluation.select_cases(cases, ["b"]).count() == 1 and evaluation.select_cases(cases, limit=1).first().id == "a"
+    for wrong in ({"ids": ["c"]}, {"limit": 0}):
+        with pytest.raises(ValueError):
+            evaluation.select_cases(cases, **wrong)
+    asked = spark.createDataFrame([("这个呢", False), ("请假流程是什么样子的呢", False), ("请假", False), ("", True), ("那么迟到的处理办法呢", True)], "q string, h boolean")
+    assert [r[0] for r in asked.select(routing.needs_second_classifier(F.col("q"), F.col("h"), ("请假",))).collect()] == [True, False, False, False, True]
+    (tmp_path / "profiles" / "cn").mkdir(parents=True)
+    (tmp_path / "rules.json").write_text('{"name": "default"}')
+    (tmp_path / "profiles" / "cn" / "rules.json").write_text('{"name": "own"}')
+    read = lambda profile: routing.profile_rules(spark, str(tmp_path), "rules.json", "name string", profile).first().name
+    assert (read("cn"), read("other"), read(None)) == ("own", "default", "default")
+    with pytest.raises(ValueError):
+        read("../x")
+
+
 def test_markdown_headings(spark):
     docs = spark.createDataFrame([(1, "# A\nx\n## B\n- y\n# C\nz")], "doc_id int, text string")
     assert [(r.heading, r.body) for r in chunking.markdown_sections(docs).orderBy("section").collect()] == [("A", "x"), ("A > B", "y"), ("C", "z")]
