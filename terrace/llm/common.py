@@ -2,38 +2,85 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key counts as heavy from this fraction of all rows on, so at most 1 / HEAVY keys are heavy; that bounds what is broadcast.
 HEAVY = 0.001
-#: So many edges, some megabytes, are few enough for one task.
-FEW = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def settled(spark: SparkSession) -> SparkSession:
+    """The session, told not to take a union of tables bucketed alike for one that is: Spark 4.1 then groups each side alone."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settled(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_terrace_dir", None)
+    """The shared folder of the session's ``spark.checkpoint.dir``.
+
+    Where that is unset a local session gets a folder of its own; a cluster is refused, as its executors share no local folder.
+    """
+    found = settled(spark).conf.get("spark.checkpoint.dir", None) or getattr(spark, "_terrace_dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark._terrace_dir = tempfile.mkdtemp(prefix="spark-terrace-")
     return found.rstrip("/")
 
 
+#: For each open scratch, the folders that were stored in it.
+_OPEN: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation of it."""
-    path = f"{shared_dir(df.sparkSession)}/terrace-{name}-{uuid.uuid4().hex}"
+    path = noted(f"{shared_dir(df.sparkSession)}/terrace-{name}-{uuid.uuid4().hex}")
     writer = df.write.partitionBy(*partition) if partition else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._terrace_path = path
+    return found
+
+
+def noted(path: str) -> str:
+    """The path, which the innermost scratch deletes when it closes."""
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what was stored within, but for what is passed to the function that it gives; an outer scratch takes that over."""
+    made, kept = [], set()
+    _OPEN.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._terrace_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            if path in kept:
+                noted(path)
+            else:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -52,8 +99,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     heavy = groups.where(F.col(size) >= least).select(F.col(key), F.lit(True).alias("_h"), *tag("_h_"))
     light = groups.where(F.col(size) < least).select(F.col(key).alias("_lk"), *tag("_l_"))
     hit = rows.join(F.broadcast(heavy), key, "left")
-    spread = F.when(F.col("_h"), F.concat(F.lit("\u0001"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(key))
-    out = hit.withColumn("_k", spread).join(light, F.col("_k") == F.col("_lk"), "left")
+    # a key of its own may be a light group's too: what that gives is not looked at
+    own = F.monotonically_increasing_id()
+    own = F.concat(F.lit("\u0001"), own.cast("string")) if dict(rows.dtypes)[key] == "string" else own
+    out = hit.withColumn("_k", F.when(F.col("_h"), own).otherwise(F.col(key))).join(light, F.col("_k") == F.col("_lk"), "left")
     return out.select(*[F.col(c) for c in rows.columns], *[F.when(F.col("_h"), F.col(f"_h_{c}")).otherwise(F.col(f"_l_{c}")).alias(c) for c in cols])
 
 
@@ -76,28 +125,33 @@ def running_start(df: DataFrame, group: list[str], chunk: str, order: list[Colum
 def components(edges: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
     """Connected groups of undirected edges as (node, root), root the least node of the group.
 
-    Alternates large-star and small-star steps until nothing changes. Each step's result is stored, so no links or labels are
-    held by the driver. Up to ``FEW`` edges are put in one partition, where the steps need no shuffle; more are dealt by node.
+    Alternates large-star and small-star steps until nothing changes. Every step is stored, so no links or labels are held by
+    the driver, and the least neighbours are stored before they are joined back: both sides of that join are plain shuffles,
+    of which adaptive execution splits the partition of a node with very many neighbours.
     """
-    cur = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), name)
-    count = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    had = count(cur)
-    few = had[0] <= FEW
-    while had[0]:
-        cur = cur.coalesce(1) if few else cur
+
+    with scratch(edges.sparkSession) as keep:
+        return keep(_labels(edges, a, b, name))
+
+
+def _labels(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    def step(found: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        summed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+        return stored(found.distinct().observe(seen, F.count("*").alias("n"), summed), name), seen.get
+
+    cur, had = step(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    while had["n"]:
         # large star: each node's larger neighbours point to the least of its neighbourhood
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = both.coalesce(1) if few else both
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        down = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), name)
         # small star: a node and its smaller neighbours point to the least of them
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v")
-        cur = stored((small.coalesce(1) if few else small).distinct(), name)
-        now = count(cur)
+        low = stored(down.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = down.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        cur, now = step(small.union(low.select("u", F.col("m").alias("v"))))
         if now == had:
             break
         had = now
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    return stored(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), name)

@@ -10,21 +10,27 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import components, join_groups, parts, stored, table
+from terrace.llm.common import components, join_groups, parts, scratch, stored, table
 
 WORDS = 5
 #: Similarity of at least NUM / DEN links two documents.
 NUM, DEN = 3, 4
 ORDERS = 3
-#: Rounds of checks before all pairs of different groups are checked: how many pivots tokens are spread over in each.
-ROUNDS = (1, 32)
+#: Pivots of a token in every round after the first, and how many of them, the closest by bitmap, a set is checked against.
+PIVOTS, CLOSEST = 4, 8
+#: Rounds end when one finds fewer links than this share of the linked sets: most of these were linked before.
+SETTLED = 0.5
 #: Longs of a bitmap.
 LANES = 16
 #: Tokens whose low bits are below PART of 8 are counted for the first filter; documents of up to SHORT shingles count all of theirs.
 PART = 3
 SHORT = 48
 CHUNK = 1 << 20
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 22
+#: Documents whose tokens are sent together, each distinct one once.
+BATCH = 1 << 11
+#: In place of the document's number: a token that several documents of its batch have.
+SEVERAL = np.uint16(0xFFFF)
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
@@ -139,24 +145,30 @@ def describe(docs: DataFrame, buckets: int) -> DataFrame:
 
     A document whose partner shares at least 3/4 of its tokens shares all but a quarter of them in any part of the token
     space. Tokens of a fixed part of it are sent to hash buckets, packed, and those that another document has are counted
-    there. A document with too few shared ones has no link and needs no more work.
+    there; what documents of one batch share is counted before, so a batch sends a token once however many have it. A
+    document with too few shared tokens has no link and needs no more work.
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make, number = Shingler(), TaskContext.get().partitionId() << 32
         for whole in batches:
-            for at in range(0, len(whole), 1 << 14):
-                batch = whole.iloc[at : at + (1 << 14)]
+            for at in range(0, len(whole), BATCH):
+                batch = whole.iloc[at : at + BATCH]
                 tokens, sizes = make.sets(batch["text"].tolist())
                 owner = np.repeat(np.arange(len(batch), dtype=np.uint16), sizes)
                 part = (tokens & U(7)) < PART
                 mine = np.where(sizes <= SHORT, sizes, np.bincount(owner[part], minlength=len(batch)))
-                facts = [*[batch[c].to_numpy("<i8") for c in ("row", "id", "th")], sizes.astype("<i8"), mine.astype("<i8"), signatures(tokens, sizes).astype("<i8")]
-                rows = [(-1 - number % buckets, number, np.concatenate(facts).tobytes(), b"")]
+                sig = signatures(tokens, sizes)
                 sent = part | (sizes <= SHORT * DEN // NUM)[owner]
-                tokens, owner = tokens[sent], owner[sent]
-                for b, where in split(((tokens >> U(32)) % U(buckets)).astype(np.int64)):
-                    rows.append((b, number, tokens[where].astype(np.uint32).tobytes(), owner[where].tobytes()))
+                tokens, owner, part = tokens[sent], owner[sent], part[sent]
+                distinct, first, which, times = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+                again = times[which] >= 2
+                near = [np.bincount(owner[x], minlength=len(batch)) for x in (again, again & part)]
+                facts = [*[batch[c].to_numpy("<i8") for c in ("row", "id", "th")], *[x.astype("<i8") for x in (sizes, mine, sig, *near)]]
+                rows = [(-1 - number % buckets, number, np.concatenate(facts).tobytes(), b"")]
+                owner = np.where(times >= 2, SEVERAL, owner[first])
+                for b, where in split(((distinct >> U(32)) % U(buckets)).astype(np.int64)):
+                    rows.append((b, number, distinct[where].astype(np.uint32).tobytes(), owner[where].tobytes()))
                 yield pd.DataFrame(rows, columns=["bucket", "batch", "a", "b"])
                 number += 1
 
@@ -164,8 +176,8 @@ def describe(docs: DataFrame, buckets: int) -> DataFrame:
         out = []
         if group["bucket"].iloc[0] < 0:
             for batch, a in zip(group["batch"], group["a"]):
-                known = np.frombuffer(a, "<i8").reshape(len(names), -1)
-                out.append(pd.DataFrame({"batch": batch, "at": np.arange(known.shape[1]), "shared": 0, "in_part": 0, **dict(zip(names, known))}))
+                known = dict(zip([*names, "shared", "in_part"], np.frombuffer(a, "<i8").reshape(len(names) + 2, -1)))
+                out.append(pd.DataFrame({"batch": batch, "at": np.arange(known["row"].size), "shared": known.pop("shared"), "in_part": known.pop("in_part"), **known}))
         else:
             tokens = np.frombuffer(b"".join(group["a"]), np.uint32)
             _, which, times = np.unique(tokens, return_inverse=True, return_counts=True)
@@ -173,9 +185,10 @@ def describe(docs: DataFrame, buckets: int) -> DataFrame:
             for batch, b in zip(group["batch"], group["b"]):
                 owner = np.frombuffer(b, np.uint16)
                 here, first = slice(first, first + owner.size), first + owner.size
-                every = np.bincount(owner[shared[here]])
+                hit = shared[here] & (owner != SEVERAL)
+                every = np.bincount(owner[hit])
                 at = np.flatnonzero(every)
-                inside = np.bincount(owner[shared[here] & part[here]], minlength=every.size)
+                inside = np.bincount(owner[hit & part[here]], minlength=every.size)
                 out.append(pd.DataFrame({"batch": batch, "at": at, "shared": every[at], "in_part": inside[at], **dict.fromkeys(names)}))
         return pd.concat(out).astype(dict.fromkeys(names, "Int64"))
 
@@ -226,29 +239,36 @@ def prefixes(sets: DataFrame, buckets: int) -> DataFrame:
     and common passages last. Two similar sets share a token of their prefixes under every order.
     """
 
+    def distinct(row) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The distinct tokens of a batch by bucket, and how many of its sets have each: a batch sends a token once."""
+        tokens, times = np.unique(_unpack(row)[2], return_counts=True)
+        for b, where in split(((tokens >> U(32)) % U(buckets)).astype(np.int64)):
+            yield b, tokens[where], times[where].astype("<u4")
+
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                _, _, tokens = _unpack(row)
-                rows = [(b, row.batch, tokens[where].tobytes()) for b, where in split(((tokens >> U(32)) % U(buckets)).astype(np.int64))]
-                yield pd.DataFrame(rows, columns=["bucket", "batch", "tokens"])
+                rows = [(b, row.batch, tokens.tobytes(), times.tobytes()) for b, tokens, times in distinct(row)]
+                yield pd.DataFrame(rows, columns=["bucket", "batch", "tokens", "times"])
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        _, which, times = np.unique(np.frombuffer(b"".join(group["tokens"]), "<u8"), return_inverse=True, return_counts=True)
+        _, which = np.unique(np.frombuffer(b"".join(group["tokens"]), "<u8"), return_inverse=True)
+        total = np.bincount(which, np.frombuffer(b"".join(group["times"]), "<u4"))
         cuts = np.cumsum([len(t) // 8 for t in group["tokens"]])[:-1]
-        df = [x.astype("<u4").tobytes() for x in np.split(times[which], cuts)]
+        df = [x.astype("<u4").tobytes() for x in np.split(total[which], cuts)]
         return pd.DataFrame({"bucket": group["bucket"], "batch": group["batch"], "df": df})
 
-    counted = sets.mapInPandas(send, "bucket int, batch long, tokens binary").groupBy("bucket").applyInPandas(count, "bucket int, batch long, df binary")
+    counted = sets.mapInPandas(send, "bucket int, batch long, tokens binary, times binary").groupBy("bucket").applyInPandas(count, "bucket int, batch long, df binary")
     back = counted.groupBy("batch").agg(F.collect_list(F.struct("bucket", "df")).alias("dfs"))  # of one batch of sets
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 sigs, sizes, tokens = _unpack(row)
-                parts_, df = {r["bucket"]: r["df"] for r in row.dfs}, np.empty(tokens.size, np.uint32)
-                for b, where in split(((tokens >> U(32)) % U(buckets)).astype(np.int64)):
-                    df[where] = np.frombuffer(parts_[b], "<u4")
+                parts_ = {r["bucket"]: r["df"] for r in row.dfs}
+                known, counts = (np.concatenate(x) for x in zip(*[(t, np.frombuffer(parts_[b], "<u4")) for b, t, _ in distinct(row)]))
+                order = np.argsort(known)
+                df = counts[order][np.searchsorted(known, tokens, sorter=order)]
                 owner, starts = np.repeat(np.arange(sizes.size), sizes), np.cumsum(sizes) - sizes
                 keep = sizes - need(sizes) + 1
                 for o in range(ORDERS):
@@ -262,31 +282,24 @@ def prefixes(sets: DataFrame, buckets: int) -> DataFrame:
     return sets.join(back, "batch").mapInPandas(choose, "ord int, token long, sig long, n long, pos long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sigs whose sets are similar, by their whole sets."""
+def one_by_one(sets: DataFrame) -> DataFrame:
+    """(sig, tokens): a row for each set of the batches."""
 
-    def one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 sigs, sizes, tokens = _unpack(row)
-                yield pd.DataFrame({"sig": sigs, "tokens": [t.tobytes() for t in np.split(tokens, np.cumsum(sizes)[:-1])]})
+                yield pd.DataFrame({"sig": sigs, "tokens": np.split(tokens.view("<i8"), np.cumsum(sizes)[:-1])})
 
-    each = sets.mapInPandas(one_by_one, "sig long, tokens binary")
-    left = each.select(F.col("sig").alias("a"), F.col("tokens").alias("x"))
-    right = each.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
+    return sets.mapInPandas(run, "sig long, tokens array<long>")
 
-    @F.pandas_udf("boolean")
-    def check(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(xs, ys):
-            p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = np.concatenate([p, q])
-            both.sort(kind="stable")
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            out.append(DEN * common >= NUM * (p.size + q.size - common))
-        return pd.Series(out, dtype=bool)
 
-    return pairs.join(right, "b").join(left, "a").where(check("x", "y")).select("a", "b")
+def similar(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sigs whose sets (sig, tokens) are similar, by their whole sets."""
+    left = each.select(F.col("sig").alias("a"), F.col("tokens").alias("x"))
+    right = each.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return both.where(f"{DEN} * common >= {NUM} * (p + q - common)").select("a", "b")
 
 
 def bitmaps(sets: DataFrame) -> DataFrame:
@@ -314,41 +327,58 @@ def may_be_similar(a: str, b: str) -> str:
     return f"{a}size >= {least} and {b}size >= {least} and {alone(a, b)} <= {a}size - {least} and {alone(b, a)} <= {b}size - {least}"
 
 
+def alone(a: str, b: str) -> str:
+    """How many bits of their bitmaps two sets don't share, as SQL with these prefixes of their columns."""
+    return " + ".join(f"bit_count({a}m{i} ^ {b}m{i})" for i in range(LANES))
+
+
 def links(sets: DataFrame, buckets: int) -> DataFrame:
     """(node, root) of the sets that are linked to another, root the least sig of the connected group.
 
-    Each round picks a pivot for every prefix token, and checks each set against pivots of other groups, those that it shares
-    most tokens with. That joins large groups of near copies at a cost in proportion to their sizes. Then all pairs of
-    different groups are checked that share prefix tokens under every order, at places that leave enough tokens after them,
-    and whose bitmaps agree. So no link between groups is lost.
+    Each round picks pivots for every prefix token whose sets are in several groups, and checks each set against the pivots of
+    other groups that are closest to it by bitmap. That joins large groups of near copies at a cost in proportion to their
+    sizes. Rounds go on until few sets find new links. Then all pairs of different groups are checked that share a prefix
+    token under every order, at places that leave enough tokens after them, and whose bitmaps agree. So no link between
+    groups is lost, whatever the rounds have found.
     """
-    post = stored(prefixes(sets, buckets), "postings")
+    post = stored(prefixes(sets, buckets), "postings", "ord")
     info = stored(bitmaps(sets), "bitmaps")
+    each = stored(one_by_one(sets), "each")
     one, two = (info.select(*[F.col(c).alias(f"{x}_{c}") for c in info.columns]) for x in "ab")
-    first = post.where("ord = 0")
-    near, roots = None, None
-    for r, pivots_each in enumerate(ROUNDS):
+    first = post.where("ord = 0").select("token", "sig", "pos")
+    near, roots, turn = None, None, 0
+    while True:
         here = first if roots is None else first.join(roots, F.col("sig") == F.col("node"), "left")
         here = here.select("token", "sig", (F.col("sig") if roots is None else F.coalesce("root", "sig")).alias("root"))
-        spread = F.xxhash64("sig", F.lit(r), F.pmod("token", F.lit(pivots_each)))
-        pivots = here.groupBy("token").agg(F.min(F.struct(spread.alias("h"), "sig", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-        stars = here.join(pivots.select("token", F.col("p.sig").alias("pivot"), F.col("p.root").alias("other")), "token").where("root != other")
-        pairs = stars.groupBy(F.col("sig").alias("a_sig"), F.col("pivot").alias("b_sig")).agg(F.count("*").alias("common"))
-        fit = pairs.join(one, "a_sig").join(two, "b_sig").where(may_be_similar("a_", "b_"))
-        rank = F.row_number().over(Window.partitionBy("a_sig").orderBy(F.desc("common"), "b_sig"))  # a_sig: a pair for each of its prefix tokens at most
-        best = fit.withColumn("rank", rank).where(F.col("rank") <= pivots_each).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
-        found = stored(similar(best, sets), "near")
+        draws = [F.min(F.struct(F.xxhash64("sig", F.lit(turn), F.lit(i), F.pmod("token", F.lit(32 if turn else 1))).alias("h"), "sig", "root")).alias(f"p{i}") for i in range(PIVOTS if turn else 1)]
+        drawn = here.groupBy("token").agg(*draws, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+        pivots = F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.sig").alias("pivot"), F.col(f"p{i}.root").alias("other")) for i in range(len(draws))]))
+        stars = here.join(drawn.select("token", F.explode(pivots).alias("p")), "token").where("root != p.other")
+        pairs = stars.select(F.col("sig").alias("a_sig"), F.col("p.pivot").alias("b_sig")).distinct()
+        fit = pairs.join(one, "a_sig").join(two, "b_sig").where(may_be_similar("a_", "b_")).select("a_sig", "b_sig", F.expr(f"({alone('a_', 'b_')}) / (a_size + b_size)").alias("gap"))
+        rank = F.row_number().over(Window.partitionBy("a_sig").orderBy("gap", "b_sig"))  # a_sig: PIVOTS pairs for each of its prefix tokens at most
+        best = fit.withColumn("rank", rank).where(F.col("rank") <= (CLOSEST if turn else 1)).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
+        found = stored(similar(best, each), "near")
         near = found if near is None else near.union(found)
-        roots = stored(components(near, "a", "b", "stars"), "groups")
-    placed = post.join(roots, F.col("sig") == F.col("node"), "left").select("ord", "token", "sig", "pos", F.coalesce("root", "sig").alias("root"))
-    open_ = placed.groupBy("ord", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("ord", "token")
-    placed = placed.join(open_, ["ord", "token"]).withColumnRenamed("sig", "a_sig").join(one, "a_sig")
-    placed = stored(placed.select(*[c if c.startswith("a_") or c in ("ord", "token") else F.col(c).alias(f"a_{c}") for c in placed.columns]), "open")
-    other = placed.select("ord", "token", *[F.col(c).alias(f"b{c[1:]}") for c in placed.columns if c.startswith("a_")])
+        roots = components(near, "a", "b", "stars")
+        turn += 1
+        if found.count() <= SETTLED * roots.count():
+            break
+    placed = first.join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", "pos", F.coalesce("root", "sig").alias("root"))
+    open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    placed = placed.join(open_, "token").withColumnRenamed("sig", "a_sig").join(one, "a_sig")
+    placed = stored(placed.select("token", *[F.col(c) if c.startswith("a_") else F.col(c).alias(f"a_{c}") for c in placed.columns if c != "token"]), "open")
+    other = placed.select("token", *[F.col(c).alias(f"b{c[1:]}") for c in placed.columns if c.startswith("a_")])
     after = f"least(a_size - a_pos, b_size - b_pos) >= ({NUM} * (a_size + b_size) + {NUM + DEN - 1}) div {NUM + DEN}"
-    pairs = placed.join(other, ["ord", "token"]).where(f"a_root < b_root and {after} and {may_be_similar('a_', 'b_')}")
-    pairs = pairs.groupBy(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).agg(F.countDistinct("ord").alias("orders")).where(F.col("orders") == ORDERS)
-    return components(near.union(similar(pairs.select("a", "b"), sets)), "a", "b", "links")
+    pairs = placed.join(other, "token").where(f"a_root < b_root and {after} and {may_be_similar('a_', 'b_')}")
+    pairs = stored(pairs.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).distinct(), "pairs")
+    # the pairs' prefixes under the other orders must meet too
+    named = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    rest = post.where("ord > 0").join(named, "sig", "left_semi").groupBy("sig").agg(*[F.collect_list(F.when(F.col("ord") == o, F.col("token"))).alias(f"o{o}") for o in range(1, ORDERS)])  # of one set
+    for x in "ab":
+        pairs = pairs.join(rest.select(F.col("sig").alias(x), *[F.col(f"o{o}").alias(f"{x}{o}") for o in range(1, ORDERS)]), x)
+    met = " and ".join(f"arrays_overlap(a{o}, b{o})" for o in range(1, ORDERS))
+    return components(near.union(similar(pairs.where(met).select("a", "b"), each)), "a", "b", "links")
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -357,19 +387,21 @@ def groups(rows: DataFrame) -> DataFrame:
     ``row`` is unique; rows without shingles have no head.
     """
     spark = rows.sparkSession
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(parts(spark), size // BUCKET_BYTES + 1)
-    facts = stored(describe(rows, buckets), "facts")
-    sets = stored(live_sets(rows, facts), "sets")
-    roots = stored(links(sets, buckets), "roots")
-    least = facts.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "th", "row")).alias("first"))
-    classes = least.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
-    tops = classes.groupBy("root").agg(F.min("first").alias("head"))
-    classes = classes.join(tops, "root").select("sig", "head")
-    # a set's rows may be a third of the table: spread what large sets need over tasks
-    counts = facts.groupBy("sig").agg(F.count("*").alias("size")).join(classes, "sig")
-    keyed = facts.select("row", "id", "n", F.when(F.col("n") > 0, F.col("sig").cast("string")).alias("sig"))
-    return join_groups(keyed, counts.withColumn("sig", F.col("sig").cast("string")), "sig", "size", facts.count())
+    with scratch(spark) as keep:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(parts(spark), size // BUCKET_BYTES + 1)
+        facts = stored(describe(rows, buckets), "facts")
+        sets = stored(live_sets(rows, facts), "sets")
+        roots = links(sets, buckets)
+        least = facts.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "th", "row")).alias("first"))
+        classes = least.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
+        classes = stored(classes, "classes")
+        tops = classes.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("sets"))
+        classes = join_groups(classes, tops, "root", "sets", classes.count()).select("sig", "head")
+        # a set's rows may be a third of the table: spread what large sets need over tasks
+        counts = facts.groupBy("sig").agg(F.count("*").alias("size")).join(classes, "sig")
+        keyed = facts.select("row", "id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
+        return keep(stored(join_groups(keyed, counts, "sig", "size", facts.count()), "heads"))
 
 
 def sortable(key: str) -> Column:
@@ -398,12 +430,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     be null or repeat: rows without a link stay, whatever their keys.
     """
     rows = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
-    found = groups(rows.select("row", sortable(f"doc.{key}").alias("id"), F.col(f"doc.{text}").alias("text")))
+    found = groups(rows.select("row", sortable(f"doc.`{key}`").alias("id"), F.col(f"doc.`{text}`").alias("text")))
     kept = found.where("head is null or row = head.row").select("row")
     return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles, and the least document reachable by links, of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
