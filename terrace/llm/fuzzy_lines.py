@@ -1,8 +1,7 @@
-"""Fuzzy line dedup: sampled word and character n-grams of normalised lines, joins on them, edit similarity, one occurrence per group.
+"""Fuzzy line dedup: keys of normalised lines, joins on them, edit similarity, and one occurrence of each connected group.
 
-``Lines`` links by edits and a narrow SimHash, which misses most pairs that are near by edits alone; ``NearLines`` links by edits.
-
-Everything on the path is a DataFrame expression.
+``SimHashLines`` takes its keys from blocks of a SimHash, which misses most pairs that are near by edits alone; ``NearLines``
+takes them from sampled word and character n-grams. Both verify edits. Everything on the path is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -14,21 +13,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import components, join_groups, parts, shared_dir, stored, table
+from terrace.llm.common import components, join_groups, noted, parts, scratch, shared_dir, stored, table
 
-#: Linked lines differ in at most so many of 64 SimHash bits ...
+#: Lines linked by SimHash differ in at most so many of its 64 bits ...
 DISTANCE = 3
-#: ... and in at most this share of the longer line's characters, by edit distance.
+#: ... and all linked lines in at most this share of the longer line's characters, by edit distance.
 EDITS = 0.15
 #: Bits of the blocks; lines within the distance agree in all but DISTANCE of them.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Words whose bits are summed in bytes at first; below 128, so that the sum of a long stays positive.
 CHUNK = 127
 ONES = 0x0101010101010101
-#: Bins of the word n-grams and of the character n-grams of a line; each gives a key.
-WORD_BINS, CHAR_BINS = 20, 24
-#: Letters that are counted before texts are compared; an edit changes the counts by two at most.
-LETTERS = "etaoinrshldu"
+#: Keys of a line by each kind of n-gram.
+SKETCH = 12
+#: Lines are compared if they share this part of the keys of the one that has fewer; lines within EDITS share more, but for a few in a thousand.
+SHARED = 0.15
+#: Letters that are counted before texts are compared.
+LETTERS = "etains"
+#: Characters that a unit stands for where whole words are compared.
+UNIT = 3
 
 
 def normal(lower: Column) -> Column:
@@ -38,26 +41,26 @@ def normal(lower: Column) -> Column:
 
 
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, th, pos, norm, k1, k2) of each line that isn't blank; th is the hash of the text, k1 and k2 are 128 bits of the line's."""
+    """(key, th, pos, norm, id) of each line that isn't blank; th is the hash of the text, id that of the normalised line."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = docs.select(F.col(key).alias("key"), F.xxhash64(whole).alias("th"), F.posexplode(F.split(F.lower(whole), "\n")).alias("pos", "line"))
     lines = lines.where(F.btrim("line", F.lit(" \t\x0b\f\r")) != "").select("key", "th", "pos", normal(F.col("line")).alias("norm"))
-    return lines.select("key", "th", "pos", "norm", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), F.col("norm")).alias("k2"))
+    return lines.withColumn("id", F.xxhash64("norm"))
 
 
 def simhash(lines: DataFrame) -> DataFrame:
-    """(k1, k2, size, simhash): bit i is set where more than half of the line's distinct words have it in their hashes.
+    """(id, simhash): bit i is set where more than half of the line's distinct words have it in their hashes.
 
     Eight counters share a long for up to CHUNK words, then two, each of 31 bits, more than a line can have words. ``lines`` must
-    be one row per (k1, k2) and partitioned by them, so that the words stay in their task.
+    be one row per id and partitioned by it, so that the words stay in their task.
     """
-    words = lines.select("k1", "k2", F.length("norm").alias("size"), F.posexplode(F.array_distinct(F.split("norm", " "))).alias("at", "w"))
-    words = words.select("k1", "k2", "size", F.expr(f"cast(at div {CHUNK} as int)").alias("chunk"), F.xxhash64("w").alias("h"))
-    some = words.groupBy("k1", "k2", "chunk").agg(F.max("size").alias("size"), F.count("*").alias("n"), *[F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {ONES}L")).alias(f"s{i}") for i in range(8)])
+    words = lines.select("id", F.posexplode(F.array_distinct(F.split("norm", " "))).alias("at", "w"))
+    words = words.select("id", F.expr(f"cast(at div {CHUNK} as int)").alias("chunk"), F.xxhash64("w").alias("h"))
+    some = words.groupBy("id", "chunk").agg(F.count("*").alias("n"), *[F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {ONES}L")).alias(f"s{i}") for i in range(8)])
     pair = lambda i: F.expr(f"(shiftrightunsigned(s{i % 8}, {i - i % 8}) & 255L) + shiftleft(shiftrightunsigned(s{i % 8}, {i - i % 8 + 32}) & 255L, 31)")
-    sums = some.groupBy("k1", "k2").agg(F.max("size").alias("size"), F.sum("n").alias("n"), *[F.sum(pair(i)).alias(f"c{i}") for i in range(32)])
+    sums = some.groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(pair(i)).alias(f"c{i}") for i in range(32)])
     bits = [f"(if(2 * (c{i} & {(1 << 31) - 1}L) > n, {1 << i}L, 0L) | if(2 * shiftrightunsigned(c{i}, 31) > n, shiftleft(1L, {i + 32}), 0L))" for i in range(32)]
-    return sums.select("k1", "k2", "size", F.expr(" | ".join(bits)).alias("simhash"))
+    return sums.select("id", F.expr(" | ".join(bits)).alias("simhash"))
 
 
 def block_keys(value: Column) -> Column:
@@ -73,167 +76,205 @@ def block_keys(value: Column) -> Column:
     return F.array(*keys)
 
 
-def within_edits(x: str, y: str, most: str) -> str:
-    """Condition that two texts are at most so many edits apart; a narrow band comes first, as it is enough for most near copies."""
-    return f"levenshtein({x}, {y}, ({most}) div 8) >= 0 or levenshtein({x}, {y}, {most}) >= 0"
+def units(norm: Column) -> Column:
+    """The words of a line as letters of an alphabet of 20,480, each repeated once for every UNIT characters of the word and its space.
+
+    UNIT times the edit distance of two such texts is an upper bound of their lines' distance, at a small part of the cost.
+    """
+    letter = lambda w: F.repeat(F.hex(F.lit(0x3000).cast("long") + F.pmod(F.xxhash64(w), F.lit(0x5000).cast("long"))), F.ceil((F.length(w) + 1) / UNIT).cast("int"))
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), letter), "")), "UTF-16BE")
+
+
+#: Condition on two lines: at most ``most`` edits apart. Whole words come first, as they are enough for most.
+WITHIN = f"levenshtein(units_a, units_b, most div {UNIT}) >= 0 or levenshtein(norm_a, norm_b, most) >= 0"
+
+
+def lowest(grams: Column) -> Column:
+    """The SKETCH least of an array of longs, each once, in order."""
+    return F.array_distinct(F.slice(F.sort_array(grams), 1, SKETCH))
 
 
 class Lines:
-    """The distinct lines of a table: their texts, stored bucketed by hash so that later joins don't move them, and what is
-    known of each: id, hashes, SimHash and length."""
+    """The distinct lines of a table, in a table bucketed by their id, so that joins by it don't move them: id, text, size in
+    characters, what else is known of each before its text is read, and keys. Lines that may be linked share a key.
+
+    Lines are named by a hash of 64 bits.
+    """
+
+    known: tuple[str, ...] = ("size",)
 
     def __init__(self, lines: DataFrame) -> None:
         spark = lines.sparkSession
         self.name = f"lines_{uuid.uuid4().hex}"
-        path = f"{shared_dir(spark)}/terrace-{self.name}"
-        distinct = lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm"))
-        distinct.write.bucketBy(parts(spark), "k1", "k2").sortBy("k1", "k2").option("path", path).option("compression", "zstd").saveAsTable(self.name)
-        self.texts = spark.table(self.name)
-        self.all = stored(simhash(self.texts).withColumn("id", F.monotonically_increasing_id()), "line-hashes")
+        path = noted(f"{shared_dir(spark)}/terrace-{self.name}")
+        distinct = lines.groupBy("id").agg(F.first("norm").alias("norm"))
+        told = self.describe(distinct.withColumn("size", F.length("norm")))
+        told.write.bucketBy(parts(spark), "id").sortBy("id").option("path", path).option("compression", "zstd").saveAsTable(self.name)
+        self.all = spark.table(self.name)
 
     def drop(self) -> None:
-        self.texts.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
-
-    #: What of a line is known before its text.
-    known = ("simhash", "size")
+        self.all.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-    def keyed(self) -> DataFrame:
-        """(id, key): lines that may be linked share a key."""
-        return self.all.select("id", F.explode(block_keys(F.col("simhash"))).alias("key"))
+    def describe(self, distinct: DataFrame) -> DataFrame:
+        """Add what is known of (id, norm, size), and the array of keys."""
+        raise NotImplementedError
 
     def may_link(self, a: str, b: str) -> str:
-        """Condition on what is known of two lines, as SQL with these patterns of their columns."""
-        x, y = ({c: p.format(c) for c in self.known} for p in (a, b))
-        return f"bit_count({x['simhash']} ^ {y['simhash']}) <= {DISTANCE} and abs({x['size']} - {y['size']}) <= {EDITS} * greatest({x['size']}, {y['size']})"
+        """Condition on what is known of two lines, as SQL with these patterns of their columns; it never rules out a link."""
+        raise NotImplementedError
+
+    def enough(self, common: str, keys_a: str, keys_b: str) -> str:
+        """Condition on the number of keys that two lines share and have."""
+        return f"{common} >= 1"
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of ids that may be linked whose texts pass the edit check."""
-        one, two = (self.all.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("k1", "k2", *self.known)]) for x in "ab")
-        near = pairs.join(one, "a").join(two, "b")
-        near = near.withColumn("most", F.expr(f"cast({EDITS} * greatest(size_a, size_b) as int)"))
-        near = near.where(self.may_link("{}_a", "{}_b"))
-        names = [f"{c}_{x}" for x in "ab" for c in ("k1", "k2")]
-        near = stored(near.select("a", "b", "most", *names), "close-lines")
-        # the texts are read once, where they lie, and only those of close lines go on
-        needed = near.select(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")).union(near.select("k1_b", "k2_b")).distinct()
-        texts = stored(self.texts.join(needed.hint("shuffle_hash"), ["k1", "k2"], "left_semi"), "close-texts")
-        for x in "ab":
-            near = near.join(texts.select(F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("norm").alias(f"norm_{x}")), [f"k1_{x}", f"k2_{x}"])
-        return near.where(F.expr(within_edits("norm_a", "norm_b", "most"))).select("a", "b")
+        with scratch(pairs.sparkSession) as keep:
+            near = pairs
+            for x in "ab":  # what is small comes first, keys are joined to what it leaves
+                near = near.join(self.all.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in self.known]), x)
+            most = F.expr(f"cast({EDITS} * greatest(size_a, size_b) as int)").alias("most")
+            near = stored(near.where(self.may_link("{}_a", "{}_b")).select("a", "b", most), "like-lines")
+            for x in "ab":
+                near = near.join(self.all.select(F.col("id").alias(x), F.col("keys").alias(f"keys_{x}")), x)
+            near = near.where(self.enough("size(array_intersect(keys_a, keys_b))", "size(keys_a)", "size(keys_b)"))
+            near = stored(near.select("a", "b", "most"), "close-lines")
+            # the texts are read once, where they lie, and only those of close lines go on
+            needed = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+            texts = self.all.select("id", "norm").join(needed.hint("shuffle_hash"), "id", "left_semi")
+            texts = stored(texts.select("id", "norm", units(F.col("norm")).alias("units")), "close-texts")
+            for x in "ab":
+                near = near.join(texts.select(F.col("id").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("units").alias(f"units_{x}")), x)
+            dealt = near.repartition(4 * parts(self.all.sparkSession))  # by number: the checks take long, not the bytes
+            return keep(stored(dealt.where(WITHIN).select("a", "b"), "near-lines"))
 
     def groups(self) -> DataFrame:
         """(node, root) of the lines that have a link.
 
-        First every line is checked against the lines of least id that share a block key, the least of them first and others
-        only if they are in another group by then; that joins groups of near copies at a cost in proportion to their sizes. Keys with three lines or more that then still hold several groups give all pairs
-        of different groups, so no link between groups is lost.
+        First every line is checked against the line of least id of a key, that it shares most keys with, and then against
+        those of its other keys that are in another group by then; that joins groups of near copies at a cost in proportion to
+        their sizes. Keys with three lines or more that then still hold several groups give all pairs of different groups, so
+        no link between groups that share a key is lost.
         """
-        keyed = self.keyed().repartition(parts(self.all.sparkSession), "key")
+        keyed = self.all.select("id", F.explode("keys").alias("key")).repartition(parts(self.all.sparkSession), "key")
         least = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
         shared = stored(keyed.join(least, "key"), "blocks")
-        stars = stored(shared.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "line-stars")
-        near = stored(self.linked(stars.groupBy("a").agg(F.min("b").alias("b"))), "near-lines")
-        roots = stored(components(near, "a", "b", "line-stars"), "line-groups")
+        stars = stored(shared.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("common")), "line-stars")
+        near = self.linked(stars.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b")))
+        roots = components(near, "a", "b", "line-stars")
         for x in "ab":
             stars = stars.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
         apart = stars.where("not coalesce(root_a, a) <=> coalesce(root_b, b)").select("a", "b")
-        near = near.union(stored(self.linked(apart), "near-lines"))
-        roots = stored(components(near, "a", "b", "line-stars"), "line-groups")
+        near = near.union(self.linked(apart))
+        roots = components(near, "a", "b", "line-stars")
         placed = shared.where("members > 2").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        known = self.all.select("id", *self.known)
+        known = self.all.select("id", F.size("keys").alias("n_keys"), *self.known)
         placed = stored(placed.join(open_, "key").join(known, "id"), "open-blocks")
-        other = placed.select("key", *[F.col(c).alias(f"b_{c}") for c in ("id", "root", *self.known)])
-        near_by = self.may_link("{}", "b_{}")
-        pairs = placed.join(other, "key").where(f"root < b_root and {near_by}").select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
-        return components(near.union(self.linked(pairs)), "a", "b", "line-links")
+        other = placed.select("key", *[F.col(c).alias(f"b_{c}") for c in placed.columns if c != "key"])
+        pairs = placed.join(other, "key").where(f"root < b_root and {self.may_link('{}', 'b_{}')}")
+        pairs = pairs.groupBy(F.col("id").alias("a"), F.col("b_id").alias("b")).agg(F.count("*").alias("common"), F.min("n_keys").alias("keys_a"), F.min("b_n_keys").alias("keys_b"))
+        return components(near.union(self.linked(pairs.where(self.enough("common", "keys_a", "keys_b")).select("a", "b"))), "a", "b", "line-links")
+
+
+class SimHashLines(Lines):
+    """Lines that link by edits and by a SimHash within DISTANCE bits; the keys are choices of its blocks."""
+
+    known = ("size", "simhash")
+
+    def describe(self, distinct: DataFrame) -> DataFrame:
+        held = stored(distinct, "lines")
+        hashed = simhash(held.select("id", "norm").repartition("id"))
+        return held.join(hashed, "id").withColumn("keys", block_keys(F.col("simhash")))
+
+    def may_link(self, a: str, b: str) -> str:
+        x, y = ({c: p.format(c) for c in self.known} for p in (a, b))
+        return f"bit_count({x['simhash']} ^ {y['simhash']}) <= {DISTANCE} and abs({x['size']} - {y['size']}) <= {EDITS} * greatest({x['size']}, {y['size']})"
 
 
 class NearLines(Lines):
     """Lines that link by edits alone.
 
-    A line's n-grams fall in bins by hash, and each bin gives one as a key: of word n-grams the longest, which few unrelated
-    lines have, and of character n-grams, which only short lines need, that of least hash. Lines that share a share J of their
-    n-grams miss each other with probability (1 - J) ** bins at most. Widths overlap, so lines at their bounds meet too.
+    A line's keys are a bottom-k sketch of its n-grams: of three words, of four where it is long, and where it is short of the
+    characters from the start of each word on or from anywhere. Long n-grams, which few unrelated lines share, come first in
+    the order. The part of their keys that two lines share estimates the part of their n-grams that they do: a pair is missed
+    where it is under SHARED. The bounds of the kinds overlap, so lines on both sides of one meet too.
     """
 
     known = ("size", *[f"n_{c}" for c in LETTERS])
 
-    def __init__(self, lines: DataFrame) -> None:
-        spark = lines.sparkSession
-        self.name = f"lines_{uuid.uuid4().hex}"
-        path = f"{shared_dir(spark)}/terrace-{self.name}"
-        distinct = lines.groupBy("k1", "k2").agg(F.first("norm").alias("norm")).withColumn("id", F.monotonically_increasing_id())
-        distinct.write.bucketBy(parts(spark), "k1", "k2").sortBy("k1", "k2").option("path", path).option("compression", "zstd").saveAsTable(self.name)
-        self.texts = spark.table(self.name)
+    def describe(self, distinct: DataFrame) -> DataFrame:
+        told = distinct.withColumn("ws", F.split("norm", " ")).withColumn("n", F.size("ws"))
+        mark = lambda w: F.shiftleft(F.least(F.length(w), F.lit(4095)).cast("long"), 48) + F.xxhash64(w).bitwiseAND(F.lit((1 << 48) - 1))
+        told = told.withColumn("marks", F.when(F.col("n") >= 20, F.transform("ws", mark)))
+        none = F.array().cast("array<long>")
+
+        def runs(width: int) -> Column:
+            """Hashes of ``width`` words each, halved for every other character; a sum of marks has the lengths' sum above its hash."""
+            total = lambda i: reduce(lambda x, y: x + y, [F.get("marks", i + j if j else i) for j in range(width)])
+            ranked = lambda t: F.call_function("shiftrightunsigned", F.xxhash64(t), F.least(F.lit(16), F.shiftright(t, 49).cast("int")))
+            return lowest(F.transform(F.transform(F.sequence(F.lit(0), F.col("n") - width), total), ranked))
+
+        hashed = lambda kind, gram: F.shiftrightunsigned(F.xxhash64(F.lit(kind), gram), 1)
+        starts = F.transform("ws", lambda w, i: hashed(3, F.substring(F.concat_ws(" ", w, F.get("ws", i + 1), F.get("ws", i + 2)), 1, 12)))
+        inside = lambda kind, width: lowest(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("size") - (width - 1))), lambda i: hashed(kind, F.substring(F.col("norm"), i, F.lit(width)))))
+        kinds = [
+            ("n >= 20 and n < 48", runs(3)), ("n >= 36", runs(4)), ("n >= 7 and n < 24 and size >= 17", lowest(starts)),
+            ("n < 9 and size >= 17", inside(4, 5)), ("size >= 7 and size < 24", inside(5, 3)),  # below 7 characters no edit is allowed
+        ]
+        keys = F.concat(*[F.when(F.expr(where), made).otherwise(none) for where, made in kinds])
         counts = [F.expr(f"length(norm) - length(replace(norm, '{c}', ''))").alias(f"n_{c}") for c in LETTERS]
-        self.all = stored(self.texts.select("id", "k1", "k2", F.length("norm").alias("size"), *counts), "line-letters")
-
-    def keyed(self) -> DataFrame:
-        line = self.texts.select("k1", "k2", "id", "norm", F.length("norm").alias("size"), F.split("norm", " ").alias("ws")).withColumn("n", F.size("ws"))
-        words = line.where("n >= 20").select("k1", "k2", "id", "n", "ws", F.posexplode("ws").alias("at", "w"))
-        shingles = []
-        for kind, width, low, high in ((3, 3, 20, 48), (4, 4, 36, None)):
-            run = F.concat_ws(" ", "w", *[F.get("ws", F.col("at") + i) for i in range(1, width)])
-            here = words.where(f"n >= {low} and at <= n - {width}" + (f" and n < {high}" if high else ""))
-            shingles.append(here.select("k1", "k2", "id", F.lit(kind).alias("kind"), run.alias("gram"), F.lit(WORD_BINS).alias("bins")))
-        short = line.where("size >= 7")  # below, no edit is allowed
-        for kind, width, where in ((0, 3, "size < 24"), (1, 5, "size >= 17 and n < 9"), (2, 12, "size >= 17 and n >= 7 and n < 24")):
-            at = short.where(where).select("k1", "k2", "id", "norm", F.explode(F.expr(f"sequence(1, greatest(1, size - {width - 1}))")).alias("at"))
-            shingles.append(at.select("k1", "k2", "id", F.lit(kind).alias("kind"), F.substring("norm", F.col("at"), F.lit(width)).alias("gram"), F.lit(CHAR_BINS).alias("bins")))
-        out = []
-        for rows in shingles:
-            hashed = rows.select("k1", "k2", "id", "kind", "bins", F.length("gram").alias("long"), F.xxhash64("gram").alias("h"))
-            rank = F.expr(f"shiftleft(cast({0x3FFF} - least(long, {0x3FFF}) as long), 48) | (h & {(1 << 48) - 1}L)")  # the longest, then that of least hash
-            best = hashed.select("k1", "k2", "id", "kind", F.expr("pmod(shiftrightunsigned(h, 48), bins)").alias("bin"), rank.alias("rank")).groupBy("k1", "k2", "id", "kind", "bin").agg(F.min("rank").alias("rank"))
-            out.append(best.select("id", F.xxhash64("kind", "bin", "rank").alias("key")))
-        return reduce(DataFrame.union, out)
+        return told.select("id", "norm", "size", *counts, keys.alias("keys"))
 
     def may_link(self, a: str, b: str) -> str:
         x, y = a.format, b.format
         longer = f"greatest({x('size')}, {y('size')})"
-        apart = " + ".join(f"abs({x(c)} - {y(c)})" for c in self.known[1:])
-        return f"abs({x('size')} - {y('size')}) <= {EDITS} * {longer} and {apart} <= 2 * cast({EDITS} * {longer} as int)"
+        apart = [f"{x(c)} - {y(c)}" for c in self.known[1:]]  # letters that one has more of must be replaced or removed
+        return f"abs({x('size')} - {y('size')}) <= {EDITS} * {longer} and {' + '.join(f'abs({d})' for d in apart)} + abs({' + '.join(apart)}) <= 2 * cast({EDITS} * {longer} as int)"
+
+    def enough(self, common: str, keys_a: str, keys_b: str) -> str:
+        return f"{common} >= greatest(1, {SHARED} * least({keys_a}, {keys_b}))"
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: type[Lines] = Lines) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: type[Lines] = NearLines) -> DataFrame:
     """(key, th, drop): the positions of the lines to remove from each document, named by key and hash of text, that has some.
 
     Of each group of equal or linked lines the first occurrence stays, by key (null first), hash and position. Blank lines
     are never removed. Rows that repeat a key and its text are one document.
     """
-    lines = line_table(docs, key, text)
-    seen = stored(lines.select("key", "th", "pos", "k1", "k2"), "occurrences")
-    distinct = kind(lines)
-    roots = stored(distinct.groups(), "line-roots")
-    firsts = seen.groupBy("k1", "k2").agg(F.min(F.struct("key", "th", "pos")).alias("first"), F.count("*").alias("n"))
-    ids = distinct.all.select("k1", "k2", "id").join(roots, F.col("id") == F.col("node")).select("k1", "k2", "root")
-    classes = stored(firsts.join(ids, ["k1", "k2"], "left").where("n > 1 or root is not null"), "line-classes")
-    distinct.drop()
-    tops = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("top"), F.sum("n").alias("total"))
-    name = F.concat_ws("_", "k1", "k2").alias("k")
-    classes = classes.join(tops, "root", "left").select(name, F.coalesce("top", "first").alias("top"), F.coalesce("total", "n").alias("total"), "n")
-    placed = join_groups(seen.select("key", "th", "pos", name), classes, "k", "n", seen.count())
-    again = placed.where("total > 1 and not (key <=> top.key and th = top.th and pos = top.pos)")
-    return again.groupBy("key", "th").agg(F.array_sort(F.collect_set("pos")).alias("drop"))  # the lines of one document
-
-
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: type[Lines] = Lines) -> DataFrame:
+    with scratch(docs.sparkSession) as keep:
+        lines = line_table(docs, key, text)
+        seen = stored(lines.select("key", "th", "pos", "id"), "occurrences")
+        distinct = kind(lines)
+        roots = distinct.groups()
+        distinct.drop()
+        firsts = seen.groupBy("id").agg(F.min(F.struct("key", "th", "pos")).alias("first"), F.count("*").alias("n"))
+        classes = stored(firsts.join(roots, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("id", "first", "n", "root"), "line-classes")
+        tops = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("top"), F.sum("n").alias("total"), F.count("*").alias("lines"))
+        classes = join_groups(classes, tops, "root", "lines", classes.count())
+        classes = classes.select("id", F.coalesce("top", "first").alias("top"), F.coalesce("total", "n").alias("total"), "n")
+        placed = join_groups(seen, classes, "id", "n", seen.count())
+        again = placed.where("total > 1 and not (key <=> top.key and th = top.th and pos = top.pos)")
+        drops = again.groupBy("key", "th").agg(F.array_sort(F.collect_set("pos")).alias("drop"))  # the lines of one document
+        return keep(stored(drops, "drops"))
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: type[Lines] = NearLines) -> DataFrame:
     """The documents with repeated lines removed from their texts, in the columns they came with.
 
     A document whose lines are all removed keeps an empty text; null texts stay null.
     """
-    drops = repeated_lines(docs, key, text, kind).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
-    here = docs.withColumn("_here", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    found = here.join(drops, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_here") == F.col("_th")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    return found.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    drops = repeated_lines(docs, key, text, kind).select(F.col("key").alias("of_key"), F.col("th").alias("of_th"), F.col("drop").alias("gone"))
+    here = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    found = here.join(drops, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("th") == F.col("of_th")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return found.withColumn("doc", F.col("doc").withField(f"`{text}`", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))).select("doc.*")
 
 
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: its lines, how many of them are removed, and their positions."""
     docs = table(spark, sf_dir, "documents")
-    drops = repeated_lines(docs, kind=NearLines).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("drop").alias("dropped"))
+    drops = repeated_lines(docs).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("drop").alias("dropped"))
     whole = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(whole).alias("_here"), F.size(F.split(whole, "\n")).cast("long").alias("n_lines"))
     found = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col("_here") == F.col("_th")), "left")
