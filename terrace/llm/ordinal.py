@@ -135,11 +135,13 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, grades: DataFrame, levels: int = 3, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most ``sample`` rated documents; the features are made by the executors, the fit is the driver's.
+    """Fit on at most ``sample`` rated documents, those of least hash of their key; the driver gets the model alone.
 
-    ``sample`` bounds what is broadcast and collected. A document whose key repeats counts once for each row.
+    ``sample`` bounds what one task fits. A document whose key repeats counts once, by the least hash of its text. Null keys
+    and grades teach nothing; without rated documents all weights are 0.
     """
-    chosen = grades.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample)
+    chosen = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample)
     rated = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,13 +150,24 @@ def train(docs: DataFrame, grades: DataFrame, levels: int = 3, key: str = "doc_i
             for k, t, g in zip(batch["doc_id"], batch["text"], batch["grade"]):
                 words = words_of(t or "")
                 distinct = set(words)
-                out.append((k, g, np.array(sorted(map(slot, distinct)), "<i4").tobytes(), np.array(shapes_of(t or "", words, len(distinct))).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "grade", "slots", "shapes"])
-
-    got = rated.mapInPandas(features, "doc_id long, grade int, slots binary, shapes binary").limit(4 * sample).toPandas()
-    got = got.sort_values(["doc_id", "grade", "slots"], kind="stable")
-    shapes = np.array([np.frombuffer(x) for x in got["shapes"]]).reshape(len(got), SHAPES)
-    return fit([np.frombuffer(x, "<i4") for x in got["slots"]], shapes, got["grade"].to_numpy(np.int64), levels)
+                out.append((k, g, zlib.crc32((t or "").encode("utf-8", "replace")), np.array(sorted(map(slot, distinct)), "<i4").tobytes(), np.array(shapes_of(t or "", words, len(distinct))).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "grade", "th", "slots", "shapes"])
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots, shapes, marks, last = [], [], [], None
+        for batch in batches:  # in order of doc_id and th
+            for k, g, _, s, x in batch.itertuples(index=False, name=None):
+                if k != last:
+                    slots.append(np.frombuffer(s, "<i4"))
+                    shapes.append(np.frombuffer(x))
+                    marks.append(g)
+                    last = k
+        model = fit(slots, np.array(shapes).reshape(len(slots), SHAPES), np.array(marks, np.int64), levels)
+        yield pd.DataFrame({"weights": [model.weights.tobytes()], "shapes": [model.shapes.tobytes()], "cuts": [model.cuts.tobytes()]})
+
+    made = rated.mapInPandas(features, "doc_id long, grade int, th long, slots binary, shapes binary")
+    row = made.repartition(1).sortWithinPartitions("doc_id", "th").mapInPandas(learn, "weights binary, shapes binary, cuts binary").first()  # at most ``sample`` keys
+    return OrdinalModel(*[np.frombuffer(x) for x in row]) if row else fit([], np.zeros((0, SHAPES)), np.zeros(0, np.int64), levels)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
@@ -178,6 +191,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cutoff: floa
 
 
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, expected grade, tail probabilities and decision of every document."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, graded(table(spark, sf_dir, "labels")))
     return score(docs.select("doc_id", "text"), model).drop("text")
