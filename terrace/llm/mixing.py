@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WORD, parts, stored, table
+from terrace.llm.common import WORD, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 BINS = 4096
+#: Patterns of sources, and sources, that a mix may have: what the driver collects and broadcasts.
+PATTERNS = 20_000
 SEED = 17
 
 
@@ -94,66 +97,74 @@ def name_of(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def mix(docs: DataFrame, members: str, size: str, quota: dict[str, float], repeats: int = REPEATS, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+def mix(
+    docs: DataFrame, members: str, size: str, quota: dict[str, float], repeats: int = REPEATS, seed: int = SEED, key: str = "doc_id", row: str = "row", most: int = PATTERNS
+) -> DataFrame:
     """Add ``taken``: how much of each document the mix takes, a whole multiple of its size from 0 to ``repeats``.
 
     ``members`` is the array of names of the sources that a document belongs to. Documents are summed by pattern of sources,
     :func:`route` decides how much each pattern gives, and within a pattern documents are taken in an order of seeded hashes:
     all of them for each full pass, then those that fill what is left, the last one where that brings the sum nearer. Rows of
-    the same key and size share a hash and are ordered by row. Names without a quota take nothing. Rows of size 0 are taken 0
-    times. The table must be stored, as row numbers from Spark order ties.
+    the same key and size share a hash and are ordered by ``row``, a number of each. Names without a quota take nothing. Rows
+    of size 0 are taken 0 times. Patterns are the nodes of the flow, which is solved at once, so more than ``most`` of them
+    are refused with an error.
     """
-    keyed = docs.withColumn("_pattern", F.array_join(F.array_sort(F.array_distinct(F.coalesce(F.col(members), F.array().cast("array<string>")))), "\u0001"))
-    keyed = keyed.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key), F.col(size))).withColumn("_bin", F.pmod(F.col("_hash"), F.lit(BINS)).cast("int"))
-    bins = keyed.groupBy("_pattern", "_bin").agg(F.sum(size).alias("_in_bin"))
-    spark = docs.sparkSession
-    capacity = {tuple(r["_pattern"].split("\u0001")): r["n"] for r in bins.groupBy("_pattern").agg(F.sum("_in_bin").alias("n")).collect() if r["n"]}
+    named = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(members), F.array().cast("array<string>")), lambda x: x.isNotNull())))
+    body = docs.select(F.struct(*docs.columns).alias("doc"), F.to_json(named).alias("pattern"), F.col(key).alias("key"), F.col(size).alias("size"), F.col(row).alias("row"))
+    keyed = body.withColumn("hash", F.xxhash64(F.lit(seed), "key", "size")).withColumn("bin", F.pmod("hash", F.lit(BINS)).cast("int"))
+    bins = keyed.groupBy("pattern", "bin").agg(F.sum("size").alias("in_bin"))
+    patterns = bins.groupBy("pattern").agg(F.sum("in_bin").alias("n")).where("n > 0").limit(most + 1).collect()
+    if len(patterns) > most:
+        raise ValueError(f"more than {most} patterns of sources")
+    of = {tuple(json.loads(r["pattern"])): r["pattern"] for r in patterns}
+    capacity = {tuple(json.loads(r["pattern"])): r["n"] for r in patterns}
     flow: dict[tuple[str, ...], float] = {}
     for (p, _), x in route(capacity, quota, repeats).items():
         flow[p] = flow.get(p, 0.0) + x
-    plan = [("\u0001".join(p), int(min(repeats, x // capacity[p])), x - int(min(repeats, x // capacity[p])) * capacity[p]) for p, x in flow.items()]
-    plan_df = F.broadcast(spark.createDataFrame(plan or [("\u0002", 0, 0.0)], "_plan_pattern string, _full int, _rest double"))  # a row for each pattern: as many as capacity has
-    before = Window.partitionBy("_pattern").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bins.withColumn("_start", F.coalesce(F.sum("_in_bin").over(before), F.lit(0))).join(plan_df, F.col("_pattern") == F.col("_plan_pattern"))
-    starts = starts.select(F.col("_pattern").alias("_p"), F.col("_bin").alias("_b"), "_start", "_full", "_rest")
-    own = Window.partitionBy("_pattern", "_bin").orderBy("_hash", key, size, "_row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_row", F.monotonically_increasing_id()).withColumn("_own", F.coalesce(F.sum(size).over(own), F.lit(0)))
-    placed = placed.join(starts, (F.col("_pattern") == F.col("_p")) & (F.col("_bin") == F.col("_b")), "left")
-    extra = (F.col("_start") + F.col("_own") + F.col(size) / 2 <= F.col("_rest")) & (F.col("_full") < repeats)
-    times = F.coalesce(F.col("_full"), F.lit(0)) + F.coalesce(extra.cast("int"), F.lit(0))
-    return placed.select(*docs.columns, (times * F.col(size)).cast("long").alias("taken"))
-
-
-def mix_by_source(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
+    full = {p: int(min(repeats, x // capacity[p])) for p, x in flow.items()}
+    plan = [(of[p], full[p], x - full[p] * capacity[p]) for p, x in flow.items()]
+    plan_df = F.broadcast(docs.sparkSession.createDataFrame(plan, "of_pattern string, full int, rest double"))  # at most ``most`` rows
+    before = Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bins.withColumn("start", F.coalesce(F.sum("in_bin").over(before), F.lit(0))).join(plan_df, F.col("pattern") == F.col("of_pattern"))
+    starts = starts.select("of_pattern", F.col("bin").alias("of_bin"), "start", "full", "rest")
+    own = Window.partitionBy("pattern", "bin").orderBy("hash", "key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("own", F.coalesce(F.sum("size").over(own), F.lit(0)))
+    placed = placed.join(starts, (F.col("pattern") == F.col("of_pattern")) & (F.col("bin") == F.col("of_bin")), "left")
+    extra = (F.col("start") + F.col("own") + F.col("size") / 2 <= F.col("rest")) & (F.col("full") < repeats)
+    times = F.coalesce(F.col("full"), F.lit(0)) + F.coalesce(extra.cast("int"), F.lit(0))
+    return placed.select("doc.*", (times * F.col("size")).cast("long").alias("taken"))
+
+
+def mix_by_source(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", row: Column | None = None) -> DataFrame:
     """Mix documents of one source each; sources in order of code point, null last, weigh 3, 1, 2, repeating.
 
-    Together they get 150 % of all sizes, each at most twice its own. Returns key, size, the source's size and target, and
-    ``taken``. Null texts have size 0, an empty table gives no rows. Repeated keys are mixed row by row.
+    Together they get 150 % of all sizes, each at most twice its own. Returns key, size, the source's size and target,
+    ``taken``, and ``row``, a number of each row (default: Spark's order). Null texts have size 0, an empty table gives no
+    rows. Repeated keys are mixed row by row. Other columns are ignored.
     """
-    rows = docs.select(F.col(key), *keep, word_count(F.col(text)).alias("size"), name_of(F.col(source)).alias("_source"))
+    number = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select(F.col(key).alias("key"), number.alias("row"), word_count(F.col(text)).alias("size"), name_of(F.col(source)).alias("from_source"))
     rows = stored(rows, "mix")
-    totals = sorted((r["_source"], r["n"]) for r in rows.groupBy("_source").agg(F.sum("size").alias("n")).collect())  # a row for each source
+    totals = rows.groupBy("from_source").agg(F.sum("size").alias("n")).limit(PATTERNS + 1).collect()
+    if len(totals) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} sources")
+    totals = sorted((r["from_source"], r["n"]) for r in totals)
     sizes = [n for _, n in totals]
     targets = water_fill(sizes, [WEIGHTS[i % 3] for i in range(len(sizes))], SHARE * sum(sizes), REPEATS)
     quota = {s: t for (s, _), t in zip(totals, targets)}
-    known = docs.sparkSession.createDataFrame([(s, n, quota[s]) for s, n in totals] or [("", 0, 0.0)], "_name string, source_size long, target double")
-    out = mix(rows.withColumn("_members", F.array("_source")), "_members", "size", quota, key=key)
-    return out.join(F.broadcast(known), F.col("_source") == F.col("_name")).select(key, *keep, "size", "source_size", "target", "taken")
+    known = docs.sparkSession.createDataFrame([(s, n, quota[s]) for s, n in totals], "name string, source_size long, target double")
+    out = mix(rows.withColumn("members", F.array("from_source")), "members", "size", quota, key="key")
+    return out.join(F.broadcast(known), F.col("from_source") == F.col("name")).select(F.col("key").alias(key), "size", "source_size", "target", "taken", "row")  # a row for each source
 
 
 def repeat_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents, each as often as the mix takes it, in the columns they came with; those of size 0 are left out.
-
-    What the mix takes of rows that repeat a key and text is shared among them.
-    """
-    named = docs.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    taken = mix_by_source(named, key, text, source, keep=["_k", "_th"]).where("taken > 0")
-    times = taken.groupBy("_k", "_th").agg(F.sum(F.expr("taken div size")).alias("_times"))
-    rows = Window.partitionBy("_k", "_th")
-    found = named.join(times, ["_k", "_th"]).withColumn("_n", F.row_number().over(rows.orderBy("_th"))).withColumn("_rows", F.count("*").over(rows))
-    own = F.expr("_times div _rows + if(_n <= _times % _rows, 1, 0)")
-    return found.withColumn("_own", own).where("_own > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own"))).alias("_i")).select(*docs.columns)
+    """The documents, each row as often as the mix takes it, in the columns they came with; those of size 0 are left out."""
+    rows = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    sized = rows.select("row", *[F.col(f"doc.`{c}`").alias(n) for c, n in ((key, "key"), (text, "text"), (source, "source"))])
+    taken = mix_by_source(sized, "key", "text", "source", row=F.col("row")).where("taken > 0").select("row", F.expr("taken div size").alias("times"))
+    return rows.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("i")).select("doc.*")
 
 
 def op10_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_by_source(table(spark, sf_dir, "documents"))
+    """Size, source, target and what the mix takes of every document."""
+    return mix_by_source(table(spark, sf_dir, "documents")).drop("row")
