@@ -8,7 +8,8 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,8 +23,8 @@ WINDOW = 32 * SEQUENCE
 END_ID = 1
 CHUNKS = 256
 ROUNDS = 256
-#: Quanta are counted in parts of a token.
-FINE = 1 << 16
+#: Sources whose quanta are planned at once, by the driver.
+SOURCES = 2000
 CACHE = 400_000
 
 
@@ -100,48 +101,85 @@ def tokenize(docs: DataFrame, key: str, text: str, source: str, vocabulary: str
     return rows.mapInPandas(run, f"row long, key {kinds[key]}, source {kinds[source]}, n long, ids binary")
 
 
-def schedule(meta: DataFrame, weights: dict[str | None, float] | None = None, sequence: int = SEQUENCE, window: int = WINDOW) -> DataFrame:
+class Phase(NamedTuple):
+    """From round ``first`` on, after ``credit`` tokens of credit, a queue gets ``quantum`` more in each round."""
+
+    credit: int
+    first: int
+    quantum: int
+
+
+def phases(totals: dict[str | None, int], weights: dict[str | None, float], window: int = WINDOW) -> dict[str | None, list[Phase]]:
+    """The quanta of deficit round-robin over queues of these totals of tokens.
+
+    A window is dealt to the queues that aren't empty, by weight, so it is filled to the targets of what is left. A queue is
+    empty after the round in which its credit covers its total. Then a new phase begins for the others. There are as many
+    phases as queues that empty at different times.
+    """
+    open_, credit, turn = {s for s, n in totals.items() if n > 0}, dict.fromkeys(totals, 0), 0
+    out: dict[str | None, list[Phase]] = {s: [] for s in totals}
+    while open_:
+        whole = sum(weights[s] for s in open_)
+        quantum = {s: max(1, int(window * weights[s] / whole)) for s in open_}
+        last = min(-(-(totals[s] - credit[s]) // quantum[s]) for s in open_)
+        for s in open_:
+            out[s].append(Phase(credit[s], turn, quantum[s]))
+            credit[s] += last * quantum[s]
+        turn += last
+        open_ = {s for s in open_ if credit[s] < totals[s]}
+    return out
+
+
+def repeating(sources: Iterable[str | None], weights: Sequence[float] = (3, 1, 2)) -> dict[str | None, float]:
+    """Weights of sources by code point, null last."""
+    return {s: float(weights[i % len(weights)]) for i, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
+
+
+def schedule(meta: DataFrame, weights: dict[str | None, float] | Sequence[float] | None = None, sequence: int = SEQUENCE, window: int = WINDOW) -> DataFrame:
     """Pieces (row, start, length, sequence_id, offset) of documents (row, key, source, n > 0).
 
-    Each source has a queue of its documents by hash chunk and key. In a round, a window, a source may send its quantum of
-    tokens and what earlier rounds left of it: after r rounds it has sent floor(r * quantum) tokens or all it has. So the round
-    of a token follows from its place in the queue, and deficits carry over windows and partitions without state. Quanta are
-    in proportion to ``weights`` (default: the sources' tokens, which empties all queues in the same round); a source without
-    weight gets the least one. What rounds send is laid end to end, by round and source, and cut at multiples of ``sequence``.
+    Each source has a queue of its documents by hash chunk and key. In a round, a window, a queue gets its quantum of credit and
+    sends whole documents while its credit covers them; what is left over, its deficit, is carried to the next round. So the
+    round of a document is the first in which the credit reaches its end in the queue, and deficits carry over windows and
+    partitions without state. Credit is in proportion to ``weights``: by source, repeating by order of sources, or (default)
+    the sources' tokens, with which all queues empty in the same round. A source without weight gets the least one. What rounds
+    send is laid end to end, by round and source, and cut at multiples of ``sequence``. More than SOURCES sources are refused.
     """
     chunked = meta.withColumn("_chunk", F.pmod(F.xxhash64("key", F.lit("queue")), F.lit(CHUNKS)).cast("int"))
     queued = running_start(chunked, ["source"], "_chunk", [F.col("key"), F.col("n"), F.col("row")], F.col("n"), "q0")
-    totals = meta.groupBy("source").agg(F.sum("n").alias("sent"))
+    found = meta.groupBy("source").agg(F.sum("n").alias("sent")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    totals = {r["source"]: r["sent"] for r in found}
     if weights is None:
-        share = totals.withColumn("w", F.col("sent").cast("double"))
-    else:
+        shares = {s: float(n) for s, n in totals.items()}
+    elif isinstance(weights, dict):
         least = min([w for w in weights.values() if w > 0], default=1.0)
-        pairs = meta.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items() if v > 0] or [(None, 1.0)], "_s string, _w double")
-        share = totals.join(pairs, F.col("source").cast("string").eqNullSafe(F.col("_s")), "left").select("source", F.coalesce("_w", F.lit(least)).alias("w"))
-    whole = share.agg(F.sum("w").alias("whole"))
-    quanta = share.crossJoin(F.broadcast(whole)).select(F.col("source").alias("_source"), F.greatest(F.lit(1), F.ceil(F.lit(float(window * FINE)) * F.col("w") / F.col("whole"))).cast("long").alias("q"))  # whole: one row
-    due = queued.join(quanta, F.col("source").eqNullSafe(F.col("_source")))
-    round_of = lambda end: F.expr(f"(({end}) * {FINE} + q - 1) div q")
-    sent = lambda r: F.shiftright(r * F.col("q"), 16)
-    turns = due.select("row", "key", "source", "n", "q0", "q", F.explode(F.sequence(round_of("q0 + 1"), round_of("q0 + n"))).alias("round"))
-    first, last = F.greatest(F.col("q0"), sent(F.col("round") - 1)), F.least(F.col("q0") + F.col("n"), sent(F.col("round")))
-    turns = turns.select("row", "source", "q0", "round", (first - F.col("q0")).alias("start"), (last - first).alias("length")).where("length > 0")
+        shares = {s: float(weights.get(s, 0) or least) for s in totals}
+    else:
+        shares = repeating(totals, weights)
+    plan = [(s, [tuple(p) for p in ps]) for s, ps in phases(totals, shares, window).items()]
+    kind = dict(meta.dtypes)["source"]
+    plan_df = meta.sparkSession.createDataFrame(plan, f"_source {kind}, phases array<struct<credit:long,first:long,quantum:long>>")
+    due = queued.join(F.broadcast(plan_df), F.col("source").eqNullSafe(F.col("_source")))  # a row for each source
+    due = due.withColumn("end", F.col("q0") + F.col("n")).withColumn("phase", F.element_at(F.filter("phases", lambda p: p["credit"] < F.col("end")), -1))
+    turns = due.select("row", "source", "q0", F.col("n").alias("length"), F.expr("phase.first + (end - phase.credit + phase.quantum - 1) div phase.quantum").alias("round"))
     turns = stored(turns.withColumn("_group", F.expr(f"round div {ROUNDS}")), "turns")
-    inside = running_start(turns, ["_group"], "round", [F.col("source"), F.col("q0"), F.col("start")], F.col("length"), "at")
+    inside = running_start(turns, ["_group"], "round", [F.col("source"), F.col("q0")], F.col("length"), "at")
     groups = turns.groupBy("_group").agg(F.sum("length").alias("_sum"))
     before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)  # a row for 256 windows of 65,536 tokens
     groups = groups.select(F.col("_group").alias("_g"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    laid = inside.join(groups, F.col("_group") == F.col("_g")).select("row", "start", "length", (F.col("_base") + F.col("at")).alias("at"))
+    laid = inside.join(groups, F.col("_group") == F.col("_g")).select("row", "length", (F.col("_base") + F.col("at")).alias("at"))
     cut = laid.select("*", F.explode(F.expr(f"sequence(at div {sequence}, (at + length - 1) div {sequence})")).alias("sequence_id"))
     low, high = F.greatest(F.col("at"), F.col("sequence_id") * sequence), F.least(F.col("at") + F.col("length"), (F.col("sequence_id") + 1) * sequence)
-    return cut.select("row", (F.col("start") + low - F.col("at")).alias("start"), (high - low).alias("length"), "sequence_id", (low - F.col("sequence_id") * sequence).alias("offset"))
+    return cut.select("row", (low - F.col("at")).alias("start"), (high - low).alias("length"), "sequence_id", (low - F.col("sequence_id") * sequence).alias("offset"))
 
 
 def pack(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: dict[str | None, float] | None = None,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: dict[str | None, float] | Sequence[float] | None = None,
     vocabulary: str | None = None, with_ids: bool = True,
 ) -> DataFrame:
-    """Pack all documents into sequences of 2048 tokens, each window of 32 sequences in the target proportions of its sources.
+    """Pack all documents into sequences of 2048 tokens, each window of about 32 sequences in the target proportions of its sources.
 
     Returns a row per piece: key, source, start, length, ids (array, unless ``with_ids`` is false), the CRC of the ids as
     little-endian 32-bit integers, the document's tokens, sequence and offset there. Every id is in one piece; sequences are
@@ -171,4 +209,5 @@ def pack(
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    """The pieces of all documents; sources in order of code point weigh 3, 1, 2, repeating."""
+    return pack(table(spark, sf_dir, "documents"), weights=(3, 1, 2), with_ids=False)
