@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -13,17 +14,19 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terrace.llm import common, exact_dedup, fuzzy_lines, matroska, mixing, ngram_join, ordinal, packing, secrets, sharding, warc
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, bins string, _k string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, bins string, _k string, _th string, _drop string, _here string, _n long, row string, key string, doc string, size string, taken string"
+OWN = ("x", "y", "th", "drop", "here", 77, "row", "key", "doc", "size", "taken")
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", "y") for i, t, s in rows], DOCS).repartition(3)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *OWN) for i, t, s in rows], DOCS).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +46,11 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def unchanged(df):
+    """Whether the columns that clash with names inside the operators came back as they were."""
+    return all(tuple(r)[5:] == OWN for r in df.collect())
+
+
 def texts(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
@@ -64,10 +72,7 @@ def test_groups_agree_with_union_find(spark):
             parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges, "a long, b long")
     want = {k: find(k) for k in parent}
-    for few in (10**6, 0):
-        common.FEW, kept = few, common.FEW
-        assert {r.node: r.root for r in common.components(df, "a", "b").collect()} == want
-        common.FEW = kept
+    assert {r.node: r.root for r in common.components(df, "a", "b").collect()} == want
     assert common.components(df.limit(0), "a", "b").count() == 0
 
 
@@ -94,6 +99,51 @@ def test_changed_weights_move_rows_only_within_their_subtrees(spark):
     assert abs(share - 2 / 9) < 0.03
 
 
+def test_placement_agrees_with_a_descent_by_hand(spark):
+    leaves = [("r0", "k0", 0, 1.0), ("r0", "k1", 1, 3.0), ("r1", "k2", 2, 0.5), ("r1", "k2", 3, 2.5), ("r2", "k3", 4, 0.0)]
+
+    def draw(key, child, weight):
+        h = xxhash.xxh64_intdigest(child.encode(), xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42))
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    def descend(key):
+        at = leaves
+        for level in range(3):
+            below = defaultdict(float)
+            for leaf in at:
+                below[leaf[level]] += leaf[3]
+            child = min((c for c in below if below[c] > 0), key=lambda c: draw(key, str(c), below[c]))
+            at = [leaf for leaf in at if leaf[level] == child]
+        return at[0][2]
+
+    got = sharding.place(spark.range(500), "id", leaves).collect()
+    assert [r.shard for r in sorted(got)] == [descend(i) for i in range(500)]
+
+
+def test_overlapping_sources_are_mixed_by_flow(spark):
+    rng = random.Random(12)
+    rows = [(i, i, rng.randint(1, 9), rng.choice([["a"], ["a", "b"], ["b"], ["b", "c"], [], None, ["c", None]])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, row long, size long, members array<string>")
+    total = Counter()
+    for _, _, n, m in rows:
+        total[tuple(sorted({x for x in m or [] if x}))] += n
+    quota = {"a": 4000.0, "b": 3500.0, "c": 1500.0}
+    taken = Counter()
+    for r in mixing.mix(docs, "members", "size", quota).collect():
+        assert r.taken % r.size == 0 and r.taken <= 2 * r.size
+        taken[tuple(sorted({x for x in r.members or [] if x}))] += r.taken
+    usable = sum(total.values()) - total[()]
+    assert not taken[()] and abs(sum(taken.values()) - sum(quota.values())) <= 9 * len(total)
+    # each group of sources gets no more from the patterns inside it than its quotas
+    for group in ("a", "c", "ab", "bc", "ac"):
+        assert sum(x for p, x in taken.items() if set(p) <= set(group)) <= sum(quota[s] for s in group) + 9 * len(total)
+    # no cheaper way: second readings are only what first readings can't fill
+    again = sum(max(0, x - total[p]) for p, x in taken.items())
+    assert abs(again - max(0, sum(quota.values()) - usable)) <= 9 * len(total)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, "members", "size", quota, most=2)
+
+
 def test_exact_dedup_and_a_second_batch(spark, odd, none):
     index = exact_dedup.DigestIndex(spark, f"{common.shared_dir(spark)}/index-{random.random()}", 4)
     rows = index.ingest(odd).collect()
@@ -108,13 +158,19 @@ def test_exact_dedup_and_a_second_batch(spark, odd, none):
     assert sum(r.kept for r in rows) == len(want) == index.table().count()
     again = index.ingest(frame(spark, [(900, "one  two", "a"), (901, "brand new", "a")])).collect()
     assert {r.doc_id: (r.keep_id, r.kept) for r in again} == {900: (7, False), 901: (901, True)}
+    now = {r.text_sha256: (r.keep_id, r.group_size) for r in index.current().collect()}
+    of = lambda t: hashlib.sha256(BLANKS.sub("", t).encode()).hexdigest()
+    assert now[of("onetwo")] == (900, 2) and now[of("brandnew")] == (901, 1) and len(now) == len(want) + 1  # 900 is the longer one
     assert index.ingest(none).count() == 0
+    index.forget()
 
 
 def test_mixing_meets_targets(spark, odd, none):
     rows = mixing.mix_by_source(odd).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert Counter((r.doc_id, r.size) for r in rows) == Counter((i, size(t)) for i, t in texts(odd))
+    sourced = spark.createDataFrame([(1, "a b", "x\u0001y", 1), (2, "a b c", "x", 2), (3, "d", "y", 3)], "doc_id long, text string, source string, row int")
+    assert all(r.taken for r in mixing.mix_by_source(sourced).collect())
     assert rows and all(r.taken <= 2 * r.size for r in rows) and mixing.mix_by_source(none).count() == 0
     got, want = Counter(), {}
     for r in rows:
@@ -140,7 +196,7 @@ def test_flow_shares_overlapping_sources():
 
 def test_repeat_documents_keeps_columns(odd, none):
     out = mixing.repeat_documents(odd)
-    assert out.columns == odd.columns and mixing.repeat_documents(none).count() == 0
+    assert out.columns == odd.columns and unchanged(out) and mixing.repeat_documents(none).count() == 0
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     taken = sum(r.taken for r in mixing.mix_by_source(odd).collect())
     assert sum(size(t) for _, t in texts(out)) == taken
@@ -212,21 +268,67 @@ def test_added_tokens_have_their_ids():
         assert np.frombuffer(pieces.encode(t), np.uint16).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def round_robin(queues, weights, window):
+    """Deficit round-robin, step by step: (row, round) of whole documents (row, n)."""
+    queues = {s: list(q) for s, q in queues.items()}
+    credit, out, turn = dict.fromkeys(queues, 0), [], 0
+    while any(queues.values()):
+        turn += 1
+        left = [s for s in queues if queues[s]]
+        whole = sum(weights[s] for s in left)
+        for s in left:
+            credit[s] += max(1, int(window * weights[s] / whole))
+            while queues[s] and queues[s][0][1] <= credit[s]:
+                row, n = queues[s].pop(0)
+                credit[s] -= n
+                out.append((row, turn))
+    return out
+
+
+def test_schedule_is_deficit_round_robin(spark):
+    rng = random.Random(8)
+    rows = [(i, i, rng.choice(["a", "a", "a", "b", None]), rng.choice([1, 5, 40, 300, 5000])) for i in range(900)]
+    meta = spark.createDataFrame(rows, "row long, key long, source string, n long").repartition(3)
+    cuts = packing.schedule(meta, (3, 1, 2), 64, 2048).collect()
+    placed = defaultdict(list)
+    for c in cuts:
+        placed[c.row].append((c.start, c.sequence_id * 64 + c.offset, c.length))
+    first = {r: min(p)[1] for r, p in placed.items()}
+    for r, _, _, n in rows:  # a document lies whole and in one stretch
+        assert sum(x[2] for x in placed[r]) == n and all(at - start == first[r] for start, at, _ in placed[r])
+    order = sorted(first, key=first.get)
+    queues = {s: [(r, n) for r in order for i, _, o, n in [rows[r]] if o == s] for s in (None, "a", "b")}  # in the order of a round
+    want = round_robin(queues, {"a": 3.0, "b": 1.0, None: 2.0}, 2048)
+    assert [r for r, _ in want] == sorted(order, key=dict(want).get) and len(want) == 900
+    # rounds are laid one after the other
+    assert [dict(want)[r] for r in order] == sorted(t for _, t in want)
+    sizes, ends = {r: n for r, _, _, n in rows}, {s: 0 for s in queues}
+    totals = {s: sum(n for _, n in q) for s, q in queues.items()}
+    plan = packing.phases(totals, {"a": 3.0, "b": 1.0, None: 2.0}, 2048)
+    for s, q in queues.items():
+        for r, n in q:
+            ends[s] += n
+            p = [x for x in plan[s] if x.credit < ends[s]][-1]
+            assert p.first + -(-(ends[s] - p.credit) // p.quantum) == dict(want)[r]
+    assert sum(sizes.values()) == sum(c.length for c in cuts)
+
+
 def test_windows_hold_their_proportions(spark):
-    rows = [(i, i, "abc"[i % 3], 50 + 37 * i % 400) for i in range(3000)]
+    rows = [(i, i, "abc"[i % 3], 50 + 37 * i % 400) for i in range(6000)]
     meta = spark.createDataFrame(rows, "row long, key long, source string, n long")
-    cuts = packing.schedule(meta).join(meta, "row").collect()
-    total, each = sum(r[3] for r in rows), Counter()
-    for r in rows:
-        each[r[2]] += r[3]
+    cuts = packing.schedule(meta, {"a": 3.0, "b": 1.0, "c": 2.0}).join(meta.drop("n"), "row").collect()
     seen = defaultdict(Counter)
     for c in cuts:
         seen[c.sequence_id // 32][c.source] += c.length
-    for w in list(seen)[: len(seen) - 1]:
-        if sum(seen[w].values()) == 65536:
-            assert all(abs(seen[w][s] / 65536 - each[s] / total) < 0.001 for s in each)
-    flat = packing.schedule(meta, {"a": 2.0, "b": 1.0}).agg(F.sum("length")).first()[0]
-    assert flat == total
+    total = Counter()
+    for r in rows:
+        total[r[2]] += r[3]
+    for w in range(int(total["a"] / (65536 / 2)) - 1):  # until the first queue empties; documents have up to 450 tokens
+        assert all(abs(seen[w][s] - 65536 * x / 6) < 1400 for s, x in (("a", 3), ("b", 1), ("c", 2))), (w, seen[w])
+    later = seen[int(total["a"] / (65536 / 2)) + 2]
+    assert not later["a"] and abs(later["b"] - 65536 / 3) < 1400  # what is left keeps its targets
+    assert packing.schedule(meta).agg(F.sum("length")).first()[0] == sum(total.values())
+    assert packing.schedule(meta.limit(0)).count() == 0
 
 
 def page(i, html):
@@ -284,7 +386,7 @@ def test_near_duplicates_agree_with_brute_force(odd, none):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(odd).collect())
     assert got == want and ngram_join.near_duplicates(none).count() == 0
     kept = ngram_join.keep_one(odd)
-    assert kept.columns == odd.columns
+    assert kept.columns == odd.columns and unchanged(kept) and unchanged(ngram_join.keep_one(none))
 
 
 def test_keep_one_drops_linked_rows_only(spark):
@@ -327,8 +429,8 @@ def test_lines_agree_with_brute_force(spark, odd, none):
     rows = [(i, "\n".join([rng.choice(base), " ".join(x if rng.random() > 0.02 else "new" for x in rng.choice(base).split()), "", f"only {i} " + " ".join(rng.choice(words) for _ in range(12))]), "a") for i in range(60)]
     docs = frame(spark, rows)
     table = fuzzy_lines.line_table(docs, "doc_id", "text")
-    lines = fuzzy_lines.Lines(table)
-    known = [(r.id, r.simhash, r.norm) for r in lines.all.join(lines.texts, ["k1", "k2"]).collect()]
+    lines = fuzzy_lines.SimHashLines(table)
+    known = [(r.id, r.simhash, r.norm) for r in lines.all.collect()]
     root = {i: i for i, _, _ in known}
 
     def find(x):
@@ -350,12 +452,12 @@ def test_lines_agree_with_brute_force(spark, odd, none):
             root[max(find(i), find(j))] = min(find(i), find(j))
     got = {r.node: r.root for r in lines.groups().collect()}
     assert {i: got.get(i, i) for i in root} == {i: find(i) for i in root}
-    out = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(docs).collect()}
+    out = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(docs, kind=fuzzy_lines.SimHashLines).collect()}
     group = {s: find(i) for i, _, s in known}
     kept = [group[re.sub(" +", " ", x)] for t in out.values() for x in t.split("\n") if x]
     assert sorted(kept) == sorted(set(group.values()))
     odd_out = fuzzy_lines.dedup_lines(odd)
-    assert odd_out.columns == odd.columns and odd_out.count() == odd.count() and fuzzy_lines.dedup_lines(none).count() == 0
+    assert odd_out.columns == odd.columns and unchanged(odd_out) and odd_out.count() == odd.count() and fuzzy_lines.dedup_lines(none).count() == 0
 
 
 def test_near_lines_find_what_edits_alone_link(spark):
@@ -375,7 +477,7 @@ def test_near_lines_find_what_edits_alone_link(spark):
     docs = frame(spark, [(i, t, "a") for i, t in enumerate(x for r in rows for x in r[1:])])
     pairs = spark.createDataFrame(rows, "n int, x string, y string").where("x != y and levenshtein(x, y) <= 0.15 * greatest(length(x), length(y))").collect()
     lines = fuzzy_lines.NearLines(fuzzy_lines.line_table(docs, "doc_id", "text"))
-    root = {r.norm: r.root for r in lines.groups().join(lines.texts, F.col("node") == F.col("id")).collect()}
+    root = {r.norm: r.root for r in lines.groups().join(lines.all, F.col("node") == F.col("id")).collect()}
     found = Counter(r.n for r in pairs if r.x in root and root[r.x] == root.get(r.y))
     each = Counter(r.n for r in pairs)
     assert len(each) >= 8 and all(found[n] >= 0.95 * each[n] for n in each) and found.total() >= 0.99 * each.total(), (found, each)
