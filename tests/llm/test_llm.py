@@ -507,13 +507,22 @@ def test_secrets_of_a_format_without_labels_are_found(spark):
     assert got[0] >= 147 and got[2] >= 95 and got[3] >= 95 and got[1] == got[4] == 0, got
 
 
-def test_pipeline_stages_keep_columns(spark, tmp_path):
+@pytest.mark.parametrize("given", ["tables", "odd", "none"])
+def test_pipeline_stages(spark, odd, none, given):
+    """Each stage over what the one before it kept; the last one's pieces cover its documents' ids."""
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    folder = "/root/testdata/sf0.001"
+    docs = {"tables": spark.read.parquet(f"{folder}/documents.parquet"), "odd": odd, "none": none}[given]
+    columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:4]:
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        assert out.columns == docs.columns, name
-        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
-        docs = common.stored(out, "stage")
-    assert docs.count() > 0
+        if given == "odd" and name == "quality classifier":
+            continue  # its model would reject made-up words
+        out = common.stored(stage(spark, docs, folder), "stage")
+        assert out.columns == columns, name
+        assert given != "odd" or unchanged(out), name
+        docs = out
+    rows = corpus_pipeline.STAGES[4][1](spark, docs, folder).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r.length for r in rows) == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts(docs))
+    assert bool(rows) == (given != "none")
