@@ -691,11 +691,11 @@ def table_texts(spark, d):
 # Relational load
 
 
-@query("SELECT n_name, o_orderpriority, count(*) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+@query("SELECT n_name, o_orderpriority, count(*) AS orders, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
 def revenue_by_nation(spark, d):
     t = {n: X.read(spark, d, n) for n in ("lineitem", "orders", "customer", "nation")}
     joined = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return joined.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("orders"), F.sum(F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double").alias("revenue"))
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INT) AS n, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS spent FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
