@@ -55,8 +55,8 @@ def paragraph(c: Column | str) -> Column:
     Whether lines are joined depends on the two alone, as a joined text ends as its last line does.
     """
     lines = clean_lines(c)
-    glued = F.transform(lines, lambda x, i: F.concat(F.when(i == 0, "").when(merges(F.get(lines, i - 1), x), "").otherwise("\n"), x))
-    out = F.array_join(glued, "")
+    before = F.concat(F.array(F.lit("")), lines)  # one longer: its last has no line after it
+    out = F.array_join(F.zip_with(before, lines, lambda b, x: F.concat(F.when((b == "") | merges(b, x), "").otherwise("\n"), x)), "")
     marks = "，。；：、！？"
     for pattern, to in (
         (r"分/\s*\n\s*次", "分/次"), (rf"(?<=[{CJK}])\s+(?=[{marks}）】》])", ""), (rf"(?<=[（【《])\s+(?=[{CJK}])", ""), (rf"(?<=[{marks}（【《])\s+(?=[{CJK}])", ""),
@@ -284,7 +284,7 @@ def ocr_numbers(text: Column) -> Column:
     between = F.split(text, OCR_NUMBER)
     found = F.regexp_extract_all(text, F.lit(OCR_NUMBER), F.lit(0))
     fixed = F.transform(found, lambda x: F.concat(F.translate(F.regexp_extract(x, OCR_NUMBER, 1), *OCR_DIGITS), F.regexp_extract(x, OCR_NUMBER, 2)))
-    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(fixed, i), F.lit("")))), "")
+    return F.array_join(F.zip_with(between, fixed, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
 
 
 def ocr_line(x: Column) -> Column:
