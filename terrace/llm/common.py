@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key counts as heavy from this fraction of all rows on, so at most 1 / HEAVY keys are heavy; that bounds what is broadcast.
@@ -17,9 +17,15 @@ HEAVY = 0.001
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Settings of the operators' jobs. Spark 4.1 takes the union of tables that are bucketed alike for one that is, and then groups each
+#: side alone. Shuffle files are deleted when the job that made them has ended, as every result that is read again is stored.
+SETTINGS = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def settled(spark: SparkSession) -> SparkSession:
-    """The session, told not to take a union of tables bucketed alike for one that is: Spark 4.1 then groups each side alone."""
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    """The session with SETTINGS."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     return spark
 
 
@@ -136,9 +142,8 @@ def components(edges: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
 
 def _labels(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     def step(found: DataFrame) -> tuple[DataFrame, dict]:
-        seen = Observation()
-        summed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
-        return stored(found.distinct().observe(seen, F.count("*").alias("n"), summed), name), seen.get
+        made = stored(found.distinct(), name)
+        return made, made.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first().asDict()
 
     cur, had = step(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while had["n"]:
