@@ -169,12 +169,12 @@ class Lines:
         roots = components(near, "a", "b", "line-stars")
         placed = shared.where("members > 2").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        known = self.all.select("id", F.size("keys").alias("n_keys"), *self.known)
-        placed = stored(placed.join(open_, "key").join(known, "id"), "open-blocks")
+        placed = stored(placed.join(open_, "key").join(self.all.select("id", "keys", *self.known), "id"), "open-blocks")
         other = placed.select("key", *[F.col(c).alias(f"b_{c}") for c in placed.columns if c != "key"])
         pairs = placed.join(other, "key").where(f"root < b_root and {self.may_link('{}', 'b_{}')}")
-        pairs = pairs.groupBy(F.col("id").alias("a"), F.col("b_id").alias("b")).agg(F.count("*").alias("common"), F.min("n_keys").alias("keys_a"), F.min("b_n_keys").alias("keys_b"))
-        return components(near.union(self.linked(pairs.where(self.enough("common", "keys_a", "keys_b")).select("a", "b"))), "a", "b", "line-links")
+        # a pair is taken at the least key that its lines share, so once; if only the two have that, it was checked above
+        pairs = pairs.where("key = array_min(array_intersect(keys, b_keys))").where(self.enough("size(array_intersect(keys, b_keys))", "size(keys)", "size(b_keys)"))
+        return components(near.union(self.linked(pairs.select(F.col("id").alias("a"), F.col("b_id").alias("b")))), "a", "b", "line-links")
 
 
 class SimHashLines(Lines):
