@@ -50,11 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
 _OPEN: list[list[str]] = []
 
 
-def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *partition: str, compression: str = "snappy") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation of it."""
     path = noted(f"{shared_dir(df.sparkSession)}/terrace-{name}-{uuid.uuid4().hex}")
     writer = df.write.partitionBy(*partition) if partition else df.write
-    writer.parquet(path)
+    writer.parquet(path, compression=compression)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._terrace_path = path
     return found

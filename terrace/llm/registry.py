@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import exact_dedup, fuzzy_lines, matroska, mixing, ngram_join, ordinal, packing, secrets, sharding, warc
+from terrace.llm import brown, centroids, exact_dedup, fuzzy_lines, matroska, mixing, ngram_join, ordinal, packing, repair, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,9 @@ QUERIES: tuple[Query, ...] = (
     ngram_join.op8_ngram_jaccard_join,
     ordinal.op9_ordinal_quality,
     mixing.op10_flow_mixing,
+    centroids.op11_pca_filtered_clusters,
+    brown.op12_brown_class_scores,
+    repair.op13_survivor_repair,
 )
 
 
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc_salvage": warc.ORACLE_OP6,
         "op7_digest_index_dedup": exact_dedup.ORACLE_OP7,
         "op8_ngram_jaccard_join": ngram_join.ORACLE_OP8,
+        "op11_pca_filtered_clusters": centroids.ORACLE_OP11,
+        "op13_survivor_repair": repair.ORACLE_OP13,
     }
