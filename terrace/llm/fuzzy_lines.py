@@ -1,7 +1,8 @@
 """Fuzzy line dedup: keys of normalised lines, joins on them, edit similarity, and one occurrence of each connected group.
 
-``SimHashLines`` takes its keys from blocks of a SimHash, which misses most pairs that are near by edits alone; ``NearLines``
-takes them from sampled word and character n-grams. Both verify edits. Everything on the path is a DataFrame expression.
+``SimHashLines``, the default, links lines whose SimHashes differ in few bits and which are near by edits; blocks of the SimHash find
+them all. ``NearLines`` links by edits alone and finds lines by sampled word and character n-grams, at several times the cost.
+Everything on the path is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from terrace.llm.common import components, join_groups, noted, parts, scratch, s
 DISTANCE = 3
 #: ... and all linked lines in at most this share of the longer line's characters, by edit distance.
 EDITS = 0.15
-#: Bits of the blocks; lines within the distance agree in all but DISTANCE of them.
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Bits of the blocks; lines within the distance agree in all but DISTANCE of them, so a key of two blocks has 25 bits or more.
+BLOCKS = (13, 13, 13, 13, 12)
 #: Words whose bits are summed in bytes at first; below 128, so that the sum of a long stays positive.
 CHUNK = 127
 ONES = 0x0101010101010101
@@ -49,17 +50,19 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def simhash(lines: DataFrame) -> DataFrame:
-    """(id, simhash): bit i is set where more than half of the line's distinct words have it in their hashes.
+    """(id, simhash): bit i is set where more than half of the line's distinct words have it in their hashes; where half have it, the
+    word of least hash decides, so that short lines have as many set bits as others.
 
     Eight counters share a long for up to CHUNK words, then two, each of 31 bits, more than a line can have words. ``lines`` must
     be one row per id and partitioned by it, so that the words stay in their task.
     """
     words = lines.select("id", F.posexplode(F.array_distinct(F.split("norm", " "))).alias("at", "w"))
     words = words.select("id", F.expr(f"cast(at div {CHUNK} as int)").alias("chunk"), F.xxhash64("w").alias("h"))
-    some = words.groupBy("id", "chunk").agg(F.count("*").alias("n"), *[F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {ONES}L")).alias(f"s{i}") for i in range(8)])
+    some = words.groupBy("id", "chunk").agg(F.count("*").alias("n"), F.min("h").alias("m"), *[F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {ONES}L")).alias(f"s{i}") for i in range(8)])
     pair = lambda i: F.expr(f"(shiftrightunsigned(s{i % 8}, {i - i % 8}) & 255L) + shiftleft(shiftrightunsigned(s{i % 8}, {i - i % 8 + 32}) & 255L, 31)")
-    sums = some.groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(pair(i)).alias(f"c{i}") for i in range(32)])
-    bits = [f"(if(2 * (c{i} & {(1 << 31) - 1}L) > n, {1 << i}L, 0L) | if(2 * shiftrightunsigned(c{i}, 31) > n, shiftleft(1L, {i + 32}), 0L))" for i in range(32)]
+    sums = some.groupBy("id").agg(F.sum("n").alias("n"), F.min("m").alias("m"), *[F.sum(pair(i)).alias(f"c{i}") for i in range(32)])
+    own = lambda i: f"(shiftrightunsigned(m, {i}) & 1L)"
+    bits = [f"(if(2 * (c{i} & {(1 << 31) - 1}L) + {own(i)} > n, {1 << i}L, 0L) | if(2 * shiftrightunsigned(c{i}, 31) + {own(i + 32)} > n, shiftleft(1L, {i + 32}), 0L))" for i in range(32)]
     return sums.select("id", F.expr(" | ".join(bits)).alias("simhash"))
 
 
@@ -127,6 +130,15 @@ class Lines:
         """Condition on the number of keys that two lines share and have."""
         return f"{common} >= 1"
 
+    #: What pairs of a key need beside what is known, so that each is taken once.
+    once_by: tuple[str, ...] = ("keys",)
+
+    def once(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of pairs of a key's lines, each once: at the least key that its lines share; if only two lines have that, they were
+        checked before."""
+        met = pairs.where("key = array_min(array_intersect(keys, b_keys))").where(self.enough("size(array_intersect(keys, b_keys))", "size(keys)", "size(b_keys)"))
+        return met.select(F.col("id").alias("a"), F.col("b_id").alias("b"))
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of ids that may be linked whose texts pass the edit check."""
         with scratch(pairs.sparkSession) as keep:
@@ -135,10 +147,11 @@ class Lines:
                 near = near.join(self.all.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in self.known]), x)
             most = F.expr(f"cast({EDITS} * greatest(size_a, size_b) as int)").alias("most")
             near = stored(near.where(self.may_link("{}_a", "{}_b")).select("a", "b", most), "like-lines")
-            for x in "ab":
-                near = near.join(self.all.select(F.col("id").alias(x), F.col("keys").alias(f"keys_{x}")), x)
-            near = near.where(self.enough("size(array_intersect(keys_a, keys_b))", "size(keys_a)", "size(keys_b)"))
-            near = stored(near.select("a", "b", "most"), "close-lines")
+            if self.once_by:
+                for x in "ab":
+                    near = near.join(self.all.select(F.col("id").alias(x), F.col("keys").alias(f"keys_{x}")), x)
+                near = near.where(self.enough("size(array_intersect(keys_a, keys_b))", "size(keys_a)", "size(keys_b)"))
+                near = stored(near.select("a", "b", "most"), "close-lines")
             # the texts are read once, where they lie, and only those of close lines go on
             needed = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
             texts = self.all.select("id", "norm").join(needed.hint("shuffle_hash"), "id", "left_semi")
@@ -169,18 +182,20 @@ class Lines:
         roots = components(near, "a", "b", "line-stars")
         placed = shared.where("members > 2").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        placed = stored(placed.join(open_, "key").join(self.all.select("id", "keys", *self.known), "id"), "open-blocks")
+        placed = stored(placed.join(open_, "key").join(self.all.select("id", *self.once_by, *self.known), "id"), "open-blocks")
         other = placed.select("key", *[F.col(c).alias(f"b_{c}") for c in placed.columns if c != "key"])
-        pairs = placed.join(other, "key").where(f"root < b_root and {self.may_link('{}', 'b_{}')}")
-        # a pair is taken at the least key that its lines share, so once; if only the two have that, it was checked above
-        pairs = pairs.where("key = array_min(array_intersect(keys, b_keys))").where(self.enough("size(array_intersect(keys, b_keys))", "size(keys)", "size(b_keys)"))
-        return components(near.union(self.linked(pairs.select(F.col("id").alias("a"), F.col("b_id").alias("b")))), "a", "b", "line-links")
+        pairs = self.once(placed.join(other, "key").where(f"root < b_root and {self.may_link('{}', 'b_{}')}"))
+        return components(near.union(self.linked(pairs)), "a", "b", "line-links")
 
 
 class SimHashLines(Lines):
     """Lines that link by edits and by a SimHash within DISTANCE bits; the keys are choices of its blocks."""
 
     known = ("size", "simhash")
+    once_by = ()
+
+    def once(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 
     def describe(self, distinct: DataFrame) -> DataFrame:
         held = stored(distinct, "lines")
@@ -236,7 +251,7 @@ class NearLines(Lines):
         return f"{common} >= greatest(1, {SHARED} * least({keys_a}, {keys_b}))"
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: type[Lines] = NearLines) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: type[Lines] = SimHashLines) -> DataFrame:
     """(key, th, drop): the positions of the lines to remove from each document, named by key and hash of text, that has some.
 
     Of each group of equal or linked lines the first occurrence stays, by key (null first), hash and position. Blank lines
@@ -259,7 +274,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kin
         return keep(stored(drops, "drops"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: type[Lines] = NearLines) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: type[Lines] = SimHashLines) -> DataFrame:
     """The documents with repeated lines removed from their texts, in the columns they came with.
 
     A document whose lines are all removed keeps an empty text; null texts stay null.
