@@ -110,7 +110,7 @@ class Lines:
         spark = lines.sparkSession
         self.name = f"lines_{uuid.uuid4().hex}"
         path = noted(f"{shared_dir(spark)}/terrace-{self.name}")
-        distinct = lines.groupBy("id").agg(F.first("norm").alias("norm"))
+        distinct = lines.groupBy("id").agg(F.max("norm").alias("norm"))  # all the same
         told = self.describe(distinct.withColumn("size", F.length("norm")))
         told.write.bucketBy(parts(spark), "id").sortBy("id").option("path", path).option("compression", "zstd").saveAsTable(self.name)
         self.all = spark.table(self.name)
@@ -198,9 +198,8 @@ class SimHashLines(Lines):
         return pairs.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 
     def describe(self, distinct: DataFrame) -> DataFrame:
-        held = stored(distinct, "lines")
-        hashed = simhash(held.select("id", "norm").repartition("id"))
-        return held.join(hashed, "id").withColumn("keys", block_keys(F.col("simhash")))
+        """Lines come partitioned by id and stay where they are: both sides of the join read the same shuffle."""
+        return distinct.join(simhash(distinct.select("id", "norm")), "id").withColumn("keys", block_keys(F.col("simhash")))
 
     def may_link(self, a: str, b: str) -> str:
         x, y = ({c: p.format(c) for c in self.known} for p in (a, b))
