@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,37 +122,6 @@ def last_line(c: Column | str) -> Column:
     return F.coalesce(F.try_element_at(clean_lines(c), F.lit(-1)), F.lit(""))
 
 
-def join_pages(pages: DataFrame, key: str = "doc_id", least: int = 2, most: int = 80) -> DataFrame:
-    """Pages with the rest of a sentence moved back to the page it began on.
-
-    A page's head moves up to its first sentence end within ``most`` characters, or whole if shorter. Pages are taken in order
-    and see what was moved before, so a document's pages pass through one function; the scores come from column expressions
-    over neighbouring pages first, and documents without a candidate pass untouched.
-    """
-    w = Window.partitionBy(key).orderBy("page_number")
-    tail, head = last_line("text"), strip(text_or_empty(F.lead("text").over(w)))
-    may = (continuation_score(tail, head) >= least) & (tail != "") & (head != "") & ~head.rlike(NEW_UNIT)
-    scored = pages.withColumn("_may", F.coalesce(may, F.lit(False)))
-    scored = scored.withColumn("_any", F.max("_may").over(Window.partitionBy(key)))
-
-    names = pages.columns
-
-    def move(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page_number").reset_index(drop=True)
-        text = [t or "" for t in group["text"]]
-        for i in range(len(text) - 1):
-            rest = text[i + 1].strip()
-            if not group["_may"].iloc[i] or not rest or not text[i].strip():
-                continue
-            cut = next((j + 1 for j, ch in enumerate(rest[: most + 1]) if ch in HEAD_ENDS), len(rest) if len(rest) <= most else 0)
-            if cut:
-                text[i], text[i + 1] = text[i].rstrip() + rest[:cut], rest[cut:].lstrip()
-        return group.assign(text=text)[names]
-
-    moved = scored.where("_any").groupBy(key).applyInPandas(move, pages.schema)
-    return scored.where("not _any").select(*pages.columns).unionByName(moved)
-
-
 def outside_tables(blocks: DataFrame, tables: DataFrame, key: str = "doc_id") -> DataFrame:
     """Blocks whose box (x0, y0, x1, y1) meets no table's box on the same page."""
     t = tables.select(F.col(key).alias("_k"), F.col("page_number").alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
@@ -260,25 +228,6 @@ def table_records(rows: Column, least: int = 7) -> Column:
     return F.when(header_score(rows) >= least, F.filter(made, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
-def merge_tables(tables: DataFrame, key: str = "doc_id", top: float = 150.0) -> DataFrame:
-    """(key, first_page, pages, rows): tables that go on over pages as one.
-
-    A table goes on the one of the page before when widths differ by one column at most and it starts high on its page, unless
-    it has a header of its own; the same first row counts as a repeated header and is left out. Tables: key, page_number,
-    table_index, y0, rows. A run of pages is an island of a running sum of starts.
-    """
-    w = Window.partitionBy(key).orderBy("page_number", "table_index")
-    rows = tables.withColumn("width", F.coalesce(F.array_max(F.transform("rows", width)), F.lit(0)))
-    before = {c: F.lag(c).over(w) for c in ("page_number", "width", "rows")}
-    same = F.get("rows", F.lit(0)) == F.get(before["rows"], F.lit(0))
-    goes_on = (F.col("page_number") == before["page_number"] + 1) & (F.abs(F.col("width") - before["width"]) <= 1) & (F.col("y0") <= top) & (F.col("width") > 0) & (before["width"] > 0) & (same | ~is_header(F.get("rows", F.lit(0)), F.get("rows", F.lit(1))))
-    rows = rows.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).withColumn("again", F.coalesce(same, F.lit(False)))
-    rows = rows.withColumn("island", F.sum((~F.col("goes_on")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = F.when(F.col("goes_on") & F.col("again"), F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows"))
-    out = rows.groupBy(key, "island").agg(F.min("page_number").alias("first_page"), F.count("*").alias("pages"), F.array_sort(F.collect_list(F.struct("page_number", "table_index", cut.alias("r")))).alias("x"))
-    return out.select(key, "first_page", "pages", F.flatten(F.transform("x", lambda t: t["r"])).alias("rows"))
-
-
 def ocr_numbers(text: Column) -> Column:
     """Letters that OCR takes for digits, as digits, where only such stand before a unit."""
     between = F.split(text, OCR_NUMBER)

@@ -12,9 +12,10 @@ from terrace.functions.text import normalise, normalise_for_eval, text_or_empty
 
 def missing_groups(text: Column, groups: Column) -> Column:
     """First keywords of the groups (array<array<string>>) of which no member is in the normalised text; empty groups are met."""
-    said = normalise_for_eval(text)
-    met = lambda g: (F.size(g) == 0) | F.exists(g, lambda k: F.contains(said, normalise_for_eval(k)))
-    return F.transform(F.filter(F.coalesce(groups, F.array().cast("array<array<string>>")), lambda g: ~met(g)), lambda g: F.get(g, F.lit(0)))
+    none = F.array().cast("array<array<string>>")
+    met = lambda said, g: (F.size(g) == 0) | F.exists(g, lambda k: F.contains(said, normalise_for_eval(k)))
+    left = lambda said: F.transform(F.filter(F.coalesce(groups, none), lambda g: ~met(said, g)), lambda g: F.get(g, F.lit(0)))
+    return F.get(F.transform(F.array(normalise_for_eval(text)), left), F.lit(0))  # the text is bound, so it is normalised once
 
 
 def keyword_hit(text: Column, groups: Column) -> Column:

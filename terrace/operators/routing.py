@@ -46,27 +46,6 @@ def first_rule(queries: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("query_id").agg(F.min_by("rule", "pos").alias("rule"))
 
 
-def profiles(bases: DataFrame, documents: DataFrame, names: int = 8) -> DataFrame:
-    """(knowledge_base_id, profile): name, subject, description and the first file names, normalised."""
-    ranked = documents.withColumn("_n", F.row_number().over(Window.partitionBy("knowledge_base_id").orderBy("created_at", "filename"))).where(F.col("_n") <= names)
-    files = ranked.groupBy("knowledge_base_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "filename"))), lambda x: x["filename"]), " ").alias("files"))  # at most ``names``
-    return bases.join(files, "knowledge_base_id", "left").select("knowledge_base_id", normalise(F.concat_ws(" ", "name", "subject", "description", "files")).alias("profile"))
-
-
-def profile_scores(queries: DataFrame, profiles_: DataFrame, categories: DataFrame) -> DataFrame:
-    """(query_id, knowledge_base_id, score): points for category keywords in both texts, and for the query's terms in the profile
-    by their length, from 2 to 6, each; 2 for the base that the query prefers. Queries meet every profile."""
-    q = queries.select("query_id", "preferred", normalise("query").alias("q"), terms("query").alias("terms"))
-    both = profiles_.crossJoin(q)
-    words = categories.agg(F.collect_set(normalise("keyword")).alias("words"))  # the rule table
-    both = both.crossJoin(F.broadcast(words))  # one row
-    shared = F.size(F.filter("words", lambda w: (w != "") & F.contains(F.col("q"), w) & F.contains(F.col("profile"), w)))
-    named = F.filter("terms", lambda t: (F.length(normalise(t)) >= 2) & F.contains(F.col("profile"), normalise(t)))
-    points = F.aggregate(named, F.lit(0), lambda a, t: a + F.greatest(F.lit(TERM_LEAST), F.least(F.length(normalise(t)), F.lit(TERM_MOST))))
-    bonus = F.when(F.col("preferred") == F.col("knowledge_base_id"), PREFERRED).otherwise(0)
-    return both.select("query_id", "knowledge_base_id", (shared * KEYWORD + points + bonus).cast("long").alias("score"))
-
-
 def rule_scores(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, rule, score) of rule terms (rule, kind, term): 12 for an alias in the query, 6 for a priority term, minus 12 for an excluded one."""
     q = queries.select("query_id", normalise("query").alias("q"))
@@ -76,15 +55,6 @@ def rule_scores(queries: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "rule").agg(F.sum(points).cast("long").alias("score"))
 
 
-def boolean_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
-    """(query_id, rule, boost) of rules (rule, all_of, any_of, none_of, boost) that a query meets; a rule needs a clause."""
-    q = queries.select("query_id", normalise("query").alias("q"))
-    size = F.size("all_of") + F.size("any_of") + F.size("none_of")
-    inside = lambda t: F.contains(F.col("q"), normalise(t))
-    met = F.forall("all_of", inside) & ((F.size("any_of") == 0) | F.exists("any_of", inside)) & ~F.exists("none_of", inside)
-    return rules.where(size > 0).join(q, met).select("query_id", "rule", "boost")
-
-
 def detect(texts: DataFrame, rules: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
     """(key, category, hits): the category (category, pos, keyword) of most keywords in the text, the first one of ties; texts without a hit are left out."""
     words = rules.select("category", "pos", normalise("keyword").alias("word")).where("word != ''")
@@ -94,15 +64,6 @@ def detect(texts: DataFrame, rules: DataFrame, key: str = "query_id", text: str
     return best.select(key, "b.category", "b.hits")
 
 
-def route(scores: DataFrame, margin: int = 0) -> DataFrame:
-    """(query_id, knowledge_base_id, score): the best base of each query, by id of ties, or the preferred one if it is within ``margin``."""
-    best = F.min_by(F.struct("knowledge_base_id", "score"), F.struct(-F.col("score"), "knowledge_base_id"))
-    own = F.max(F.when(F.col("knowledge_base_id") == F.col("preferred"), F.struct("score", "knowledge_base_id"))) if "preferred" in scores.columns else F.lit(None).cast("struct<score:long,knowledge_base_id:string>")
-    out = scores.groupBy("query_id").agg(best.alias("b"), own.alias("o"))
-    keep = F.coalesce(F.col("o.score") >= F.col("b.score") - margin, F.lit(False)) & F.lit(margin > 0)
-    return out.select("query_id", F.when(keep, F.col("o.knowledge_base_id")).otherwise(F.col("b.knowledge_base_id")).alias("knowledge_base_id"), F.when(keep, F.col("o.score")).otherwise(F.col("b.score")).alias("score"))
-
-
 def nearest(queries: DataFrame, profiles_: DataFrame, key: str, least: float, margin: float) -> DataFrame:
     """(query_id, key, similarity) by cosine of query_vector and centroid, where it is enough and leads the second by ``margin``."""
     scored = profiles_.crossJoin(queries.select("query_id", "query_vector")).select("query_id", key, F.round(cosine("query_vector", "centroid"), 6).alias("similarity"))

@@ -141,6 +141,9 @@ _KEY = f"regexp_matches(c, '{'|'.join(cleaning.HEADER_WORDS)}')"
 _PART = lambda l, test: f"(len(list_filter({l}, lambda c: {test})) / greatest(len({l}), 1))"
 _MEAN = lambda l: f"(coalesce(list_sum(list_transform({l}, lambda c: length(c))), 0) / greatest(len({l}), 1))"
 _MOST = lambda l: f"coalesce(list_max(list_transform({l}, lambda c: length(c))), 0)"
+#: Whether a row's filled cells (head) look like a header above those of the next (below).
+IS_HEADER = f"""len(head) >= 2 AND {_PART('head', 'length(c) <= 10')} >= 0.7 AND {_MEAN('head')} <= 12 AND {_MOST('head')} <= 24 AND {_PART('head', _IS_NUMBER)} <= 0.4 AND {_PART('head', _SAID)} <= 0.4
+  AND (len(below) = 0 OR {_PART('head', _SAID)} < {_PART('below', _SAID)} OR {_PART('head', _IS_NUMBER)} < {_PART('below', _IS_NUMBER)} OR {_MEAN('head')} <= 0.8 * {_MEAN('below')} OR {_MOST('head')} < {_MOST('below')})"""
 HEADS = f"""{GRID}, cl AS (SELECT doc_id, page_number, list_filter(list_transform(rows, lambda r: r[1:coalesce(list_max(list_transform(range(1, len(r) + 1), lambda i: if(r[i] <> '', i, 0))), 0)]),
   lambda r: len(r) > 0 AND len(list_filter(r, lambda c: c = '')) < 0.7 * len(r)) AS rows FROM gt),
 hb AS (SELECT *, list_filter(coalesce(rows[1], []), lambda c: c <> '') AS head, list_filter(coalesce(rows[2], []), lambda c: c <> '') AS below, len(coalesce(rows[1], [])) AS wide, rows[2:] AS body, list_filter(flatten(rows[2:]), lambda c: c <> '') AS cells FROM cl),
@@ -149,12 +152,11 @@ sc AS (SELECT *, CASE WHEN len(rows) < 2 OR len(head) < 2 THEN 0 ELSE 2 + if({_P
   + CASE WHEN {_PART('head', _IS_VALUE)} = 0 THEN 2 WHEN {_PART('head', _IS_VALUE)} <= 0.25 THEN 1 ELSE -3 END
   + if(len(body) > 0 AND len(list_filter(body, lambda r: abs(len(r) - wide) <= 1 OR abs(len(list_filter(r, lambda c: c <> '')) - wide) <= 1)) / greatest(len(body), 1) >= 0.6, 2, 0)
   + if(len(cells) > 0 AND {_MEAN('head')} < {_MEAN('cells')}, 1, 0) + if(len(cells) > 0 AND {_PART('head', _IS_VALUE)} < {_PART('cells', _IS_VALUE)}, 1, 0) + if(len(cells) > 0 AND {_PART('head', _SENTENCE)} < {_PART('cells', _SENTENCE)}, 1, 0) END AS score,
-  len(head) >= 2 AND {_PART('head', 'length(c) <= 10')} >= 0.7 AND {_MEAN('head')} <= 12 AND {_MOST('head')} <= 24 AND {_PART('head', _IS_NUMBER)} <= 0.4 AND {_PART('head', _SAID)} <= 0.4
-  AND (len(below) = 0 OR {_PART('head', _SAID)} < {_PART('below', _SAID)} OR {_PART('head', _IS_NUMBER)} < {_PART('below', _IS_NUMBER)} OR {_MEAN('head')} <= 0.8 * {_MEAN('below')} OR {_MOST('head')} < {_MOST('below')}) AS is_header FROM hb)"""
+  {IS_HEADER} AS is_header FROM hb)"""
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    cells = F.transform(F.split("text", ","), F.trim)
+    cells = F.transform(F.split("text", ","), lambda c: F.trim(c))
     rows = line_blocks(spark, d).where(F.contains("text", F.lit(","))).select("doc_id", F.col("page_number").cast("int").alias("page_number"), "y0", cells.alias("r"))
     found = rows.groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("y0", "r"))), lambda x: x["r"]).alias("rows"))  # eight lines
     return found.withColumn("rows", cleaning.table_rows(F.col("rows")))
@@ -255,50 +257,6 @@ def question_flags(spark, d):
 # Routing
 
 
-@query(
-    f"""WITH b AS (SELECT source, min(lang) AS lang FROM documents GROUP BY 1), f AS (SELECT source, string_agg(name, ' ' ORDER BY n) AS files FROM (SELECT source, lang || '_' || doc_id || '.txt' AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 8 GROUP BY 1)
-SELECT source AS knowledge_base_id, {NORMAL.format("concat_ws(' ', source, lang, files)")} AS profile FROM b LEFT JOIN f USING (source)"""
-)
-def base_profiles(spark, d):
-    return profiles(spark, d)
-
-
-def profiles(spark: SparkSession, d: str) -> DataFrame:
-    docs = X.read(spark, d, "documents")
-    bases = docs.groupBy(F.col("source").alias("knowledge_base_id")).agg(F.min("lang").alias("subject")).withColumns({"name": F.col("knowledge_base_id"), "description": F.lit(None).cast("string")})
-    named = docs.select(F.col("source").alias("knowledge_base_id"), F.concat("lang", F.lit("_"), "doc_id", F.lit(".txt")).alias("filename"), F.col("doc_id").alias("created_at"))
-    return routing.profiles(bases, named)
-
-
-_PROFILES = f"""b AS (SELECT source, min(lang) AS lang FROM documents GROUP BY 1), f AS (SELECT source, string_agg(name, ' ' ORDER BY n) AS files FROM (SELECT source, lang || '_' || doc_id || '.txt' AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 8 GROUP BY 1),
-pf AS (SELECT source AS knowledge_base_id, {NORMAL.format("concat_ws(' ', source, lang, files)")} AS profile FROM b LEFT JOIN f USING (source)),
-qs AS (SELECT conv_id || '-' || turn AS query_id, text || ' ' || 'src' || (conv_id % 20) AS query, 'src' || (conv_id % 7) AS preferred FROM conversations WHERE role = 'user'),
-qt AS (SELECT *, {NORMAL.format('query')} AS q, list_distinct(regexp_extract_all(lower(query), '[a-z0-9_]{{2,}}|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}')) AS terms FROM qs),
-ks AS (SELECT query_id, knowledge_base_id, preferred, 8 * len(list_filter(['src1', 'en', 'de', 'txt'], lambda w: contains(q, w) AND contains(profile, w))) + coalesce(list_sum(list_transform(list_filter(list_transform(terms, lambda t: {NORMAL.format('t')}), lambda t: length(t) >= 2 AND contains(profile, t)), lambda t: greatest(2, least(length(t), 6)))), 0)
-  + if(preferred = knowledge_base_id, 2, 0) AS score FROM qt, pf)"""
-
-
-def routed(spark: SparkSession, d: str) -> DataFrame:
-    said = X.messages(spark, d).where("role = 'user'")
-    asked = said.select(F.concat_ws("-", "conversation_id", "sequence").alias("query_id"), F.concat("content", F.lit(" src"), F.col("conversation_id") % 20).alias("query"), F.concat(F.lit("src"), F.col("conversation_id") % 7).alias("preferred"))
-    words = spark.createDataFrame([("src1",), ("en",), ("de",), ("txt",)], "keyword string")
-    return routing.profile_scores(asked, profiles(spark, d), words).join(asked.select("query_id", "preferred"), "query_id")
-
-
-@query(f"WITH {_PROFILES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, knowledge_base_id) AS n, max(CASE WHEN knowledge_base_id = preferred THEN score END) OVER (PARTITION BY query_id) AS own FROM ks) SELECT query_id, CASE WHEN own >= score - 2 THEN preferred ELSE knowledge_base_id END AS knowledge_base_id, CAST(CASE WHEN own >= score - 2 THEN own ELSE score END AS BIGINT) AS score FROM r WHERE n = 1")
-def base_routes(spark, d):
-    return routing.route(routed(spark, d), 2)
-
-
-@query(
-    f"""WITH q AS (SELECT doc_id, {NORMAL.format('text')} AS q FROM documents), r(rule, a, o, n, boost) AS (VALUES ('r1', ['the'], ['and', 'ing'], ['les'], 5), ('r2', [], ['tion', 'ent'], [], 3), ('r3', ['der'], [], ['the'], 7), ('r4', [], [], [], 9))
-SELECT doc_id AS query_id, rule, boost FROM q, r WHERE len(a) + len(o) + len(n) > 0 AND len(list_filter(a, lambda t: NOT contains(q, t))) = 0 AND (len(o) = 0 OR len(list_filter(o, lambda t: contains(q, t))) > 0) AND len(list_filter(n, lambda t: contains(q, t))) = 0"""
-)
-def boolean_rule_hits(spark, d):
-    rules = spark.createDataFrame([("r1", ["the"], ["and", "ing"], ["les"], 5), ("r2", [], ["tion", "ent"], [], 3), ("r3", ["der"], [], ["the"], 7), ("r4", [], [], [], 9)], "rule string, all_of array<string>, any_of array<string>, none_of array<string>, boost int")
-    return routing.boolean_rules(X.read(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), rules)
-
-
 @query(with_views(f""", {CENTROIDS}, s AS (SELECT query_id, label, list_sum(list_transform(list_zip(query_vector, v), lambda p: p[1] * p[2])) / nullif(sqrt(list_sum(list_transform(v, lambda x: x * x))), 0) AS z FROM vq, c),
 p AS (SELECT query_id, label, z, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) AS p FROM s WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, arg_max(label, z) AS label, round(max(p), 6) AS probability FROM p GROUP BY 1""", "vq", "vectors"))
@@ -670,25 +628,6 @@ def intent_dataset_summary(spark, d):
     return evaluation.intent_summary(rows)
 
 
-@query(
-    with_views(
-        r""", ws AS (SELECT chunk_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM chunks),
-ix AS (SELECT chunk_id, size, token, count(*) AS tf FROM (SELECT chunk_id, len(w) AS size, unnest(w) AS token FROM ws) GROUP BY ALL),
-st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM ws), q AS (SELECT DISTINCT query_id, lower(unnest(keywords)) AS token FROM kq), df AS (SELECT token, count(*) AS df FROM ix GROUP BY 1),
-s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean)))), 6) AS score FROM q JOIN ix USING (token) JOIN df USING (token), st GROUP BY ALL),
-f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 300),
-h AS (SELECT f.query_id, f.chunk_id, score, len(list_filter(keywords, lambda k: contains(text, k))) AS h, length(text) AS z FROM f JOIN kq USING (query_id) JOIN chunks USING (chunk_id))
-SELECT query_id, chunk_id, CAST(h AS BIGINT) AS keyword_hit_count, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY h DESC, score DESC, z DESC, chunk_id) AS INT) AS rank FROM h WHERE h >= 2 QUALIFY rank <= 15""",
-        "kq", "chunks",
-    )
-)
-def phrase_topk(spark, d):
-    chunks = X.chunks(spark, d)
-    size = F.size(F.filter(F.split(F.lower(T.text_or_empty("text")), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    n, mean = chunks.agg(F.count("*"), F.avg(size)).first()
-    return retrieval.phrase_search(chunks, retrieval.postings(chunks), X.keyword_queries(spark, d), n, F.lit(mean), 15)
-
-
 @query("SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) WHEN lang <> 'fr' THEN lang ELSE 'unknown' END AS chunk_id, CASE WHEN lang <> 'fr' THEN lang END AS parent_id, text AS child_text, CASE WHEN doc_id % 3 = 0 OR text = '' THEN source ELSE text END AS parent_text, CASE WHEN doc_id % 5 = 0 THEN 0.5 END AS distance, CAST(NULL AS DOUBLE) AS rerank_score, source AS source_name, CASE WHEN lang = 'de' THEN 'table' ELSE 'text' END AS source_type, CAST(doc_id AS INT) AS page_number FROM documents")
 def debug_chunk_rows(spark, d):
     docs = X.read(spark, d, "documents")

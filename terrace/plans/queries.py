@@ -209,24 +209,6 @@ def bm25_topk(spark, d):
     return retrieval.bm25(X.chunks(spark, d), X.keyword_queries(spark, d), 15)
 
 
-@query(
-    with_views(
-        r""", ws AS (SELECT chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM chunks),
-ix AS (SELECT chunk_id, size, token, count(*) AS tf FROM (SELECT chunk_id, len(w) AS size, unnest(w) AS token FROM ws) GROUP BY ALL),
-st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM ws), q AS (SELECT DISTINCT query_id, lower(unnest(keywords)) AS token FROM kq),
-df AS (SELECT token, count(*) AS df FROM ix GROUP BY 1),
-s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean)))), 6) AS score FROM q JOIN ix USING (token) JOIN df USING (token), st GROUP BY ALL)
-SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 15""",
-        "kq", "chunks",
-    )
-)
-def term_index_topk(spark, d):
-    chunks = X.chunks(spark, d)
-    size = F.size(F.filter(F.split(F.lower(T.text_or_empty("text")), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    n, mean = chunks.agg(F.count("*"), F.avg(size)).first()
-    return retrieval.term_search(retrieval.postings(chunks), X.keyword_queries(spark, d), n, F.lit(mean), 15)
-
-
 DENSE = """SELECT query_id, chunk_id, {value} AS {name}, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {value} {order}, chunk_id) AS rank
 FROM (SELECT query_id, chunk_id, {f} AS {value} FROM vq, vectors)) WHERE rank <= 15"""
 
@@ -682,7 +664,7 @@ def toc_pages(spark, d):
 
 @query(f"WITH {BLOCKS}, r AS (SELECT doc_id, page_number, y0, list_filter(list_transform(string_split(text, '|'), lambda c: trim(c)), lambda c: c <> '') AS cells FROM bl WHERE contains(text, '|')) SELECT doc_id, CAST(page_number AS INT) AS page_number, string_agg(array_to_string(cells, ' | '), chr(10) ORDER BY y0) AS text FROM r WHERE len(cells) > 0 GROUP BY ALL")
 def table_texts(spark, d):
-    cells = F.filter(F.transform(F.split("text", r"\|"), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.split("text", r"\|"), lambda c: F.trim(c)), lambda c: c != "")
     rows = line_blocks(spark, d).where(F.contains("text", F.lit("|"))).select("doc_id", "page_number", "y0", cells.alias("cells")).where(F.size("cells") > 0)
     tables = rows.groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("y0", "cells"))), lambda x: x["cells"]).alias("rows"))
     return tables.select("doc_id", F.col("page_number").cast("int").alias("page_number"), cleaning.row_lines(cleaning.table_rows(F.col("rows"))).alias("text"))

@@ -150,24 +150,12 @@ def test_markdown_headings(spark):
     assert [(r.heading, r.body) for r in chunking.markdown_sections(docs).orderBy("section").collect()] == [("A", "x"), ("A > B", "y"), ("C", "z")]
 
 
-def test_pages_join_a_broken_sentence_and_keep_others(spark):
-    pages = spark.createDataFrame([(1, 1, "学生应当"), (1, 2, "按规定办理。下一句。"), (2, 1, "完。"), (2, 2, "新的一页。")], "doc_id int, page_number int, text string")
-    got = {(r.doc_id, r.page_number): r.text for r in cleaning.join_pages(pages).collect()}
-    assert got[1, 1] == "学生应当按规定办理。" and got[1, 2] == "下一句。" and got[2, 2] == "新的一页。"
-
-
 def test_table_records_and_ocr(spark):
     rows = F.array(F.array(F.lit("行为"), F.lit("处理标准"), F.lit("分值")), F.array(F.lit("迟到"), F.lit("提醒"), F.lit("2")))
     got = spark.range(1).select(cleaning.table_records(rows).alias("x"), cleaning.ocr_numbers(F.lit("扣l0分 Oil")).alias("n"), cleaning.ocr_quality(F.lit("正常文字"), F.array(F.lit(0.9), F.lit(0.4))).alias("q")).first()
     assert got.x == ["[记录 1]\n行为: 迟到\n处理标准: 提醒\n分值: 2"] and got.n == "扣10分 Oil" and got.q == "low"
 
 
-def test_tables_merge_over_pages(spark):
-    t = [(1, 1, 0, 400.0, [["a", "b"], ["1", "2"]]), (1, 2, 0, 20.0, [["a", "b"], ["3", "4"]]), (1, 4, 0, 20.0, [["c", "d"]])]
-    got = cleaning.merge_tables(spark.createDataFrame(t, "doc_id int, page_number int, table_index int, y0 double, rows array<array<string>>")).orderBy("first_page").collect()
-    assert [(r.pages, r.rows) for r in got] == [(2, [["a", "b"], ["1", "2"], ["3", "4"]]), (1, [["c", "d"]])]
-
-
 def test_mmr_agrees_with_a_plain_model(spark):
     rng = np.random.default_rng(0)
     v, q = rng.normal(size=(12, 6)), rng.normal(size=6)
@@ -196,8 +184,6 @@ def test_intents_and_rules(spark):
     rules = [("greeting", "你好[呀啊]*"), ("thanks", "谢谢")]
     got = {r.query_id: r.x for r in q.select("query_id", routing.intent(F.col("query"), F.lit(False), rules, [], [], [], []).alias("x")).collect()}
     assert got == {1: "light:thanks", 2: "meaningless", 3: "business"}
-    table = spark.createDataFrame([("r", ["请假"], ["审批", "流程"], ["处罚"], 5)], "rule string, all_of array<string>, any_of array<string>, none_of array<string>, boost int")
-    assert [r.query_id for r in routing.boolean_rules(q, table).collect()] == [3]
 
 
 def test_empty_tables(spark):
