@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,8 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: For each open scratch, the folders that were stored in it.
-_OPEN: list[list[str]] = []
+#: For each scratch that is open in this thread or task of the driver, the folders that were stored in it.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("terrace-scratch", default=())
 
 
 def stored(df: DataFrame, name: str, *partition: str, compression: str = "snappy") -> DataFrame:
@@ -62,8 +63,8 @@ def stored(df: DataFrame, name: str, *partition: str, compression: str = "snappy
 
 def noted(path: str) -> str:
     """The path, which the innermost scratch deletes when it closes."""
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     return path
 
 
@@ -71,7 +72,7 @@ def noted(path: str) -> str:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes what was stored within, but for what is passed to the function that it gives; an outer scratch takes that over."""
     made, kept = [], set()
-    _OPEN.append(made)
+    token = _OPEN.set((*_OPEN.get(), made))
 
     def keep(df: DataFrame) -> DataFrame:
         kept.add(df._terrace_path)
@@ -80,7 +81,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _OPEN.remove(made)
+        _OPEN.reset(token)
         for path in made:
             if path in kept:
                 noted(path)
@@ -89,6 +90,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def row_of(df: DataFrame) -> Column:
+    """The whole row as one struct, in which no name can clash with those of an operator; ``select("name.*")`` gives it back."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import join_groups, parts, settled, shared_dir, stored, table
+from terrace.llm.common import join_groups, noted, parts, scratch, settled, shared_dir, stored, table
 
 #: Deleted before texts are compared: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
-FIELDS = "text_sha256 string, keep_id bigint, keep_points bigint, group_size bigint"
+#: keep_row is the number of the row in its batch.
+FIELDS = "text_sha256 string, keep_id bigint, keep_points bigint, group_size bigint, keep_row bigint"
 
 
 def digest(text: Column) -> Column:
@@ -58,16 +59,16 @@ class DigestIndex:
         fresh = batch.hint("merge").join(known.hint("merge"), "text_sha256", "left_anti")
         old = stored(batch.hint("merge").join(known.hint("merge"), "text_sha256"), "digest-known")
         for found, name in ((fresh, self.name), (old, self.later)):
-            found.select("text_sha256", "keep_id", "keep_points", "group_size").repartition(self.buckets, "text_sha256").write.insertInto(name)
+            found.select("text_sha256", "keep_id", "keep_points", "group_size", F.col("_first").alias("keep_row")).repartition(self.buckets, "text_sha256").write.insertInto(name)
             self.spark.catalog.refreshTable(name)
         return batch, old
 
     def current(self) -> DataFrame:
-        """(text_sha256, keep_id, keep_points, group_size) of all batches together: of equal texts the row of most code points,
-        then least key, and how many rows there are."""
-        first = F.min(F.struct((-F.col("keep_points")).alias("p"), F.col("keep_id").alias("k")))
+        """(text_sha256, keep_id, keep_points, group_size, keep_row) of all batches together: of equal texts the row of most code
+        points, then least key (null first) and row, and how many rows there are."""
+        first = F.min(F.struct((-F.col("keep_points")).alias("p"), F.col("keep_id").alias("k"), F.col("keep_row").alias("r")))
         both = self.table().union(self.spark.table(self.later)).groupBy("text_sha256").agg(first.alias("b"), F.sum("group_size").alias("group_size"))
-        return both.select("text_sha256", F.col("b.k").alias("keep_id"), (-F.col("b.p")).alias("keep_points"), "group_size")
+        return both.select("text_sha256", F.col("b.k").alias("keep_id"), (-F.col("b.p")).alias("keep_points"), "group_size", F.col("b.r").alias("keep_row"))
 
     def ingest(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Append the digests that are new and return a row per document: its digest, whether it stays, and the row that does.
@@ -91,17 +92,29 @@ class DigestIndex:
 BATCHES = 2
 
 
+def dedup_in_batches(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, keep_id, group_size, kept, text_sha256, points) of every row, after all were ingested in batches into a new index.
+
+    Exactly one row of each group of equal texts is kept, also where keys are null, which sort before all others, or repeat.
+    Null texts count as empty. The index is deleted when its answers are stored.
+    """
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        path = noted(f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
+        noted(f"{path}-later")
+        index = DigestIndex(spark, path, max(16, parts(spark)))
+        rows = keep(index.rows(docs, key, text))
+        for i in range(batches):
+            index.add(rows.where(F.pmod(F.xxhash64(key), F.lit(batches)) == i), key)
+        best = keep(stored(index.current(), "digest-best"))
+        index.forget()
+    joined = join_groups(rows, best, "text_sha256", "group_size", rows.count())
+    return joined.select(key, "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"), "text_sha256", "points")
+
+
 def op7_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row of its text that stays, after all were ingested in batches into one index."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}", max(16, parts(spark)))
-    rows = index.rows(docs)
-    for i in range(BATCHES):
-        index.add(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == i))
-    best = stored(index.current(), "digest-best")
-    index.forget()
-    joined = join_groups(rows, best, "text_sha256", "group_size", rows.count())
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "points")
+    return dedup_in_batches(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE_OP7 = r"""

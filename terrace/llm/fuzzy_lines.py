@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import components, join_groups, noted, parts, scratch, shared_dir, stored, table
+from terrace.llm.common import components, join_groups, noted, parts, row_of, scratch, shared_dir, stored, table
 
 #: Lines linked by SimHash differ in at most so many of its 64 bits ...
 DISTANCE = 3
@@ -279,7 +279,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kind:
     A document whose lines are all removed keeps an empty text; null texts stay null.
     """
     drops = repeated_lines(docs, key, text, kind).select(F.col("key").alias("of_key"), F.col("th").alias("of_th"), F.col("drop").alias("gone"))
-    here = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    here = docs.select(row_of(docs).alias("doc"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
     found = here.join(drops, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("th") == F.col("of_th")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return found.withColumn("doc", F.col("doc").withField(f"`{text}`", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))).select("doc.*")

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WORD, stored, table
+from terrace.llm.common import WORD, row_of, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -110,7 +110,7 @@ def mix(
     are refused with an error.
     """
     named = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(members), F.array().cast("array<string>")), lambda x: x.isNotNull())))
-    body = docs.select(F.struct(*docs.columns).alias("doc"), F.to_json(named).alias("pattern"), F.col(key).alias("key"), F.col(size).alias("size"), F.col(row).alias("row"))
+    body = docs.select(row_of(docs).alias("doc"), F.to_json(named).alias("pattern"), F.col(key).alias("key"), F.col(size).alias("size"), F.col(row).alias("row"))
     keyed = body.withColumn("hash", F.xxhash64(F.lit(seed), "key", "size")).withColumn("bin", F.pmod("hash", F.lit(BINS)).cast("int"))
     bins = keyed.groupBy("pattern", "bin").agg(F.sum("size").alias("in_bin"))
     patterns = bins.groupBy("pattern").agg(F.sum("in_bin").alias("n")).where("n > 0").limit(most + 1).collect()
@@ -159,7 +159,7 @@ def mix_by_source(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
 
 def repeat_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents, each row as often as the mix takes it, in the columns they came with; those of size 0 are left out."""
-    rows = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    rows = stored(docs.select(row_of(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
     sized = rows.select("row", *[F.col(f"doc.`{c}`").alias(n) for c, n in ((key, "key"), (text, "text"), (source, "source"))])
     taken = mix_by_source(sized, "key", "text", "source", row=F.col("row")).where("taken > 0").select("row", F.expr("taken div size").alias("times"))
     return rows.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("i")).select("doc.*")

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import components, join_groups, parts, scratch, stored, table
+from terrace.llm.common import components, join_groups, parts, row_of, scratch, stored, table
 
 WORDS = 5
 #: Similarity of at least NUM / DEN links two documents.
@@ -429,7 +429,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Of linked rows with one key that of the least hash of its text stays. Rows are told apart by a stored number, so keys may
     be null or repeat: rows without a link stay, whatever their keys.
     """
-    rows = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    rows = stored(docs.select(row_of(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
     found = groups(rows.select("row", sortable(f"doc.`{key}`").alias("id"), F.col(f"doc.`{text}`").alias("text")))
     kept = found.where("head is null or row = head.row").select("row")
     return rows.join(kept, "row", "left_semi").select("doc.*")

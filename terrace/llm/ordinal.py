@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import table
+from terrace.llm.common import row_of, table
 
 SLOTS = 1 << 18
 #: At most so many labelled rows, those of least hash, are used to fit.
@@ -154,27 +154,24 @@ def train(docs: DataFrame, grades: DataFrame, levels: int = 3, key: str = "doc_i
             yield pd.DataFrame(out, columns=["doc_id", "grade", "th", "slots", "shapes"])
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots, shapes, marks, last = [], [], [], None
-        for batch in batches:  # in order of doc_id and th
-            for k, g, _, s, x in batch.itertuples(index=False, name=None):
-                if k != last:
-                    slots.append(np.frombuffer(s, "<i4"))
-                    shapes.append(np.frombuffer(x))
-                    marks.append(g)
-                    last = k
+        slots, shapes, marks = [], [], []
+        for batch in batches:  # in order of doc_id
+            for _, g, _, s, x in batch.itertuples(index=False, name=None):
+                slots.append(np.frombuffer(s, "<i4"))
+                shapes.append(np.frombuffer(x))
+                marks.append(g)
         model = fit(slots, np.array(shapes).reshape(len(slots), SHAPES), np.array(marks, np.int64), levels)
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "shapes": [model.shapes.tobytes()], "cuts": [model.cuts.tobytes()]})
 
     made = rated.mapInPandas(features, "doc_id long, grade int, th long, slots binary, shapes binary")
-    row = made.repartition(1).sortWithinPartitions("doc_id", "th").mapInPandas(learn, "weights binary, shapes binary, cuts binary").first()  # at most ``sample`` keys
+    one = made.groupBy("doc_id").agg(F.min(F.struct("th", "grade", "slots", "shapes")).alias("x")).select("doc_id", "x.*")  # a key may repeat without bound
+    row = one.select("doc_id", "grade", "th", "slots", "shapes").repartition(1).sortWithinPartitions("doc_id").mapInPandas(learn, "weights binary, shapes binary, cuts binary").first()  # at most ``sample`` keys
     return OrdinalModel(*[np.frombuffer(x) for x in row]) if row else fit([], np.zeros((0, SHAPES)), np.zeros(0, np.int64), levels)
 
 
-def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """Add score, expected_grade, tail_1 ... tail_k = P(grade >= k), and kept (the last tail reaches ``cutoff``).
-
-    Null and empty texts have no words and are scored by their shapes alone. Columns of these names are replaced.
-    """
+def judged(docs: DataFrame, model: OrdinalModel, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """(doc, s): each row as it came, and a struct of score, expected_grade, tail_1 ... tail_k = P(grade >= k), and kept (the last
+    tail reaches ``cutoff``). Null and empty texts have no words and are scored by their shapes alone."""
     names = ["score", "expected_grade", *[f"tail_{k + 1}" for k in range(len(model.cuts))], "kept"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB whatever the input
 
@@ -186,8 +183,19 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cutoff: floa
             tails = shared.value.tails(s)
             yield pd.DataFrame({"score": s, "expected_grade": tails.sum(axis=1), **{f"tail_{k + 1}": tails[:, k] for k in range(tails.shape[1])}, "kept": tails[:, -1] >= cutoff})[names]
 
-    rest = [c for c in docs.columns if c not in names]
-    return docs.select(*rest, run(F.coalesce(F.col(text), F.lit(""))).alias("_s")).select(*rest, "_s.*")
+    return docs.select(row_of(docs).alias("doc"), run(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+
+
+def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """The rows with the columns of :func:`judged` beside their own, which these replace where names are the same."""
+    found = judged(docs, model, text, cutoff)
+    own = {x.lower() for x in found.schema["s"].dataType.names}
+    return found.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c.lower() not in own], "s.*")
+
+
+def keep_good(docs: DataFrame, model: OrdinalModel, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """The rows whose probability of the best grade reaches ``cutoff``, in the columns they came with, whatever their names."""
+    return judged(docs, model, text, cutoff).where("s.kept").select("doc.*")
 
 
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import running_start, table
+from terrace.llm.common import row_of, running_start, table
 
 #: One leaf: (region, rack, shard, weight).
 Leaf = tuple[str, str, int, float]
@@ -49,16 +49,13 @@ def place(df: DataFrame, key: str, leaves: list[Leaf], out: str = "shard") -> Da
     """
     if not any(w > 0 for *_, w in leaves):
         raise ValueError("the tree needs a positive weight")
-    parent: Column = F.lit("")
+    found = df.select(row_of(df).alias("row"), F.col(key).alias("key"), F.lit("").alias("at"))
     for level in _levels(leaves):
         kids = {p: [(c, w) for c, w in cs if w > 0] for p, cs in level.items()}
         entries = [x for p, cs in kids.items() if cs for x in (F.lit(p), F.array(*[F.struct(F.lit(c).alias("c"), F.lit(w).alias("w")) for c, w in cs]))]
-        drawn = F.transform(F.create_map(*entries)[parent], lambda x: F.struct(_draw(F.col(key), x["c"], x["w"]).alias("d"), x["c"].alias("c")))
-        df = df.withColumn("_at", F.array_min(drawn)["c"])
-        df = df.withColumn(f"_at_{len(df.columns)}", F.col("_at")).drop("_at")
-        parent = F.col(df.columns[-1])
-    names = [c for c in df.columns if c.startswith("_at_")]
-    return df.withColumn(out, F.col(names[-1]).cast("int")).drop(*names)
+        drawn = F.transform(F.create_map(*entries)[F.col("at")], lambda x: F.struct(_draw(F.col("key"), x["c"], x["w"]).alias("d"), x["c"].alias("c")))
+        found = found.select("row", "key", F.array_min(drawn)["c"].alias("at"))
+    return found.select("row.*", F.col("at").cast("int").alias(out))
 
 
 def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
