@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and gives all the same grade. Columns come back as they were, whatever their names.
     """
     model = ordinal.train(docs, ordinal.graded(table(spark, sf_dir, "labels")))
-    return ordinal.score(docs, model).where("kept").select(*docs.columns)
+    return ordinal.keep_good(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
