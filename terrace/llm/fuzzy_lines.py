@@ -25,6 +25,7 @@ BLOCKS = (13, 13, 13, 13, 12)
 #: Words whose bits are summed in bytes at first; below 128, so that the sum of a long stays positive.
 CHUNK = 127
 ONES = 0x0101010101010101
+LANES = 0x0001000100010001
 #: Keys of a line by each kind of n-gram.
 SKETCH = 12
 #: Lines are compared if they share this part of the keys of the one that has fewer; lines within EDITS share more, but for a few in a thousand.
@@ -53,17 +54,25 @@ def simhash(lines: DataFrame) -> DataFrame:
     """(id, simhash): bit i is set where more than half of the line's distinct words have it in their hashes; where half have it, the
     word of least hash decides, so that short lines have as many set bits as others.
 
-    Eight counters share a long for up to CHUNK words, then two, each of 31 bits, more than a line can have words. ``lines`` must
-    be one row per id and partitioned by it, so that the words stay in their task.
+    Eight counters share a long. Of up to CHUNK words four are compared with the half at once, each with two bytes of its own: what is
+    missing to 128 is added, and the bit of 128 then tells. Longer lines are summed by chunks and then in two counters a long, each of 31 bits,
+    more than a line can have words. ``lines`` must be one row per id and partitioned by it, so that the words stay in their task.
     """
-    words = lines.select("id", F.posexplode(F.array_distinct(F.split("norm", " "))).alias("at", "w"))
-    words = words.select("id", F.expr(f"cast(at div {CHUNK} as int)").alias("chunk"), F.xxhash64("w").alias("h"))
-    some = words.groupBy("id", "chunk").agg(F.count("*").alias("n"), F.min("h").alias("m"), *[F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {ONES}L")).alias(f"s{i}") for i in range(8)])
+    many = F.expr(f"length(norm) - length(replace(norm, ' ', '')) >= {CHUNK}")
+    words = lambda some: some.select("id", F.posexplode(F.array_distinct(F.split("norm", " "))).alias("at", "w"))
+    sums = [F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {ONES}L")).alias(f"s{i}") for i in range(8)]
+    short = words(lines.where(~many)).select("id", F.xxhash64("w").alias("h")).groupBy("id").agg(F.count("*").alias("n"), F.min("h").alias("m"), *sums)
+    short = short.withColumn("rest", F.expr(f"({CHUNK} - n div 2) * {LANES}L"))
+    tied = lambda i: f"if(n % 2 = 0, shiftrightunsigned(m, {i}) & {LANES}L, 0L)"
+    told = [f"shiftleft(shiftrightunsigned(((shiftrightunsigned(s{i}, {j}) & {LANES * 255}L) + rest + {tied(i + j)}) & {LANES * 128}L, 7), {i + j})" for i in range(8) for j in (0, 8)]
+    hashed = short.select("id", F.expr(" | ".join(told)).alias("simhash"))
+    pieces = words(lines.where(many)).select("id", F.expr(f"cast(at div {CHUNK} as int)").alias("chunk"), F.xxhash64("w").alias("h"))
+    some = pieces.groupBy("id", "chunk").agg(F.count("*").alias("n"), F.min("h").alias("m"), *sums)
     pair = lambda i: F.expr(f"(shiftrightunsigned(s{i % 8}, {i - i % 8}) & 255L) + shiftleft(shiftrightunsigned(s{i % 8}, {i - i % 8 + 32}) & 255L, 31)")
-    sums = some.groupBy("id").agg(F.sum("n").alias("n"), F.min("m").alias("m"), *[F.sum(pair(i)).alias(f"c{i}") for i in range(32)])
+    whole = some.groupBy("id").agg(F.sum("n").alias("n"), F.min("m").alias("m"), *[F.sum(pair(i)).alias(f"c{i}") for i in range(32)])
     own = lambda i: f"(shiftrightunsigned(m, {i}) & 1L)"
     bits = [f"(if(2 * (c{i} & {(1 << 31) - 1}L) + {own(i)} > n, {1 << i}L, 0L) | if(2 * shiftrightunsigned(c{i}, 31) + {own(i + 32)} > n, shiftleft(1L, {i + 32}), 0L))" for i in range(32)]
-    return sums.select("id", F.expr(" | ".join(bits)).alias("simhash"))
+    return hashed.union(whole.select("id", F.expr(" | ".join(bits)).alias("simhash")))
 
 
 def block_keys(value: Column) -> Column:
@@ -98,8 +107,8 @@ def lowest(grams: Column) -> Column:
 
 
 class Lines:
-    """The distinct lines of a table, in a table bucketed by their id, so that joins by it don't move them: id, text, size in
-    characters, what else is known of each before its text is read, and keys. Lines that may be linked share a key.
+    """The distinct lines of a table: ``texts`` (id, norm), and ``all``, with what is known of each before its text is read, and
+    keys. Lines that may be linked share a key. Both are bucketed by id, so that joins by it don't move them.
 
     Lines are named by a hash of 64 bits.
     """
@@ -107,16 +116,21 @@ class Lines:
     known: tuple[str, ...] = ("size",)
 
     def __init__(self, lines: DataFrame) -> None:
-        spark = lines.sparkSession
-        self.name = f"lines_{uuid.uuid4().hex}"
-        path = noted(f"{shared_dir(spark)}/terrace-{self.name}")
+        self.names: list[str] = []
         distinct = lines.groupBy("id").agg(F.max("norm").alias("norm"))  # all the same
-        told = self.describe(distinct.withColumn("size", F.length("norm")))
-        told.write.bucketBy(parts(spark), "id").sortBy("id").option("path", path).option("compression", "zstd").saveAsTable(self.name)
-        self.all = spark.table(self.name)
+        self.all = self.texts = self.kept(self.describe(distinct.withColumn("size", F.length("norm"))))
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """Rows as a table bucketed by id."""
+        spark = rows.sparkSession
+        self.names.append(name := f"lines_{uuid.uuid4().hex}")
+        path = noted(f"{shared_dir(spark)}/terrace-{name}")
+        rows.write.bucketBy(parts(spark), "id").sortBy("id").option("path", path).option("compression", "zstd").saveAsTable(name)
+        return spark.table(name)
 
     def drop(self) -> None:
-        self.all.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in self.names:
+            self.all.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
     def describe(self, distinct: DataFrame) -> DataFrame:
         """Add what is known of (id, norm, size), and the array of keys."""
@@ -145,19 +159,19 @@ class Lines:
             near = pairs
             for x in "ab":  # what is small comes first, keys are joined to what it leaves
                 near = near.join(self.all.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in self.known]), x)
-            most = F.expr(f"cast({EDITS} * greatest(size_a, size_b) as int)").alias("most")
-            near = stored(near.where(self.may_link("{}_a", "{}_b")).select("a", "b", most), "like-lines")
+            near = stored(near.where(self.may_link("{}_a", "{}_b")).select("a", "b"), "like-lines")
             if self.once_by:
                 for x in "ab":
                     near = near.join(self.all.select(F.col("id").alias(x), F.col("keys").alias(f"keys_{x}")), x)
                 near = near.where(self.enough("size(array_intersect(keys_a, keys_b))", "size(keys_a)", "size(keys_b)"))
-                near = stored(near.select("a", "b", "most"), "close-lines")
+                near = stored(near.select("a", "b"), "close-lines")
             # the texts are read once, where they lie, and only those of close lines go on
             needed = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-            texts = self.all.select("id", "norm").join(needed.hint("shuffle_hash"), "id", "left_semi")
+            texts = self.texts.select("id", "norm").join(needed.hint("shuffle_hash"), "id", "left_semi")
             texts = stored(texts.select("id", "norm", units(F.col("norm")).alias("units")), "close-texts")
             for x in "ab":
                 near = near.join(texts.select(F.col("id").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("units").alias(f"units_{x}")), x)
+            near = near.withColumn("most", F.expr(f"cast({EDITS} * greatest(length(norm_a), length(norm_b)) as int)")).where("abs(length(norm_a) - length(norm_b)) <= most")
             dealt = near.repartition(4 * parts(self.all.sparkSession))  # by number: the checks take long, not the bytes
             return keep(stored(dealt.where(WITHIN).select("a", "b"), "near-lines"))
 
@@ -191,19 +205,20 @@ class Lines:
 class SimHashLines(Lines):
     """Lines that link by edits and by a SimHash within DISTANCE bits; the keys are choices of its blocks."""
 
-    known = ("size", "simhash")
+    known = ("simhash",)
     once_by = ()
 
+    def __init__(self, lines: DataFrame) -> None:
+        self.names = []
+        self.texts = self.kept(lines.groupBy("id").agg(F.max("norm").alias("norm")))
+        hashed = self.kept(simhash(self.texts))  # the words stay where the lines are
+        self.all = hashed.withColumn("keys", block_keys(F.col("simhash")))
+
     def once(self, pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 
-    def describe(self, distinct: DataFrame) -> DataFrame:
-        """Lines come partitioned by id and stay where they are: both sides of the join read the same shuffle."""
-        return distinct.join(simhash(distinct.select("id", "norm")), "id").withColumn("keys", block_keys(F.col("simhash")))
-
     def may_link(self, a: str, b: str) -> str:
-        x, y = ({c: p.format(c) for c in self.known} for p in (a, b))
-        return f"bit_count({x['simhash']} ^ {y['simhash']}) <= {DISTANCE} and abs({x['size']} - {y['size']}) <= {EDITS} * greatest({x['size']}, {y['size']})"
+        return f"bit_count({a.format('simhash')} ^ {b.format('simhash')}) <= {DISTANCE}"
 
 
 class NearLines(Lines):
