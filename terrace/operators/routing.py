@@ -27,7 +27,8 @@ def expand_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 def expand_conditional(queries: DataFrame, clauses_: DataFrame, aliases: DataFrame) -> DataFrame:
     """(query_id, alias) of rules (rule_id, group_id, keyword) of which every group has a keyword in the query."""
     groups = clauses_.groupBy("rule_id").agg(F.count_distinct("group_id").alias("groups"))
-    met = queries.join(clauses_, F.contains(F.col("query"), F.col("keyword"))).groupBy("query_id", "rule_id").agg(F.count_distinct("group_id").alias("met"))
+    found = contained(queries, clauses_, "query_id", "query", "keyword").select("query_id", F.col("word").alias("keyword"))
+    met = found.join(clauses_, "keyword").groupBy("query_id", "rule_id").agg(F.count_distinct("group_id").alias("met"))
     full = met.join(groups, "rule_id").where("met = groups")
     return full.join(aliases, "rule_id").select("query_id", "alias").distinct()
 
@@ -41,9 +42,14 @@ def is_policy_question(query: Column, words: Sequence[str], phrases: Sequence[st
 
 
 def first_rule(queries: DataFrame, rules: DataFrame) -> DataFrame:
-    """(query_id, rule): of rules (pos, rule, terms) the first whose terms are all in the query; queries without one are left out."""
-    met = queries.join(rules, F.forall("terms", lambda t: F.contains(F.col("query"), t)) & (F.size("terms") > 0))
-    return met.groupBy("query_id").agg(F.min_by("rule", "pos").alias("rule"))
+    """(query_id, rule): of rules (pos, rule, terms) the first whose terms are all in the query; queries without one are left out.
+
+    Empty terms are in every query; a rule without others meets none.
+    """
+    terms_ = rules.select("rule", "pos", F.explode(F.array_distinct(F.filter("terms", lambda t: t != ""))).alias("word"))
+    need = terms_.groupBy("rule", "pos").agg(F.count("*").alias("need"))
+    met = contained(queries, terms_, "query_id", "query").select("query_id", "word").join(terms_, "word").groupBy("query_id", "rule", "pos").agg(F.count("*").alias("met"))
+    return met.join(need, ["rule", "pos"]).where("met = need").groupBy("query_id").agg(F.min_by("rule", F.struct("pos", "rule")).alias("rule"))
 
 
 def rule_scores(queries: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.plans import index_queries, more_queries, page_queries, routing_queries, vector_queries  # noqa: F401  register their queries
+from terrace.plans import index_queries, more_queries, page_queries, routing_queries, rule_queries, vector_queries  # noqa: F401  register their queries
 from terrace.plans import queries as registered
 
 Query = Callable[[SparkSession, str], DataFrame]
