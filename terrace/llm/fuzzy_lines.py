@@ -175,31 +175,42 @@ class Lines:
             dealt = near.repartition(4 * parts(self.all.sparkSession))  # by number: the checks take long, not the bytes
             return keep(stored(dealt.where(WITHIN).select("a", "b"), "near-lines"))
 
-    def groups(self) -> DataFrame:
-        """(node, root) of the lines that have a link.
-
-        First every line is checked against the line of least id of a key, that it shares most keys with, and then against
-        those of its other keys that are in another group by then; that joins groups of near copies at a cost in proportion to
-        their sizes. Keys with three lines or more that then still hold several groups give all pairs of different groups, so
-        no link between groups that share a key is lost.
-        """
+    def blocks(self) -> tuple[DataFrame, DataFrame]:
+        """(id, key, pivot, members) of the lines whose keys others have too, the pivot a key's least line; and (a, b, common) of each
+        line and each of its pivots."""
         keyed = self.all.select("id", F.explode("keys").alias("key")).repartition(parts(self.all.sparkSession), "key")
         least = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
         shared = stored(keyed.join(least, "key"), "blocks")
-        stars = stored(shared.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("common")), "line-stars")
+        return shared, shared.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("common"))
+
+    def starred(self, stars: DataFrame) -> DataFrame:
+        """Links of lines with pivots: first with the one that each shares most keys with, then with those that are in another group by then."""
+        stars = stored(stars, "line-stars")
         near = self.linked(stars.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b")))
         roots = components(near, "a", "b", "line-stars")
         for x in "ab":
             stars = stars.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
-        apart = stars.where("not coalesce(root_a, a) <=> coalesce(root_b, b)").select("a", "b")
-        near = near.union(self.linked(apart))
+        return near.union(self.linked(stars.where("not coalesce(root_a, a) <=> coalesce(root_b, b)").select("a", "b")))
+
+    def groups(self) -> DataFrame:
+        """(node, root) of the lines that have a link.
+
+        First lines are checked against the lines of least id of their keys; that joins groups of near copies at a cost in
+        proportion to their sizes. Keys with three lines or more that then still hold several groups give all pairs of different
+        groups, so no link between groups that share a key is lost.
+        """
+        shared, stars = self.blocks()
+        near = self.starred(stars)
         roots = components(near, "a", "b", "line-stars")
         placed = shared.where("members > 2").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
         placed = stored(placed.join(open_, "key").join(self.all.select("id", *self.once_by, *self.known), "id"), "open-blocks")
         other = placed.select("key", *[F.col(c).alias(f"b_{c}") for c in placed.columns if c != "key"])
-        pairs = self.once(placed.join(other, "key").where(f"root < b_root and {self.may_link('{}', 'b_{}')}"))
-        return components(near.union(self.linked(pairs)), "a", "b", "line-links")
+        more = self.linked(self.once(placed.join(other, "key").where(f"root < b_root and {self.may_link('{}', 'b_{}')}")))
+        if more.isEmpty():
+            return roots
+        # the groups so far are stars, so their links need no more than the new ones
+        return components(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b", "line-links")
 
 
 class SimHashLines(Lines):
@@ -217,6 +228,10 @@ class SimHashLines(Lines):
     def once(self, pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 
+    def starred(self, stars: DataFrame) -> DataFrame:
+        """All pivots at once: few that aren't near share 25 bits."""
+        return self.linked(stars.select("a", "b"))
+
     def may_link(self, a: str, b: str) -> str:
         return f"bit_count({a.format('simhash')} ^ {b.format('simhash')}) <= {DISTANCE}"
 
