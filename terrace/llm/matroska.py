@@ -264,4 +264,5 @@ def documents_as_media(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def op3_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, payload and stored form of every document as packets, read back from the stored bytes; null texts are empty."""
     return documents_as_media(table(spark, sf_dir, "documents"))

@@ -129,4 +129,5 @@ def scan(docs: DataFrame, labelled_docs: DataFrame | None = None, key: str = "do
 
 
 def op5_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with its score and decision; null and empty texts have none."""
     return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

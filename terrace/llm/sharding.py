@@ -73,4 +73,5 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
 
 
 def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among eight shards, and its shard among nine; null texts have size 1."""
     return shard_documents(table(spark, sf_dir, "documents"), BASE)

@@ -209,6 +209,7 @@ def _frame(archive: str, rows: list[Entry], names: tuple[str, ...]) -> pd.DataFr
 
 
 def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record, digest and revisit of every page, read back from the written archives; null pages have an empty payload."""
     archives = stored(write_archives(table(spark, sf_dir, "pages")), "warc")
     found = read_archives(archives).where("kind = 'record'")
     number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast("long")
