@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -118,6 +119,11 @@ def chunks(docs: DataFrame, rules: SplitRules, parent_limit: int = 260, child_li
     no chunks.
     """
     cut = docs.select(key, F.posexplode(sections(text_or_empty(text), rules)).alias("section", "body"))
+    return section_chunks(cut, rules, parent_limit, child_limit, key)
+
+
+def section_chunks(cut: DataFrame, rules: SplitRules, parent_limit: int, child_limit: int, key: str) -> DataFrame:
+    """Chunks of sections (key, section, body)."""
     packed = pack(cut.select(key, "section", refine(sentences(F.col("body"), rules), parent_limit, rules).alias("parents")), "parents", parent_limit)
     prefix = F.concat(F.lit("rule_doc_"), F.col("section"))
     rows = packed.select(key, prefix.alias("prefix"), F.size("parents").alias("many"), F.posexplode("parents").alias("i", "parent_text"))
@@ -141,30 +147,61 @@ def latest(found: DataFrame, stored: DataFrame, key: str = "chunk_id") -> DataFr
     return stored.join(found.select(key), key, "left_anti").unionByName(found.dropDuplicates([key]), allowMissingColumns=True)
 
 
-def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, section, heading, body): the text under each heading, with the path of headings above it.
+#: A heading, an article's mark, a list's mark, what stands between marks of emphasis, and the name of a table of contents.
+HEADING, ARTICLE, BULLET = re.compile(r"(#{1,6})\s+(.*)"), re.compile(r"\*\*(第[一二两三四五六七八九十百千0-9]+条)\*\*\s*(.*)"), re.compile(r"[*-]\s+")
+EMPHASIS = (re.compile(r"\*\*(.*?)\*\*"), re.compile(r"__(.*?)__"), re.compile(r"`([^`]+)`"))
+CONTENTS = "目录"
 
-    Headings, bold article marks and rules begin a section; list marks go; sections of a table of contents are left out. Lines
-    are put in order by their place, so that a document's lines, not the table, pass through one window.
+
+@F.udtf(returnType="section int, heading string, body string")
+class MarkdownSections:
+    """The sections of a Markdown text, in one pass over its lines: number, path of headings, and text after its headings.
+
+    Headings, rules and article marks end a section. Title, chapter and section names stand before each section's lines; what
+    follows a heading of a table of contents is left out up to the next title or chapter; marks of lists and emphasis go.
     """
-    lines = docs.select(key, F.posexplode(F.split(text_or_empty(text), "\n")).alias("n", "line"))
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    level = F.length(F.regexp_extract("line", "^(#{1,6})[ \t]+", 1))
-    name = strip(F.regexp_extract("line", "^#{1,6}[ \t]+(.*)$", 1))
-    rule, article = F.col("line").rlike("^\\s*(-{3,}|\\*{3,})\\s*$"), F.col("line").rlike("^\\*\\*第[一二三四五六七八九十百千0-9]+条")
-    marked = lines.withColumn("level", level).withColumn("name", name).withColumn("start", ((level > 0) | rule | article).cast("int"))
-    top = F.max(F.when(F.col("level") == 1, F.col("n"))).over(w)
-    mid = F.max(F.when(F.col("level") == 2, F.col("n"))).over(w)
-    marked = marked.withColumn("h1", F.last(F.when(F.col("level") == 1, F.col("name")), True).over(w)).withColumn("_top", top).withColumn("_mid", mid)
-    h2, h3 = (F.last(F.when(F.col("level") == i, F.struct("n", "name")), True).over(w) for i in (2, 3))
-    marked = marked.withColumn("h2", h2).withColumn("h3", h3).withColumn("section", F.sum("start").over(w))
-    above = lambda h, *after: F.when(F.col(f"{h}.n") > F.greatest(*[F.coalesce(a, F.lit(-1)) for a in after], F.lit(-1)), F.col(f"{h}.name"))
-    path = F.concat_ws(" > ", "h1", above("h2", F.col("_top")), above("h3", F.col("_top"), F.col("_mid")))
-    body = F.when((F.col("level") > 0) | rule, "").otherwise(strip(F.regexp_replace("line", r"^\s*(?:[-*+]|\d+[.)])\s+", "")))
-    rows = marked.select(key, "section", "n", path.alias("path"), body.alias("body")).where("body != ''")
-    out = rows.groupBy(key, "section").agg(F.max_by("path", "n").alias("heading"), F.array_sort(F.collect_list(F.struct("n", "body"))).alias("x"))  # lines of one section
-    out = out.select(key, F.col("section").cast("int").alias("section"), "heading", F.array_join(F.transform("x", lambda s: s["body"]), "\n").alias("body"))
-    return out.where(~F.lower("heading").rlike("目录|table of contents|(^| > )contents$"))
+
+    def eval(self, text: str | None) -> Iterator[tuple[int, str, str]]:
+        names, skipping, lines, path, number = {1: "", 2: "", 3: ""}, False, [], "", 0
+        for raw in [*(text or "").splitlines(), "---"]:
+            line = raw.strip()
+            heading = HEADING.fullmatch(line)
+            article = None if heading or skipping else ARTICLE.fullmatch(line)
+            if lines and (heading or article or line == "---"):
+                body = "\n".join(x for x in lines if x.strip()).strip()
+                if body:
+                    yield number, path, body
+                    number += 1
+                lines = []
+            if heading:
+                level, name = min(3, len(heading[1])), self.plain(heading[2])
+                contents = level > 1 and name == CONTENTS
+                skipping = contents or skipping and level == 3
+                if contents:
+                    names |= {2: "", 3: ""}
+                else:
+                    names |= {n: name if n == level else "" for n in range(level, 4)}
+            elif line and line != "---" and not skipping:
+                if not lines:
+                    above = [x for x in names.values() if x]
+                    lines, path = list(above), " > ".join(above)
+                lines.append(f"{article[1]} {article[2]}".strip() if article else BULLET.sub("", self.plain(line), count=1) if BULLET.match(self.plain(line)) else self.plain(line))
+
+    @staticmethod
+    def plain(line: str) -> str:
+        for marks in EMPHASIS:
+            line = marks.sub(r"\1", line)
+        return line.strip()
+
+
+def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, section, heading, body) of Markdown texts: each section's text after the headings above it."""
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).lateralJoin(MarkdownSections(F.col("_text").outer())).select(F.col("_key").alias(key), "section", "heading", "body")
+
+
+def markdown_chunks(docs: DataFrame, rules: SplitRules, parent_limit: int = 260, child_limit: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The chunks of Markdown texts as :func:`chunks` gives them, each with the headings above its section."""
+    return section_chunks(markdown_sections(docs, key, text).select(key, "section", "body"), rules, parent_limit, child_limit, key)
 
 
 def structured_parts(pages: DataFrame, key: str = "doc_id") -> DataFrame:

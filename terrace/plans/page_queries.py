@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import text as T
-from terrace.operators import paging
+from terrace.operators import chunking, paging
+from terrace.plans import fixtures as X
 
 from terrace.plans.more_queries import _OPEN, _RESULT, _STRONG, _UNIT, CJK, IS_HEADER, STRIP, ZH_PAGES, chinese, chinese_pages
 from terrace.plans.queries import BLOCKS, line_blocks, query
@@ -95,4 +96,39 @@ def cross_page_tables(spark, d):
     return found.select("doc_id", "page_number", "table_index", rows.alias("rows"), "merged_to_previous", "merged_target_page", "is_cross_page_merged", F.array_join("merged_pages", ",").alias("merged_pages"))
 
 
+# Markdown
 
+_INLINE = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '\\*\\*(.*?)\\*\\*', '\\1', 'g'), '__(.*?)__', '\\1', 'g'), '`([^`]+)`', '\\1', 'g'))"
+#: Lines as Markdown by their place: titles, chapters, sections, tables of contents, lists, articles and rules.
+MARKDOWN = f"""md AS (SELECT doc_id, i, CASE WHEN doc_id % 4 = 0 AND i = 9 THEN '## 目录' WHEN i % 9 = 1 THEN '# ' || left(s, 20) WHEN i % 9 = 4 THEN '## **' || left(s, 12) || '**' WHEN i % 9 = 6 THEN '### ' || left(s, 9)
+  WHEN i % 9 = 7 THEN '- ' || s WHEN i % 9 = 8 THEN '**第' || i || '条** ' || s WHEN i % 9 = 0 THEN '---' ELSE s END AS s
+  FROM (SELECT doc_id, i, {STRIP.format('l[i]')} AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)) WHERE s <> ''),
+mn AS (SELECT doc_id, {STRIP.format('s')} AS s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM md)"""
+
+
+def markdown(spark: SparkSession, d: str) -> DataFrame:
+    lines = X.read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("i"), T.strip("line").alias("s")).where("s != ''")
+    at, part = F.col("i") % 9, lambda n: F.substring("s", 1, n)
+    line = (
+        F.when((F.col("doc_id") % 4 == 0) & (F.col("i") == 9), "## 目录").when(at == 1, F.concat(F.lit("# "), part(20))).when(at == 4, F.concat(F.lit("## **"), part(12), F.lit("**"))).when(at == 6, F.concat(F.lit("### "), part(9)))
+        .when(at == 7, F.concat(F.lit("- "), "s")).when(at == 8, F.concat(F.lit("**第"), F.col("i").cast("string"), F.lit("条** "), "s")).when(at == 0, "---").otherwise(F.col("s"))
+    )
+    rows = lines.select("doc_id", "i", line.alias("line")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))  # one text's lines
+    return rows.select("doc_id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(
+    f"""WITH RECURSIVE {MARKDOWN},
+k AS (SELECT *, length(regexp_extract(s, '^(#{{1,6}})\\s', 1)) AS lvl, {_INLINE.format("regexp_extract(s, '^#{1,6}\\s+(.*)$', 1)")} AS name, s = '---' AS rule, regexp_matches(s, '^\\*\\*第[一二两三四五六七八九十百千0-9]+条\\*\\*') AS mark FROM mn),
+walk AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS n, '' AS t, '' AS c, '' AS h, false AS toc, false AS open, -1 AS sec, CAST(NULL AS VARCHAR) AS added FROM (SELECT DISTINCT doc_id FROM mn)
+  UNION ALL
+  SELECT doc_id, n, CASE WHEN lvl = 1 THEN name ELSE t END, CASE WHEN lvl = 1 OR contents THEN '' WHEN lvl = 2 THEN name ELSE c END, CASE WHEN lvl IN (1, 2) OR contents THEN '' WHEN lvl >= 3 THEN name ELSE h END,
+    CASE WHEN lvl = 1 THEN false WHEN contents THEN true WHEN lvl = 2 THEN false ELSE toc END, CASE WHEN rule OR lvl > 0 THEN false WHEN body THEN true ELSE open END, sec + if(opens, 1, 0),
+    CASE WHEN opens THEN concat_ws(chr(10), nullif(t, ''), nullif(c, ''), nullif(h, ''), line) WHEN body THEN line END FROM (
+      SELECT *, body AND (mark OR NOT open) AS opens, CASE WHEN mark THEN trim(regexp_replace(s, '^\\*\\*(第[^*]+条)\\*\\*\\s*', '\\1 ')) ELSE regexp_replace({_INLINE.format('s')}, '^[*-]\\s+', '') END AS line FROM (
+        SELECT k.*, w.t, w.c, w.h, w.toc, w.open, w.sec, lvl >= 2 AND name = '目录' AS contents, lvl = 0 AND NOT rule AND NOT w.toc AS body FROM walk w JOIN k ON k.doc_id = w.doc_id AND k.n = w.n + 1)))
+SELECT doc_id, sec AS section, string_agg(added, chr(10) ORDER BY n) AS body FROM walk WHERE added IS NOT NULL GROUP BY ALL"""
+)
+def markdown_section_texts(spark, d):
+    return chunking.markdown_sections(markdown(spark, d)).select("doc_id", "section", "body")

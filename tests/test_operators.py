@@ -146,8 +146,14 @@ def test_case_choice_and_second_classifier(spark, tmp_path):
 
 
 def test_markdown_headings(spark):
-    docs = spark.createDataFrame([(1, "# A\nx\n## B\n- y\n# C\nz")], "doc_id int, text string")
-    assert [(r.heading, r.body) for r in chunking.markdown_sections(docs).orderBy("section").collect()] == [("A", "x"), ("A > B", "y"), ("C", "z")]
+    text = "# A\nx\n\n## B\n- **y** `z`\nmore\n### 目录\nskipped\n### still\nskipped\n## C\n**第三条** 内容\n**第四条**\n---\nend\n# D\nlast"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "plain\n\nlines"), (4, "# only a title")], "doc_id int, text string")
+    got = [(r.doc_id, r.section, r.heading, r.body) for r in chunking.markdown_sections(docs).orderBy("doc_id", "section").collect()]
+    assert got == [
+        (1, 0, "A", "A\nx"), (1, 1, "A > B", "A\nB\ny z\nmore"), (1, 2, "A > C", "A\nC\n第三条 内容"), (1, 3, "A > C", "A\nC\n第四条"), (1, 4, "A > C", "A\nC\nend"), (1, 5, "D", "D\nlast"), (3, 0, "", "plain\nlines"),
+    ]
+    found = chunking.markdown_chunks(docs, chunking.LATIN).where("doc_id = 1").collect()
+    assert {r.parent_id.split("_")[2] for r in found} == set("012345") and any("A" in r.parent_text and "y z" in r.parent_text for r in found)
 
 
 def test_table_records_and_ocr(spark):
