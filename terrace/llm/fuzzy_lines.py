@@ -178,10 +178,13 @@ class Lines:
     def blocks(self) -> tuple[DataFrame, DataFrame]:
         """(id, key, pivot, members) of the lines whose keys others have too, the pivot a key's least line; and (a, b, common) of each
         line and each of its pivots."""
-        keyed = self.all.select("id", F.explode("keys").alias("key")).repartition(parts(self.all.sparkSession), "key")
-        least = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+        own = [c for c in self.known if not self.once_by]  # what tells at once that a line isn't near its pivot
+        keyed = self.all.select("id", *own, F.explode("keys").alias("key")).repartition(parts(self.all.sparkSession), "key")
+        least = keyed.groupBy("key").agg(F.min(F.struct("id", *own)).alias("p"), F.count("*").alias("members")).where("members > 1")
+        least = least.select("key", "members", F.col("p.id").alias("pivot"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in own])
         shared = stored(keyed.join(least, "key"), "blocks")
-        return shared, shared.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("common"))
+        near = shared.where(self.may_link("{}", "p_{}")) if own else shared
+        return shared, near.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("common"))
 
     def starred(self, stars: DataFrame) -> DataFrame:
         """Links of lines with pivots: first with the one that each shares most keys with, then with those that are in another group by then."""
@@ -288,8 +291,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kin
     """
     with scratch(docs.sparkSession) as keep:
         lines = line_table(docs, key, text)
-        seen = stored(lines.select("key", "th", "pos", "id"), "occurrences")
-        distinct = kind(lines)
+        seen = stored(lines, "occurrences", compression="zstd")  # texts are cut into lines once
+        distinct = kind(seen)
         roots = distinct.groups()
         distinct.drop()
         firsts = seen.groupBy("id").agg(F.min(F.struct("key", "th", "pos")).alias("first"), F.count("*").alias("n"))
