@@ -20,10 +20,13 @@ from terrace.llm.common import components, join_groups, noted, parts, row_of, sc
 DISTANCE = 3
 #: ... and all linked lines in at most this share of the longer line's characters, by edit distance.
 EDITS = 0.15
-#: Bits of the blocks; lines within the distance agree in all but DISTANCE of them, so a key of two blocks has 25 bits or more.
-BLOCKS = (13, 13, 13, 13, 12)
-#: Words whose bits are summed in bytes at first; below 128, so that the sum of a long stays positive.
-CHUNK = 127
+#: Bits of the blocks; lines within the distance agree in all but DISTANCE of them, so a key of three blocks has 31 bits or more. Keys of
+#: two of five blocks have 25, which lines share by chance: on 2 million lines 1.28 million such keys were shared, of these 0.25 million.
+BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Words whose bits are added before they are summed over rows; one less than a power of two, so that counts fill their bits.
+PIECE = 15
+#: Words whose bits are summed in bytes, a multiple of PIECE; below 128, so that the sum of a long stays positive.
+CHUNK = 120
 ONES = 0x0101010101010101
 LANES = 0x0001000100010001
 #: Keys of a line by each kind of n-gram.
@@ -50,26 +53,53 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.withColumn("id", F.xxhash64("norm"))
 
 
+def added(rows: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows with the bits of 2^n - 1 columns of longs counted by place: n columns that hold a binary digit of each place's count, the lowest first."""
+    kept, digits, made = [c for c in rows.columns if c not in names], [list(names)], 0
+    while any(len(same) > 1 for same in digits):  # three of the same weight give their sum's two digits, all of a layer at once
+        sums, more = [], [[] for _ in range(len(digits) + 1)]
+        for weight, same in enumerate(digits):
+            while len(same) > 2:
+                x, y, z = same.pop(), same.pop(), same.pop()
+                sums += [f"{x} ^ {y} ^ {z} as _sum{made}", f"({x} & {y}) | ({z} & ({x} ^ {y})) as _carry{made}"]
+                more[weight].append(f"_sum{made}")
+                more[weight + 1].append(f"_carry{made}")
+                made += 1
+        rows = rows.selectExpr(*kept, *itertools.chain(*digits), *sums)
+        digits = [x + y for x, y in itertools.zip_longest(digits, more, fillvalue=[]) if x or y]
+    return rows, [same[0] for same in digits]
+
+
 def simhash(lines: DataFrame) -> DataFrame:
     """(id, simhash): bit i is set where more than half of the line's distinct words have it in their hashes; where half have it, the
     word of least hash decides, so that short lines have as many set bits as others.
 
-    Eight counters share a long. Of up to CHUNK words four are compared with the half at once, each with two bytes of its own: what is
-    missing to 128 is added, and the bit of 128 then tells. Longer lines are summed by chunks and then in two counters a long, each of 31 bits,
-    more than a line can have words. ``lines`` must be one row per id and partitioned by it, so that the words stay in their task.
+    A row is made of each PIECE of a line's words, whose bits are added with a few operations on longs. Eight counters share a long from
+    there. Of up to CHUNK words four are compared with the half at once, each with two bytes of its own: what is missing to 127 is added, and
+    the bit of 128 then tells. Longer lines are summed by chunks and then in two counters a long, each of 31 bits, more than a line can have
+    words. ``lines`` must be one row per id and partitioned by it, so that the words stay in their task.
     """
-    many = F.expr(f"length(norm) - length(replace(norm, ' ', '')) >= {CHUNK}")
-    words = lambda some: some.select("id", F.posexplode(F.array_distinct(F.split("norm", " "))).alias("at", "w"))
-    sums = [F.sum(F.expr(f"shiftrightunsigned(h, {i}) & {ONES}L")).alias(f"s{i}") for i in range(8)]
-    short = words(lines.where(~many)).select("id", F.xxhash64("w").alias("h")).groupBy("id").agg(F.count("*").alias("n"), F.min("h").alias("m"), *sums)
-    short = short.withColumn("rest", F.expr(f"({CHUNK} - n div 2) * {LANES}L"))
+    many = F.expr(f"length(norm) > {2 * CHUNK} and length(norm) - length(replace(norm, ' ', '')) >= {CHUNK}")
+    lane = lambda digit, i, weight: f"shiftleft(shiftrightunsigned({digit}, {i}) & {ONES}L, {weight})"
+
+    def pieces(some: DataFrame) -> DataFrame:
+        hashed = some.select("id", F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("hs"))
+        cut = hashed.select("id", F.size("hs").alias("n"), F.array_min("hs").alias("m"), "hs", F.explode(F.expr(f"sequence(0, (size(hs) - 1) div {PIECE})")).alias("at"))
+        words = [f"_h{i}" for i in range(PIECE)]
+        cut = cut.selectExpr("id", "n", "m", f"cast(at div {CHUNK // PIECE} as int) as chunk", *[f"coalesce(get(hs, cast(at * {PIECE} + {i} as int)), 0L) as {w}" for i, w in enumerate(words)])
+        cut, digits = added(cut, words)
+        return cut.selectExpr("id", "n", "m", "chunk", *[" | ".join(lane(d, i, weight) for weight, d in enumerate(digits)) + f" as s{i}" for i in range(8)])
+
+    line = [F.max("n").alias("n"), F.max("m").alias("m")]  # all the same
+    sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(8)]
+    short = pieces(lines.where(~many)).groupBy("id").agg(*line, *sums)
+    short = short.withColumn("rest", F.expr(f"(127 - n div 2) * {LANES}L"))
     tied = lambda i: f"if(n % 2 = 0, shiftrightunsigned(m, {i}) & {LANES}L, 0L)"
     told = [f"shiftleft(shiftrightunsigned(((shiftrightunsigned(s{i}, {j}) & {LANES * 255}L) + rest + {tied(i + j)}) & {LANES * 128}L, 7), {i + j})" for i in range(8) for j in (0, 8)]
     hashed = short.select("id", F.expr(" | ".join(told)).alias("simhash"))
-    pieces = words(lines.where(many)).select("id", F.expr(f"cast(at div {CHUNK} as int)").alias("chunk"), F.xxhash64("w").alias("h"))
-    some = pieces.groupBy("id", "chunk").agg(F.count("*").alias("n"), F.min("h").alias("m"), *sums)
+    some = pieces(lines.where(many)).groupBy("id", "chunk").agg(*line, *sums)
     pair = lambda i: F.expr(f"(shiftrightunsigned(s{i % 8}, {i - i % 8}) & 255L) + shiftleft(shiftrightunsigned(s{i % 8}, {i - i % 8 + 32}) & 255L, 31)")
-    whole = some.groupBy("id").agg(F.sum("n").alias("n"), F.min("m").alias("m"), *[F.sum(pair(i)).alias(f"c{i}") for i in range(32)])
+    whole = some.groupBy("id").agg(*line, *[F.sum(pair(i)).alias(f"c{i}") for i in range(32)])
     own = lambda i: f"(shiftrightunsigned(m, {i}) & 1L)"
     bits = [f"(if(2 * (c{i} & {(1 << 31) - 1}L) + {own(i)} > n, {1 << i}L, 0L) | if(2 * shiftrightunsigned(c{i}, 31) + {own(i + 32)} > n, shiftleft(1L, {i + 32}), 0L))" for i in range(32)]
     return hashed.union(whole.select("id", F.expr(" | ".join(bits)).alias("simhash")))
@@ -175,16 +205,16 @@ class Lines:
             dealt = near.repartition(4 * parts(self.all.sparkSession))  # by number: the checks take long, not the bytes
             return keep(stored(dealt.where(WITHIN).select("a", "b"), "near-lines"))
 
+    #: How lines are joined with their pivots: where few keys are shared, those of a task are held in memory and the lines need no sort.
+    met_by: str = "merge"
+
     def blocks(self) -> tuple[DataFrame, DataFrame]:
         """(id, key, pivot, members) of the lines whose keys others have too, the pivot a key's least line; and (a, b, common) of each
         line and each of its pivots."""
-        own = [c for c in self.known if not self.once_by]  # what tells at once that a line isn't near its pivot
-        keyed = self.all.select("id", *own, F.explode("keys").alias("key")).repartition(parts(self.all.sparkSession), "key")
-        least = keyed.groupBy("key").agg(F.min(F.struct("id", *own)).alias("p"), F.count("*").alias("members")).where("members > 1")
-        least = least.select("key", "members", F.col("p.id").alias("pivot"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in own])
-        shared = stored(keyed.join(least, "key"), "blocks")
-        near = shared.where(self.may_link("{}", "p_{}")) if own else shared
-        return shared, near.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("common"))
+        keyed = self.all.select("id", F.explode("keys").alias("key")).repartition(parts(self.all.sparkSession), "key")
+        least = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+        shared = stored(keyed.join(least.hint(self.met_by), "key"), "blocks")
+        return shared, shared.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("common"))
 
     def starred(self, stars: DataFrame) -> DataFrame:
         """Links of lines with pivots: first with the one that each shares most keys with, then with those that are in another group by then."""
@@ -221,6 +251,7 @@ class SimHashLines(Lines):
 
     known = ("simhash",)
     once_by = ()
+    met_by = "shuffle_hash"
 
     def __init__(self, lines: DataFrame) -> None:
         self.names = []
@@ -232,7 +263,7 @@ class SimHashLines(Lines):
         return pairs.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 
     def starred(self, stars: DataFrame) -> DataFrame:
-        """All pivots at once: few that aren't near share 25 bits."""
+        """All pivots at once: few that aren't near share 31 bits."""
         return self.linked(stars.select("a", "b"))
 
     def may_link(self, a: str, b: str) -> str:

@@ -461,6 +461,31 @@ def test_lines_agree_with_brute_force(spark, odd, none):
     assert odd_out.columns == odd.columns and unchanged(odd_out) and odd_out.count() == odd.count() and fuzzy_lines.dedup_lines(none).count() == 0
 
 
+def test_few_lines_share_a_key_by_chance_and_none_near_is_missed(spark):
+    rng = random.Random(18)
+    value = lambda: rng.getrandbits(64)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    near = [(h, h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))) for h in (value() for _ in range(2000))]
+    rows = spark.createDataFrame([(signed(a), signed(b)) for a, b in near], "a long, b long")
+    met = rows.select(F.size(F.array_intersect(fuzzy_lines.block_keys(F.col("a")), fuzzy_lines.block_keys(F.col("b")))).alias("n"))
+    assert met.where("n > 0").count() == len(near)
+    keys = spark.range(200_000).select(F.explode(fuzzy_lines.block_keys(F.xxhash64("id"))).alias("key")).groupBy("key").count().where("count > 1")
+    assert keys.count() < 1000  # with keys of two of five blocks some 4,200 are to be expected
+
+
+def test_simhash_counts_words_of_lines_of_all_lengths(spark):
+    rng = random.Random(19)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in (1, 2, 3, 14, 15, 16, 30, 31, 119, 120, 121, 126, 127, 128, 240, 241, 700, 3000)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    got = {r.id: r.simhash for r in fuzzy_lines.simhash(lines).collect()}
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in {w for t in texts for w in t.split()}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    for i, text in enumerate(texts):
+        hs = [hashed[w] for w in set(text.split())]
+        count = lambda b: 2 * sum(h >> b & 1 for h in hs)
+        want = sum(1 << b for b in range(64) if count(b) > len(hs) or count(b) == len(hs) and min(hs) >> b & 1)
+        assert got[i] & (1 << 64) - 1 == want
+
+
 def test_near_lines_find_what_edits_alone_link(spark):
     rng = random.Random(14)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
