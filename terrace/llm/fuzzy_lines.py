@@ -20,9 +20,10 @@ from terrace.llm.common import components, join_groups, noted, parts, row_of, sc
 DISTANCE = 3
 #: ... and all linked lines in at most this share of the longer line's characters, by edit distance.
 EDITS = 0.15
-#: Bits of the blocks; lines within the distance agree in all but DISTANCE of them, so a key of three blocks has 31 bits or more. Keys of
-#: two of five blocks have 25, which lines share by chance: on 2 million lines 1.28 million such keys were shared, of these 0.25 million.
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Bytes of a SimHash that its keys hold, four of eight each: those whose numbers give 0 by exclusive or. Any three bytes are in one of these
+#: 14 sets, and what a set leaves out is one of them too, so lines within the distance share a key, of 32 bits. Keys of two of five
+#: blocks have 25, which lines share by chance: on 2 million lines 1.28 million such keys were shared, of these 0.25 million.
+BLOCKS = tuple(x for x in itertools.combinations(range(8), 4) if x[0] ^ x[1] ^ x[2] ^ x[3] == 0)
 #: Words whose bits are added before they are summed over rows; one less than a power of two, so that counts fill their bits.
 PIECE = 15
 #: Words whose bits are summed in bytes, a multiple of PIECE; below 128, so that the sum of a long stays positive.
@@ -106,16 +107,9 @@ def simhash(lines: DataFrame) -> DataFrame:
 
 
 def block_keys(value: Column) -> Column:
-    """A key for each choice of blocks that lines within the distance can agree in; some choice agrees for sure."""
-    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    block = [F.shiftrightunsigned(value, s).bitwiseAND(F.lit((1 << b) - 1).cast("long")) for s, b in zip(starts, BLOCKS)]
-    keys = []
-    for n, chosen in enumerate(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - DISTANCE)):
-        key = F.lit(n).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, BLOCKS[i]).bitwiseOR(block[i])
-        keys.append(key)
-    return F.array(*keys)
+    """A key for each choice of bytes that lines within the distance can agree in, the bits of these; some choice agrees for sure."""
+    masks = [sum(255 << 8 * i for i in chosen) for chosen in BLOCKS]
+    return F.array(*[value.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])
 
 
 def units(norm: Column) -> Column:
@@ -263,7 +257,7 @@ class SimHashLines(Lines):
         return pairs.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 
     def starred(self, stars: DataFrame) -> DataFrame:
-        """All pivots at once: few that aren't near share 31 bits."""
+        """All pivots at once: few that aren't near share 32 bits."""
         return self.linked(stars.select("a", "b"))
 
     def may_link(self, a: str, b: str) -> str:

@@ -473,6 +473,12 @@ def test_few_lines_share_a_key_by_chance_and_none_near_is_missed(spark):
     assert keys.count() < 1000  # with keys of two of five blocks some 4,200 are to be expected
 
 
+def test_fourteen_keys_of_32_bits_meet_all_changes_of_three_bits(spark):
+    masks = [x & (1 << 64) - 1 for x in spark.range(1).select(fuzzy_lines.block_keys(F.lit(-1).cast("long")).alias("keys")).first().keys]
+    assert len(set(masks)) == 14 and all(x.bit_count() == 32 for x in masks)
+    assert all(any(not x & (1 << i | 1 << j | 1 << k) for x in masks) for i, j, k in itertools.combinations(range(64), 3))
+
+
 def test_simhash_counts_words_of_lines_of_all_lengths(spark):
     rng = random.Random(19)
     texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in (1, 2, 3, 14, 15, 16, 30, 31, 119, 120, 121, 126, 127, 128, 240, 241, 700, 3000)]
