@@ -261,3 +261,43 @@ def test_registered_queries_run(spark, name):
     from terrace.plans import registry
 
     assert registry.queries()[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1
+
+
+def test_keyword_scan_hands_on_the_best_of_each_task_only(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    said = [(i, " ".join(rng.choice(["common", "alpha", "beta", "gam", "gamma", "delta"]) for _ in range(rng.randint(0, 9)))) for i in range(300)] + [(300, None), (301, "")]
+    asked = [(1, ["common", "alpha", "common"]), (2, ["beta", "gam"]), (3, []), (4, ["", "common", "delta", "gamma"]), (5, ["absent", "beta", "alpha"]), (6, None)]
+
+    def best(k, least):
+        out = []
+        for q, words in asked:
+            found = sorted((-n, -len(t), i) for i, t in said if t is not None and (n := sum(w in t for w in words or () if w)) >= least)
+            out += [(q, i, -n, r) for r, (n, _, i) in enumerate(found[:k], 1)]
+        return sorted(out)
+
+    chunks, queries = spark.createDataFrame(said, "chunk_id long, text string").repartition(3), spark.createDataFrame(asked, "query_id int, keywords array<string>")
+    assert sorted(map(tuple, retrieval.keyword_scan(chunks, queries, 7).collect())) == best(7, 2)
+    monkeypatch.setattr(retrieval, "MOST_ASKED", 4)  # several passes
+    assert sorted(map(tuple, retrieval.keyword_scan(chunks, queries, 7, 1).collect())) == best(7, 1)
+    monkeypatch.setattr(retrieval, "MOST_HELD", 8)  # picked in between
+    text = pa.RecordBatch.from_arrays([pa.array([i for i, t in said if t is not None]), pa.array([t for _, t in said if t is not None])], ["chunk_id", "text"])
+    made = [r for b in retrieval._most_hits([(0, "common"), (0, "alpha"), (1, "beta"), (1, "gam")], 3, 1)(iter([text[:100], text[100:]])) for r in b.to_pylist()]
+    assert len(made) == 6 and sorted(r["chunk_id"] for r in made if r["q"] == 1) == [i for q, i, _, _ in best(3, 1) if q == 2]
+
+
+def test_candidates_carry_no_texts(spark):
+    from terrace.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    assert not {"text", "child_text", "parent_text"} & set(queries.candidates(spark, d).columns)
+    assert not {"text", "child_text", "parent_text", "matched_children"} & set(queries.parent_rows(spark, d).columns)
+
+
+def test_texts_of_other_chunks_are_not_shuffled(spark):
+    rows, wanted = spark.range(100).withColumn("text", F.lit("x")), spark.createDataFrame([(3,), (3,), (7,), (200,), (None,)], "id long")
+    left = retrieval.among(rows, wanted, "id")
+    assert sorted(r.id for r in left.collect()) == [3, 7] and "BroadcastHashJoin" in left._jdf.queryExecution().executedPlan().toString()
