@@ -301,3 +301,13 @@ def test_texts_of_other_chunks_are_not_shuffled(spark):
     rows, wanted = spark.range(100).withColumn("text", F.lit("x")), spark.createDataFrame([(3,), (3,), (7,), (200,), (None,)], "id long")
     left = retrieval.among(rows, wanted, "id")
     assert sorted(r.id for r in left.collect()) == [3, 7] and "BroadcastHashJoin" in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_superseded_stages_of_a_context_are_deleted(spark):
+    from terrace.steps import listed, shared_folder
+
+    parents = spark.createDataFrame([(1, "p_0", 1, "甲乙", "q", ["甲"], True, True, "d", "text")], "query_id int, parent_id string, pos int, text string, query string, keywords array<string>, is_policy boolean, is_overview boolean, document_id string, source_type string")
+    ranked = parents.select("query_id", "parent_id", F.lit(1).alias("rank"), F.lit(0.5).alias("rerank_score"))
+    before = set(listed(spark, shared_folder(spark)))
+    assert [r.text for r in context.staged_context(parents, ranked, 3).collect()] == ["甲乙"]
+    assert not [x for x in set(listed(spark, shared_folder(spark))) - before if x.startswith("terrace-staged-")]
