@@ -10,18 +10,25 @@ from __future__ import annotations
 import json
 import unicodedata
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.text import col, hits, text_or_empty
-from terrace.operators.retrieval import B, K1, top
-from terrace.steps import listed, publish
+from terrace.operators.retrieval import B, K1, MOST_KEYS, among, top
+from terrace.steps import listed, publish, written
 
 #: Of the phrase ranking; words use the other constants.
 PHRASE_K1, PHRASE_B, LEAST_IDF = 1.2, 0.75, 1e-6
 BUCKETS = 64
+#: About so many tokens are turned into postings at once.
+MOST_TOKENS = 1_000_000
+#: About so many candidates of phrases are joined with postings in one pass.
+MOST_STARTS = 20_000_000
 PIECES = ("postings", "chunks", "gone", "terms")
 
 
@@ -42,6 +49,33 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(bare, r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """For a join of much larger rows: sent to every task if it has up to MOST_KEYS rows; it is read twice."""
+    return F.broadcast(df) if df.count() <= MOST_KEYS else df
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, chunk_id, split, size, positions) of chunks (chunk_id, split, size, tokens): all postings of a chunk are made where it is read."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MOST_TOKENS, "right")))
+            chunk, split, size, lists = batch.slice(start, stop - start).columns
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            named = lists.flatten().dictionary_encode()
+            code, row = named.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            key = code * len(sizes) + row
+            order = np.argsort(key, kind="stable")  # places stay in order
+            first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.empty(0, int)
+            at = pa.array(row[order][first])
+            positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)], pa.int32()), pa.array(place[order], pa.int32()))
+            token = named.dictionary.take(pa.array(code[order][first]))
+            yield pa.RecordBatch.from_arrays([token, chunk.take(at), split.take(at), size.take(at), positions], ["token", "chunk_id", "split", "size", "positions"])
+            start = stop
+
+
 class LexicalIndex:
     """An index of chunks (chunk_id, child_text, parent_text, document_id) in a folder of ``spark.checkpoint.dir`` or any shared one.
 
@@ -62,7 +96,7 @@ class LexicalIndex:
         return F.pmod(F.xxhash64(token), F.lit(self.buckets)).cast("int")
 
     def _piece(self, name: str) -> DataFrame | None:
-        found = [self.spark.read.parquet(f"{self.path}/{x['folder']}/{name}").withColumn("segment", F.lit(x["number"])) for x in self.segments if name in x["pieces"]]
+        found = [self.spark.read.parquet(f"{self.path}/{x['folder']}/{name}").drop("words").withColumn("segment", F.lit(x["number"])) for x in self.segments if name in x["pieces"]]
         return reduce(DataFrame.unionByName, found) if found else None
 
     def _live(self, rows: DataFrame) -> DataFrame:
@@ -70,13 +104,13 @@ class LexicalIndex:
         gone = self._piece("gone")
         if gone is None:
             return rows
-        g = gone.select(F.col("chunk_id").alias("_c"), F.col("segment").alias("_s"))
+        g = _small(gone.select(F.col("chunk_id").alias("_c"), F.col("segment").alias("_s")))
         return rows.join(g, (F.col("chunk_id") == F.col("_c")) & (F.col("_s") > F.col("segment")), "left_anti")
 
-    def chunks(self) -> DataFrame | None:
-        """The live chunks: chunk_id, document_id, child_text, parent_text, split, size, words (their distinct tokens)."""
+    def chunks(self, wanted: DataFrame | None = None) -> DataFrame | None:
+        """The live chunks: chunk_id, document_id, child_text, parent_text, split, size; with ``wanted`` (chunk_id) these alone."""
         found = self._piece("chunks")
-        return None if found is None else self._live(found)
+        return None if found is None else self._live(found if wanted is None else among(found, wanted, "chunk_id"))
 
     def postings(self, asked: DataFrame) -> DataFrame | None:
         """(token, chunk_id, split, size, positions) of live chunks for the tokens of ``asked`` (token); other buckets aren't read."""
@@ -85,7 +119,7 @@ class LexicalIndex:
             return None
         wanted = asked.select("token").distinct()
         near = [r[0] for r in wanted.select(self.bucket(F.col("token"))).distinct().collect()]  # as many as there are buckets at most
-        return self._live(found.where(F.col("bucket").isin(near)).join(wanted, "token", "left_semi")).drop("bucket", "segment")
+        return self._live(among(found.where(F.col("bucket").isin(near)), wanted, "token")).drop("bucket", "segment")
 
     def frequencies(self, asked: DataFrame) -> DataFrame | None:
         """(token, df): in how many live chunks each asked token is; tokens in none have no row."""
@@ -94,16 +128,19 @@ class LexicalIndex:
             return None
         wanted = asked.select("token").distinct()
         near = [r[0] for r in wanted.select(self.bucket(F.col("token"))).distinct().collect()]
-        return found.where(F.col("bucket").isin(near)).join(wanted, "token", "left_semi").groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+        return among(found.where(F.col("bucket").isin(near)), wanted, "token").groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
 
     # changes
 
-    def _write(self, folder: str, piece: str, rows: DataFrame, by_bucket: bool = True) -> None:
-        if by_bucket:  # large buckets are split, small ones share a task
-            rows = rows.withColumn("bucket", self.bucket(F.col("token"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
-            rows.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{piece}")
+    def _write(self, folder: str, piece: str, rows: DataFrame, by_bucket: bool = True, gather: bool = True) -> None:
+        if by_bucket:
+            rows = rows.withColumn("bucket", self.bucket(F.col("token")))
+            if gather:  # large buckets are split, small ones share a task; otherwise each task has files of its own
+                rows = rows.hint("rebalance", "bucket")
+            rows = rows.sortWithinPartitions("bucket", "token", *[c for c in ("chunk_id",) if c in rows.columns])
+            rows.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{piece}", compression="zstd")
         else:
-            rows.write.parquet(f"{self.path}/{folder}/{piece}")
+            rows.write.parquet(f"{self.path}/{folder}/{piece}", compression="zstd")
 
     def _publish(self, segments: list[dict], n: int, total: int) -> None:
         state = {"version": self.version + 1, "segments": segments, "n": n, "total": total, "buckets": self.buckets}
@@ -115,28 +152,31 @@ class LexicalIndex:
         """One row per chunk with its tokens; of rows that repeat an id the one with the greatest texts counts."""
         kept = [F.col("document_id") if "document_id" in chunks.columns else F.lit(None).cast("string").alias("document_id")]
         rows = chunks.where("chunk_id is not null").select("chunk_id", text_or_empty("child_text").alias("child_text"), text_or_empty("parent_text").alias("parent_text"), *kept)
-        rows = rows.groupBy("chunk_id").agg(F.max(F.struct("child_text", "parent_text", "document_id")).alias("x")).select("chunk_id", "x.*")
+        best = lambda df: df.groupBy("chunk_id").agg(F.max(F.struct("child_text", "parent_text", "document_id")).alias("x")).select("chunk_id", "x.*")
+        twice = chunks.where("chunk_id is not null").groupBy("chunk_id").count().where("count > 1").select("chunk_id")
+        repeated = twice.count()
+        if repeated > MOST_KEYS:
+            rows = best(rows)
+        elif repeated:  # only texts of ids that repeat are shuffled
+            rows = rows.join(F.broadcast(twice), "chunk_id", "left_anti").unionByName(best(rows.join(F.broadcast(twice), "chunk_id", "left_semi")))
         rows = rows.withColumns({"_own": tokens("child_text"), "_above": tokens("parent_text")})
-        whole = F.concat("_own", "_above")
-        return rows.select("chunk_id", "document_id", "child_text", "parent_text", F.size("_own").alias("split"), F.size(whole).alias("size"), F.array_distinct(whole).alias("words"), whole.alias("_all"))
+        return rows.select("chunk_id", "document_id", "child_text", "parent_text", F.size("_own").alias("split"), (F.size("_own") + F.size("_above")).alias("size"), F.concat("_own", "_above").alias("_all"))
 
     def _segment(self, folder: str, rows: DataFrame | None, gone: DataFrame | None) -> list[str]:
         """Write the pieces of a segment: chunks with ``_all``, their tokens in order, and chunks that are live no longer."""
         pieces, changes = [], []
         if rows is not None:
             self._write(folder, "chunks", rows.drop("_all"), by_bucket=False)
-            told = rows.select("chunk_id", "split", "size", F.posexplode("_all").alias("pos", "token"))
-            made = told.groupBy("token", "chunk_id").agg(F.first("split").alias("split"), F.first("size").alias("size"), F.array_sort(F.collect_list("pos")).alias("positions"))
-            self._write(folder, "postings", made)
+            made = rows.select("chunk_id", "split", "size", "_all").mapInArrow(_inverted, f"token string, chunk_id {dict(rows.dtypes)['chunk_id']}, split int, size int, positions array<int>")
+            self._write(folder, "postings", made, gather=False)
             pieces += ["chunks", "postings"]
-            changes.append(self.spark.read.parquet(f"{self.path}/{folder}/chunks").select(F.explode("words").alias("token"), F.lit(1).alias("d")))
+            changes.append(self.spark.read.parquet(f"{self.path}/{folder}/postings").select("token", F.lit(1).alias("d")))
         if gone is not None:
             self._write(folder, "gone", gone.select("chunk_id"), by_bucket=False)
             pieces.append("gone")
-            known = self.chunks()
-            if known is not None:
-                left = known.join(self.spark.read.parquet(f"{self.path}/{folder}/gone"), "chunk_id", "left_semi")
-                changes.append(left.select(F.explode("words").alias("token"), F.lit(-1).alias("d")))
+            left = self.chunks(self.spark.read.parquet(f"{self.path}/{folder}/gone"))
+            if left is not None:
+                changes.append(left.select(F.explode(F.array_distinct(F.concat(tokens("child_text"), tokens("parent_text")))).alias("token"), F.lit(-1).alias("d")))
         if changes:
             self._write(folder, "terms", reduce(DataFrame.union, changes).groupBy("token").agg(F.sum("d").alias("df")).where("df != 0"))
             pieces.append("terms")
@@ -196,22 +236,35 @@ class LexicalIndex:
 def phrase_starts(index: LexicalIndex, phrases: DataFrame) -> DataFrame:
     """(phrase, m, chunk_id, split, size, starts): where the ``m`` tokens of each phrase stand one after the other.
 
-    The rarest token of a phrase gives the candidates; each other token is joined by chunk, and its positions, shifted to the
-    phrase's start, are intersected with theirs. Phrases without tokens are nowhere.
+    The rarest token of a phrase gives the candidates; its other tokens, rarer ones first, are joined by chunk one after the other,
+    their positions, shifted to the phrase's start, intersected, and what has no start left is dropped. Candidates go in passes of
+    about MOST_STARTS, so what is shuffled at once is bounded. Phrases without tokens are nowhere.
     """
     asked = phrases.select("phrase").distinct().select("phrase", tokens("phrase").alias("t")).where(F.size("t") > 0)
-    asked = asked.select("phrase", F.size("t").alias("m"), F.posexplode("t").alias("i", "token"))
-    rare = asked.join(index.frequencies(asked), "token").groupBy("phrase").agg(F.min_by(F.struct("m", "i", "token"), F.struct("df", "i")).alias("x"), F.count("*").alias("known"))
-    rare = rare.where("known = x.m").select("phrase", "x.*")  # all tokens are somewhere
-    post = index.postings(asked)
+    asked = written(asked.withColumn("p", F.monotonically_increasing_id()).select("p", "phrase", F.size("t").alias("m"), F.posexplode("t").alias("i", "token")), "asked")
+    w = Window.partitionBy("p")
+    known = asked.join(index.frequencies(asked), "token").withColumn("nth", F.row_number().over(w.orderBy("df", "i"))).withColumn("known", F.count("*").over(w))
+    known = written(known.where("known = m").drop("known"), "known")  # all tokens are somewhere
     shifted = F.transform("positions", lambda p: p - F.col("i"))
-    found = rare.join(post, "token").select("phrase", "m", "i", "chunk_id", "split", "size", shifted.alias("starts"))
-    others = found.select("phrase", "chunk_id", F.col("i").alias("_i")).join(asked, "phrase").where("i != _i").join(post.select("token", "chunk_id", "positions"), ["token", "chunk_id"])
-    others = others.groupBy("phrase", "chunk_id").agg(F.collect_list(shifted).alias("lists"))  # as many as the phrase has tokens at most
-    both = found.join(others, ["phrase", "chunk_id"], "left").where((F.col("m") == 1) | (F.size("lists") == F.col("m") - 1))
-    none = F.array().cast("array<array<int>>")
-    both = both.withColumn("starts", F.aggregate(F.coalesce("lists", none), F.col("starts"), F.array_intersect))
-    return both.where(F.size("starts") > 0).select("phrase", "m", "chunk_id", "split", "size", "starts")
+    columns = ["p", "m", "chunk_id", "split", "size", "starts"]
+
+    def begun(rare: DataFrame) -> DataFrame:
+        return index.postings(rare).join(_small(rare.select("p", "m", "i", "token")), "token").withColumn("starts", shifted).select(columns)
+
+    out = [begun(known.where("nth = 1 and m = 1"))]
+    several = known.where("nth = 1 and m > 1").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.coalesce(F.max("m"), F.lit(1)).alias("longest")).first()
+    passes = -(-several["n"] // MOST_STARTS)
+    for part in range(passes):
+        mine = known.where(F.pmod(F.xxhash64("p"), F.lit(passes)) == part)
+        rows = begun(mine.where("nth = 1 and m > 1"))
+        for nth in range(2, several["longest"] + 1):
+            here = mine.where(F.col("nth") == nth)
+            met = rows.join(_small(here.select("p", "i", "token")), "p").join(index.postings(here).select("token", "chunk_id", "positions"), ["token", "chunk_id"])
+            rows = written(met.withColumn("starts", F.array_intersect("starts", shifted)).where(F.size("starts") > 0).select(columns), "starts")
+            out.append(rows.where(F.col("m") == nth))
+            rows = rows.where(F.col("m") > nth)
+    names = _small(asked.select("p", "phrase").distinct())
+    return reduce(DataFrame.unionByName, out).join(names, "p").select("phrase", "m", "chunk_id", "split", "size", "starts")
 
 
 def phrase_search(index: LexicalIndex, queries: DataFrame, k: int, min_hits: int = 2) -> DataFrame:
@@ -224,18 +277,18 @@ def phrase_search(index: LexicalIndex, queries: DataFrame, k: int, min_hits: int
     schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id string, keyword_hit_count int, score double, rank int"
     if index.chunks() is None:
         return index.spark.createDataFrame([], schema)
-    asked = queries.select("query_id", F.explode("keywords").alias("phrase")).where("phrase != ''")
+    asked = written(queries.select("query_id", F.explode("keywords").alias("phrase")).where("phrase != ''"), "asked")
     found = phrase_starts(index, asked)
     m, split = F.col("m"), F.col("split")
     count = F.size("starts") + F.size(F.filter("starts", lambda s: (s + m <= split) | (s >= split)))
-    met = found.select("phrase", "chunk_id", (2 * F.col("size")).alias("size"), count.alias("tf"))
+    met = written(found.select("phrase", "chunk_id", (2 * F.col("size")).alias("size"), count.alias("tf")), "met")
     df = met.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     mean = 2 * index.total / max(1, index.n)
     weigh = F.col("tf") * (PHRASE_K1 + 1) / (F.col("tf") + PHRASE_K1 * (1 - PHRASE_B + PHRASE_B * F.col("size") / F.lit(mean)))
-    scored = met.join(df, "phrase").select("phrase", "chunk_id", (idf * weigh).alias("s")).join(asked, "phrase")
-    first = top(scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("score")), ["query_id"], [F.desc("score"), F.asc("chunk_id")], max(20 * k, 50), "_first")
-    texts = index.chunks().select("chunk_id", F.concat_ws("\n", "child_text", "parent_text").alias("_text"), F.length("child_text").alias("_long"))
+    scored = met.join(_small(df), "phrase").select("phrase", "chunk_id", (idf * weigh).alias("s")).join(_small(asked), "phrase")
+    first = written(top(scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("score")), ["query_id"], [F.desc("score"), F.asc("chunk_id")], max(20 * k, 50), "_first"), "first")
+    texts = index.chunks(first).select("chunk_id", F.concat_ws("\n", "child_text", "parent_text").alias("_text"), F.length("child_text").alias("_long"))
     both = first.join(queries.select("query_id", "keywords"), "query_id").join(texts, "chunk_id").withColumn("keyword_hit_count", hits(F.col("_text"), F.col("keywords")))
     order = [F.desc("keyword_hit_count"), F.desc("score"), F.desc("_long"), F.asc("chunk_id")]
     return top(both.where(F.col("keyword_hit_count") >= min_hits), ["query_id"], order, k).select("query_id", "chunk_id", "keyword_hit_count", "score", "rank")

@@ -108,3 +108,29 @@ def test_only_asked_buckets_are_read(spark, index):
     index.update(frame(spark, texts(50, 7)))
     plan = index.postings(spark.createDataFrame([("red",)], "token string"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan, plan
+
+
+def test_phrases_go_in_passes_and_repeated_ids_alone_are_shuffled(spark, index, monkeypatch):
+    rows = texts(150, 8)
+    index.update(frame(spark, [*rows, ("c3", "aaa", "aaa", "d"), ("c4", "zzz red tree", "zzz", "d")]))
+    assert {r.chunk_id: r.child_text for r in index.chunks().collect()}["c4"] == "zzz red tree" and index.n == 150
+    asked = spark.createDataFrame([("red tree",), ("green green",), ("42 red blue",), ("stone",), ("no such",)], "phrase string")
+    found = lambda: sorted((r.phrase, r.chunk_id, sorted(r.starts)) for r in lexical.phrase_starts(index, asked).collect())
+    want = found()
+    assert {p for p, _, _ in want} >= {"red tree", "stone"}
+    monkeypatch.setattr(lexical, "MOST_STARTS", 20)
+    assert found() == want
+    plan = index.postings(asked.select(lexical.tokens("phrase").alias("t")).selectExpr("explode(t) AS token"))
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text  # postings stay where they are read
+    assert "words" not in index.chunks().columns
+
+
+def test_postings_are_made_where_a_chunk_is_read(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "MOST_TOKENS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c", "d"]), pa.array([1, 0, 0, 2]), pa.array([3, 0, 1, 5]), pa.array([["x", "y", "x"], [], ["y"], ["z", "z", "x", "z", "y"]])], ["chunk_id", "split", "size", "_all"])
+    got = sorted((r["chunk_id"], r["token"], r["split"], r["size"], r["positions"]) for b in lexical._inverted(iter([batch, batch.slice(1, 1)])) for r in b.to_pylist())
+    assert got == [("a", "x", 1, 3, [0, 2]), ("a", "y", 1, 3, [1]), ("c", "y", 0, 1, [0]), ("d", "x", 2, 5, [2]), ("d", "y", 2, 5, [4]), ("d", "z", 2, 5, [0, 1, 3])]
